@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINKLER_FLOOR, WINKLER_PREFIX, WINKLER_WEIGHT = 0.7, 4, 0.1
+# Texts up to this long are compared a whole batch at a time, longer ones one by one.
+_BATCH_LETTERS, _BATCH_ROWS = 64, 4096
 
 
 def jaro(a: str, b: str) -> float:
@@ -49,6 +52,60 @@ def jaro_winkler(a: str, b: str) -> float:
     return base + prefix * WINKLER_WEIGHT * (1 - base)
 
 
+def _letters(texts: list[str]) -> np.ndarray:
+    """Column i holds the code points of text i, zero behind its end."""
+    fixed = np.array(texts, dtype=np.str_)
+    points = fixed.view(np.uint32).reshape(len(texts), -1).T
+    return np.ascontiguousarray(points if points.max() > 255 else points.astype(np.uint8))
+
+
+def _in_front(letters: np.ndarray, marked: np.ndarray, most: int) -> np.ndarray:
+    """The marked letters of every text, moved to its start in their order."""
+    front = np.zeros((most, letters.shape[1]), dtype=letters.dtype)
+    row, text = np.nonzero(marked)
+    front[(np.cumsum(marked, axis=0) - 1)[row, text], text] = letters[row, text]
+    return front
+
+
+def winkler_batch(left: list[str], right: list[str], prefix_bonus: bool = True) -> np.ndarray:
+    """``jaro_winkler`` (or ``jaro``) of many non-empty pairs: every step looks at one pair
+    of letter places in all of them."""
+    a, b = _letters(left), _letters(right)
+    size_a = np.fromiter(map(len, left), np.int64, len(left))
+    size_b = np.fromiter(map(len, right), np.int64, len(right))
+    reach = np.maximum(np.maximum(size_a, size_b) // 2 - 1, 0)
+    widest = int(reach.max())
+    near = [reach >= d for d in range(widest + 1)]
+    used = np.zeros(b.shape, dtype=bool)
+    free = np.arange(len(b))[:, None] < size_b
+    marked = np.zeros(a.shape, dtype=bool)
+    hit = np.empty(len(left), dtype=bool)
+    for i in range(len(a)):
+        waiting = np.ones(len(left), dtype=bool)
+        for j in range(max(i - widest, 0), min(i + widest + 1, len(b))):
+            np.equal(a[i], b[j], out=hit)
+            hit &= free[j]
+            hit &= waiting
+            hit &= near[abs(i - j)]
+            free[j] ^= hit
+            used[j] |= hit
+            waiting ^= hit
+        np.logical_not(waiting, out=marked[i])
+    common = marked.sum(axis=0)
+    most = int(common.max())
+    differs = _in_front(a, marked, most) != _in_front(b, used, most)
+    swapped = differs.sum(axis=0) // 2
+    score = (common / size_a + common / size_b + (common - swapped) / np.maximum(common, 1)) / 3
+    score[common == 0] = 0.0
+    if not prefix_bonus:
+        return score
+    head = min(WINKLER_PREFIX, len(a), len(b))
+    same = (a[:head] == b[:head]) & (a[:head] != 0)
+    prefix = np.logical_and.accumulate(same, axis=0).sum(axis=0)
+    raised = score + prefix * WINKLER_WEIGHT * (1 - score)
+    return np.where(score > WINKLER_FLOOR, raised, score)
+
+
 def damerau(a: str, b: str) -> int:
     """Unrestricted Damerau distance (adjacent swaps may be edited further)."""
     far = len(a) + len(b)
@@ -114,14 +171,35 @@ def _pairwise(function, left: pd.Series, right: pd.Series, dtype: str) -> pd.Ser
     )
 
 
+def _similarities(left: pd.Series, right: pd.Series, prefix_bonus: bool) -> pd.Series:
+    """Similarities of a batch; a pair of values that recurs in it is scored once."""
+    one = jaro_winkler if prefix_bonus else jaro
+    known: dict[tuple, float] = dict.fromkeys(zip(left, right), np.nan)
+    short = []
+    for pair in known:
+        x, y = pair
+        if x is None or y is None:
+            continue
+        if x and y and max(len(x), len(y)) <= _BATCH_LETTERS:
+            short.append(pair)
+        else:
+            known[pair] = one(x, y)
+    for start in range(0, len(short), _BATCH_ROWS):
+        some = short[start:start + _BATCH_ROWS]
+        lefts, rights = zip(*some)
+        known.update(zip(some, winkler_batch(lefts, rights, prefix_bonus).tolist()))
+    out = np.fromiter(map(known.__getitem__, zip(left, right)), np.float64, len(left))
+    return pd.Series(pd.array(out, dtype="Float64")).where(~np.isnan(out))
+
+
 @F.pandas_udf(T.DoubleType())
 def jaro_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    return _pairwise(jaro, left, right, "float64")
+    return _similarities(left, right, False)
 
 
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    return _pairwise(jaro_winkler, left, right, "float64")
+    return _similarities(left, right, True)
 
 
 @F.pandas_udf(T.IntegerType())

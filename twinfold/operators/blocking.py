@@ -18,8 +18,11 @@ RULE_ABOVE = 0.3
 MAX_RULES = 5
 MAX_COMPARISONS = 20_000_000
 
-# Blocks above this many rows are compared in pieces of about this size.
-PIECE_ROWS = 8_192
+# A block with more pairs than this is compared in pieces of about this many.
+PIECE_PAIRS = 4_000_000
+# Comparing is heavy next to reading, so tasks are cut by pairs rather than by bytes.
+TASK_PAIRS = 100_000
+MAX_TASKS = 20_000
 _MAX_OVERLAP_RULES = 6
 
 
@@ -176,13 +179,14 @@ def diagnostics_table(spark: SparkSession, notes: list[Diagnosis]) -> DataFrame:
               "columns array<string>")
 
 
-def _in_pieces(side: DataFrame, sizes: DataFrame, id_column: str, piece_rows: int,
+def _in_pieces(side: DataFrame, sizes: DataFrame, id_column: str, piece_pairs: int,
                copies: bool) -> DataFrame:
     """Split the rows of large blocks into pieces: one side is spread over them, the other
     is copied to each, so every pair still meets exactly once."""
-    large = sizes.where(F.col("block_rows") > piece_rows).select(
+    rows = F.col("block_rows").cast("double")
+    large = sizes.where(rows * rows > piece_pairs).select(
         "rule_no", "block_key", "block_rows",
-        F.ceil(F.col("block_rows") / piece_rows).cast("int").alias("_pieces"))
+        F.ceil(rows * rows / piece_pairs).cast("int").alias("_pieces"))
     side = skew_join(side, large, ["rule_no", "block_key"], "block_rows", "left")
     pieces = F.coalesce("_pieces", F.lit(1))
     if copies:
@@ -209,29 +213,38 @@ def _side(df: DataFrame, rules: list[BlockingRule], columns: list[str], end: str
     return rows.select("rule_no", "block_key", F.col("_keys").alias(f"_keys_{end}"), *renamed)
 
 
+def tasks_for(pairs: int | None) -> int | None:
+    """Number of tasks for that many pairs."""
+    return None if pairs is None else min(max(pairs // TASK_PAIRS, 1), MAX_TASKS)
+
+
 def block_pairs(df: DataFrame, rules: list[BlockingRule], columns: list[str] = (),
                 key: str = "unique_id", largest_block: int | None = None,
-                every_rule: bool = False, piece_rows: int = PIECE_ROWS) -> DataFrame:
+                pairs: int | None = None, every_rule: bool = False,
+                piece_pairs: int = PIECE_PAIRS) -> DataFrame:
     """Pairs of records that share a block, ``<key>_l < <key>_r``, each pair once, under
     the first rule that brings it (``rule_no``); with ``every_rule``, once per rule.
 
     The compared ``columns`` travel with the records, so comparing needs no further
     shuffle, and repeated pairs are recognised from the keys rather than by a distinct.
-    All rules share a single exchange. ``largest_block`` (from ``cost_rules``) above
-    ``piece_rows`` makes large blocks meet piece by piece.
+    All rules share a single exchange. From ``cost_rules``: ``largest_block`` decides
+    whether large blocks must meet piece by piece, ``pairs`` the number of tasks.
     """
     carried = list(dict.fromkeys([key, *columns]))
     left, right = _side(df, rules, carried, "l"), _side(df, rules, carried, "r")
     on = ["rule_no", "block_key"]
-    if largest_block and largest_block > piece_rows:
+    if largest_block and largest_block**2 > piece_pairs:
         sizes = block_sizes(df, rules)
-        left = _in_pieces(left, sizes, f"{key}_l", piece_rows, copies=True)
-        right = _in_pieces(right, sizes, f"{key}_r", piece_rows, copies=False)
+        left = _in_pieces(left, sizes, f"{key}_l", piece_pairs, copies=True)
+        right = _in_pieces(right, sizes, f"{key}_r", piece_pairs, copies=False)
         on.append("_piece")
-    pairs = left.join(right, on).where(F.col(f"{key}_l") < F.col(f"{key}_r"))
+    tasks = tasks_for(pairs)
+    if tasks:
+        left, right = left.repartition(tasks, *on), right.repartition(tasks, *on)
+    met = left.join(right, on).where(F.col(f"{key}_l") < F.col(f"{key}_r"))
     if not every_rule:
-        pairs = pairs.where(_first_rule_only(rules, "_keys_l", "_keys_r"))
-    return pairs.drop("_keys_l", "_keys_r", "block_key", "_piece")
+        met = met.where(_first_rule_only(rules, "_keys_l", "_keys_r"))
+    return met.drop("_keys_l", "_keys_r", "block_key", "_piece")
 
 
 def block_links(new: DataFrame, base: DataFrame, rules: list[BlockingRule],

@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 from functools import reduce
+from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_share
-from .blocking import BlockingRule, block_pairs, keyed, matched_pairs, rule_columns
+from .blocking import (
+    BlockingRule, block_pairs, cost_rules, keyed, matched_pairs, rule_columns, tasks_for,
+)
 from .compare import Comparison, compare_pairs, compared_columns, self_levels
 from .dedupe import find_copies
 from .numbering import dense_number
@@ -126,8 +129,11 @@ def random_pairs(df: DataFrame, columns: list[str], rows: int, max_pairs: int =
     last = F.least(F.lit(size) - F.col("_at"), F.lit(steps)) if everything else F.lit(steps)
     step = F.explode(F.when(last >= 1, F.sequence(F.lit(1).cast("bigint"), last.cast("bigint"))))
     target = F.pmod(F.col("_at") - 1 + F.col("_step"), F.lit(size)) + 1
-    return (left.withColumn("_step", step).withColumn("_to", target)
-            .join(right, "_to").drop("_to", "_at", "_step"))
+    tasks = tasks_for(min(max_pairs, size * (size - 1) // 2))
+    # both sides are cut alike, so the join adds no exchange and keeps the number of tasks
+    return (left.withColumn("_step", step).withColumn("_to", target).repartition(tasks, "_to")
+            .join(right.repartition(tasks, "_to").hint("shuffle_hash"), "_to")
+            .drop("_to", "_at", "_step"))
 
 
 def level_counts(compared: DataFrame, comparisons: list[Comparison]) -> DataFrame:
@@ -156,7 +162,7 @@ def estimate_u(df: DataFrame, comparisons: list[Comparison], rows: int,
 
 
 def training_patterns(df: DataFrame, rules: list[BlockingRule], comparisons: list[Comparison],
-                      key: str = "unique_id", largest_block: int | None = None) -> DataFrame:
+                      key: str = "unique_id") -> DataFrame:
     """(rule_no, gamma columns, pairs): the pairs of every rule, counted per pattern.
 
     Identical records are compared once and counted by their number; their pairs among
@@ -167,7 +173,10 @@ def training_patterns(df: DataFrame, rules: list[BlockingRule], comparisons: lis
     copies = find_copies(df, used, key).where(F.col(key) == F.col("rep_id"))
     distinct = df.select(key, *used).join(copies.select(key, "copies"), key)
     gammas = [c.gamma for c in comparisons]
-    pairs = block_pairs(distinct, rules, [*columns, "copies"], key, largest_block, every_rule=True)
+    costs = cost_rules(distinct, rules)
+    pairs = block_pairs(
+        distinct, rules, [*columns, "copies"], key, max(c.largest_block for c in costs),
+        sum(c.comparisons for c in costs), every_rule=True)
     between = compare_pairs(pairs, comparisons).select(
         "rule_no", *gammas, (F.col("copies_l") * F.col("copies_r")).alias("pairs"))
     repeated = self_levels(keyed(distinct.where("copies > 1"), rules), comparisons).select(
@@ -176,11 +185,11 @@ def training_patterns(df: DataFrame, rules: list[BlockingRule], comparisons: lis
         F.sum("pairs").alias("pairs"))
 
 
-def _pick(table: list[list[float]], place: Column) -> Column:
-    """table[rule_no][place] as a constant looked up at run time: the numbers stay out of
-    the generated code, so Spark compiles a round once and reuses it."""
-    nested = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in table])
-    return F.get(F.get(nested, F.col("rule_no")), place)
+def _lookup(table: list[list[float]], place: str) -> str:
+    """table[rule_no][place] as SQL. Spark folds the table into one constant outside the
+    generated code, so a round is compiled once and reused with other numbers."""
+    rows = ", ".join(f"array({', '.join(f'{float(x)!r}D' for x in row)})" for row in table)
+    return f"get(get(array({rows}), rule_no), {place})"
 
 
 def start_m(top: int) -> list[float]:
@@ -218,29 +227,27 @@ def expectation_maximisation(patterns: DataFrame, comparisons: list[Comparison],
     objective: list[list[float]] = [[] for _ in rules]
     patterns = patterns.persist()
     running = set(range(len(rules)))
+    sums = ", ".join(
+        f"sum(CASE WHEN `{c.gamma}` = {level} THEN pairs * p ELSE 0.0D END) AS `{i}:{level}`"
+        for i, c in enumerate(comparisons) for level in range(c.top + 1))
     for _ in range(max_rounds):
-        weight = _pick([[math.log(p / (1 - p))] for p in priors], F.lit(0))
+        terms = [_lookup([[math.log(p / (1 - p))] for p in priors], "0")]
         for c in comparisons:
             ratios = [
                 [0.0, *(math.log(max(x, _FLOOR) / max(y, _FLOOR))
                         for x, y in zip(run[c.column], u[c.column]))]
                 if c.column in run else [0.0] * (c.top + 2) for run in m
             ]
-            weight = weight + _pick(ratios, F.col(c.gamma) + 1)
-        rest = _pick([[math.log(1 - p)] for p in priors], F.lit(0))
-        scored = patterns.select(
-            "*", weight.alias("_w"), (F.lit(1.0) / (F.lit(1.0) + F.exp(-weight))).alias("_p"),
-            rest.alias("_rest"))
-        sums = [
-            F.sum(F.when(F.col(c.gamma) == level, F.col("pairs") * F.col("_p")).otherwise(0.0))
-            .alias(f"{i}:{level}")
-            for i, c in enumerate(comparisons) for level in range(c.top + 1)
-        ]
-        rows = scored.groupBy("rule_no").agg(
-            F.sum("pairs").alias("pairs"), F.sum(F.col("pairs") * F.col("_p")).alias("matches"),
-            F.sum(F.col("pairs") * (F.col("_rest") + F.log1p(F.exp("_w")))).alias("objective"),
-            *sums,
-        ).collect()  # one row per rule
+            terms.append(_lookup(ratios, f"`{c.gamma}` + 1"))
+        rest = _lookup([[math.log(1 - p)] for p in priors], "0")
+        # one aggregated row per rule comes back
+        rows = patterns.sparkSession.sql(f"""
+            SELECT rule_no, sum(pairs) AS pairs, sum(pairs * p) AS matches,
+                   sum(pairs * (rest + ln(1.0D + exp(odds)))) AS objective, {sums}
+            FROM (SELECT *, 1.0D / (1.0D + exp(-odds)) AS p
+                  FROM (SELECT *, {" + ".join(terms)} AS odds, {rest} AS rest FROM {{patterns}}))
+            GROUP BY rule_no
+        """, patterns=patterns).collect()
         moved = dict.fromkeys(range(len(rules)), 0.0)
         for row in rows:
             no = row["rule_no"]
@@ -267,8 +274,7 @@ def expectation_maximisation(patterns: DataFrame, comparisons: list[Comparison],
 
 
 def train(df: DataFrame, settings: Settings, rows: int, key: str = "unique_id",
-          max_pairs: int = RANDOM_PAIRS, training_rows: int = TRAINING_ROWS,
-          largest_block: int | None = None) -> Model:
+          max_pairs: int = RANDOM_PAIRS, training_rows: int = TRAINING_ROWS) -> Model:
     """Estimate prior, u and m on a sample of the records."""
     sample = sample_rows(df, key, training_rows, rows)
     sample_size = rows if rows <= training_rows else sample.count()
@@ -277,15 +283,17 @@ def train(df: DataFrame, settings: Settings, rows: int, key: str = "unique_id",
     u: dict[str, list[float]] = {c.column: [0.0] * (c.top + 1) for c in comparisons}
     for row in estimate_u(sample, comparisons, sample_size, max_pairs, key).collect():
         u[row["comparison"]][row["level"]] = max(row["u"], _FLOOR)
-    patterns = training_patterns(sample, rules, comparisons, key, largest_block)
+    patterns = training_patterns(sample, rules, comparisons, key)
     runs = expectation_maximisation(
         patterns, comparisons, rules, u, prior, settings.convergence, settings.max_rounds)
     m, trained = {}, []
     for c in comparisons:
         found = [run[c.column] for run in runs.m if c.column in run]
         if found:
+            # the median: one rule whose pairs are mostly chance must not sway the others
+            middle = [max(median(level), _FLOOR) for level in zip(*found)]
             trained.append(c.column)
-            m[c.column] = [max(sum(level) / len(found), _FLOOR) for level in zip(*found)]
+            m[c.column] = [x / sum(middle) for x in middle]
         else:
             m[c.column] = start_m(c.top)
     return Model(prior, comparisons, m, u, rules, trained)
@@ -325,12 +333,12 @@ def with_score(compared: DataFrame, model: Model, keep_levels: bool = False,
 
 
 def predict(df: DataFrame, model: Model, threshold: float | None = None, key: str = "unique_id",
-            largest_block: int | None = None, carry: list[str] = (),
-            keep_levels: bool = False) -> DataFrame:
+            largest_block: int | None = None, pairs: int | None = None,
+            carry: list[str] = (), keep_levels: bool = False) -> DataFrame:
     """Scored candidate pairs of ``df`` (which has the ``tf_`` columns)."""
     columns = [*compared_columns(model.comparisons), *carry]
-    pairs = block_pairs(df, model.rules, columns, key, largest_block)
-    scored = with_score(compare_pairs(pairs, model.comparisons), model, keep_levels)
+    met = block_pairs(df, model.rules, columns, key, largest_block, pairs)
+    scored = with_score(compare_pairs(met, model.comparisons), model, keep_levels)
     return scored if threshold is None else scored.where(F.col("match_probability") >= threshold)
 
 
