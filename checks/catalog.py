@@ -310,7 +310,7 @@ def block_sizes_skewed(spark, folder):
 
 @query
 def select_blocking_rules(spark, folder):
-    rows = enhanced_people(spark, folder)
+    rows = written_people(spark, folder)
     costs = blocking.cost_rules(rows, [*RULES, blocking.BlockingRule("state", ("state_norm",))])
     chosen, notes = blocking.select_rules(costs, max_rules=3, max_comparisons=100_000)
     names = [r.name for r in chosen]
@@ -444,14 +444,14 @@ def estimate_u(spark, folder):
 
 @query
 def term_frequencies(spark, folder):
-    rows = enhanced_people(spark, folder)
+    rows = written_people(spark, folder)
     tf = compare.add_term_frequencies(rows, [compare.exact("city_norm", True)])
     return tf.select("unique_id", "city_norm", F.round("tf_city_norm", 9).alias("tf"))
 
 
 def scored_people(spark, folder) -> tuple[DataFrame, DataFrame]:
     rows = materialize(
-        compare.add_term_frequencies(enhanced_people(spark, folder), FIXED_MODEL.comparisons),
+        compare.add_term_frequencies(written_people(spark, folder), FIXED_MODEL.comparisons),
         "people")
     return rows, model.predict(rows, FIXED_MODEL, keep_levels=True)
 
@@ -626,7 +626,7 @@ def _incoming(spark, folder) -> DataFrame:
 
 def _new_links(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
     base = materialize(
-        compare.add_term_frequencies(enhanced_people(spark, folder), FIXED_MODEL.comparisons),
+        compare.add_term_frequencies(written_people(spark, folder), FIXED_MODEL.comparisons),
         "people")
     new = check.prepare_incoming(_incoming(spark, folder), base, PEOPLE_ROLES)
     return new, base, check.score_links(new, base, FIXED_MODEL)
@@ -658,7 +658,7 @@ def check_new_records(spark, folder):
 @query
 def fuzzy_rescore(spark, folder):
     rows = materialize(
-        compare.add_term_frequencies(enhanced_people(spark, folder), FIXED_MODEL.comparisons),
+        compare.add_term_frequencies(written_people(spark, folder), FIXED_MODEL.comparisons),
         "people")
     new = check.prepare_incoming(_incoming(spark, folder), rows, PEOPLE_ROLES)
     columns = check.fuzzy_columns(rows.columns, PEOPLE_ROLES)

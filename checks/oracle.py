@@ -233,6 +233,29 @@ ORACLE["infer_roles_basic"] = f"""{PEOPLE}, iso AS (
 SELECT * FROM ({_golden(_NAMED)}) UNION ALL
 SELECT 'date', 'date_of_birth', 'value_pattern' FROM iso WHERE share >= 0.5"""
 
+def _first_column(table: str, columns: list[str], test: str) -> str:
+    whens = " ".join(
+        f"WHEN count(DISTINCT {c}) / count(*) {test} THEN '{c}'" for c in columns)
+    return f"(SELECT CASE {whens} END FROM {table})"
+
+
+_TYPED = [("numeric_id", "o_orderkey", "name_pattern", "orders"),
+          ("date", "o_orderdate", "name_pattern", "orders"),
+          ("numeric_id", "p_partkey", "name_pattern", "part"),
+          ("name", "p_name", "name_pattern", "part"),
+          ("numeric_id", "event_id", "name_pattern", "events"),
+          ("date", "ts", "type", "events"),
+          ("numeric_id", "doc_id", "name_pattern", "documents")]
+_TEXTS = {"orders": ["o_orderstatus", "o_orderpriority"], "part": ["p_brand", "p_type"],
+          "events": ["event_type", "props"], "documents": ["text", "lang", "source"]}
+ORACLE["infer_roles_by_type"] = " UNION ALL ".join(
+    [f"SELECT '{r}' AS role, '{c}' AS column_name, '{p}' AS source_pass, '{t}' AS table_name"
+     for r, c, p, t in _TYPED]
+    + [f"SELECT * FROM (SELECT '{role}', {_first_column(t, cs, test)} AS c, 'distribution', '{t}') "
+       "WHERE c IS NOT NULL"
+       for t, cs in _TEXTS.items() for role, test in (("category_enum", "< 0.1"), ("text_freeform", "> 0.5"))])
+
+
 # ------------------------------------------------------------------ derive
 
 ORACLE["normalize_contact"] = f"""{ENHANCED} SELECT unique_id, first_name_norm, last_name_norm,
@@ -319,7 +342,7 @@ counted AS (SELECT unique_id_l, unique_id_r, sum(na * nb) AS dot, sqrt(sum(na *
 SELECT unique_id_l, unique_id_r, round(jaro_similarity(la, lb), 6) AS jaro,
   round(jaro_winkler_similarity(ca, cb), 6) AS jaro_winkler,
   CAST(damerau_levenshtein(aa, ab) AS INT) AS damerau, round(jaccard(aa, ab), 6) AS jaccard,
-  round(1 - dot / (sa * sb), 6) AS cosine
+  round(greatest(0.0, 1 - dot / (sa * sb)), 6) AS cosine
 FROM v JOIN counted USING (unique_id_l, unique_id_r)"""
 ORACLE["text_similarities"] = r"""
 WITH w AS (SELECT conv_id, turn, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM conversations),
@@ -328,7 +351,7 @@ norm AS (SELECT conv_id, turn, sqrt(sum(n * n)) AS s FROM c GROUP BY 1, 2),
 dot AS (SELECT a.conv_id, a.turn, sum(a.n * b.n) AS d FROM c a JOIN c b
   ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.w = b.w GROUP BY 1, 2)
 SELECT a.conv_id, a.turn, round(CASE WHEN na.s IS NULL OR nb.s IS NULL THEN 1.0
-  ELSE 1 - coalesce(d, 0) / (na.s * nb.s) END, 6) AS cosine
+  ELSE greatest(0.0, 1 - coalesce(d, 0) / (na.s * nb.s)) END, 6) AS cosine
 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
 LEFT JOIN norm na ON na.conv_id = a.conv_id AND na.turn = a.turn
 LEFT JOIN norm nb ON nb.conv_id = b.conv_id AND nb.turn = b.turn

@@ -229,38 +229,37 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
 
-def _word_counts(text: Column) -> Column:
-    """word -> count, from the sorted word list: one pass instead of one per word."""
-    ordered = F.array_sort(words(text))
-    last = F.size(ordered)
-    starts = F.filter(
-        F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0))),
-        lambda i: (i < last) & ((i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))),
-    )
-    return F.map_from_entries(F.transform(
-        starts,
-        lambda i, nth: F.struct(
-            F.get(ordered, i).alias("word"),
-            (F.coalesce(F.get(starts, nth + 1), last) - i).cast("double").alias("n"),
-        ),
-    ))
-
-
-def _norm(counts: Column) -> Column:
-    return F.sqrt(F.aggregate(F.map_values(counts), F.lit(0.0), lambda s, n: s + n * n))
-
-
 def cosine_distance(left: Column, right: Column) -> Column:
-    """1 - cosine of the two word-count vectors; 1 when either has no words."""
-    a, b = _word_counts(left), _word_counts(right)
-    dot = F.aggregate(
-        F.map_entries(a), F.lit(0.0),
-        lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0.0)),
-    )
-    size = _norm(a) * _norm(b)
-    return F.when(left.isNull() | right.isNull(), None).otherwise(
-        F.when(size == 0, 1.0).otherwise(1 - dot / size)
-    )
+    """1 - cosine of the two word-count vectors; 1 when either has no words.
+
+    Both word lists are sorted together and walked once, closing a word's counts when the
+    next word starts, so long texts cost no more than their sort.
+    """
+    def tagged(text: Column, first: float, second: float) -> Column:
+        return F.transform(words(text), lambda w: F.struct(
+            w.alias("word"), F.lit(first).alias("a"), F.lit(second).alias("b")))
+
+    def state(word, a, b, dot, aa, bb) -> Column:
+        return F.struct(word.alias("word"), a.alias("a"), b.alias("b"), dot.alias("dot"),
+                        aa.alias("aa"), bb.alias("bb"))
+
+    def closed(s: Column) -> tuple[Column, Column, Column]:
+        return (s["dot"] + s["a"] * s["b"], s["aa"] + s["a"] * s["a"], s["bb"] + s["b"] * s["b"])
+
+    def step(s: Column, t: Column) -> Column:
+        more = state(s["word"], s["a"] + t["a"], s["b"] + t["b"], s["dot"], s["aa"], s["bb"])
+        return F.when(s["word"] == t["word"], more).otherwise(
+            state(t["word"], t["a"], t["b"], *closed(s)))
+
+    def distance(s: Column) -> Column:
+        dot, aa, bb = closed(s)
+        return F.when((aa == 0) | (bb == 0), 1.0).otherwise(
+            F.greatest(F.lit(0.0), 1 - dot / (F.sqrt(aa) * F.sqrt(bb))))
+
+    zero = F.lit(0.0)
+    start = state(F.lit(""), zero, zero, zero, zero, zero)
+    both = F.array_sort(F.concat(tagged(left, 1.0, 0.0), tagged(right, 0.0, 1.0)))
+    return F.aggregate(both, start, step, distance)
 
 
 def qgrams(text: Column, q: int) -> Column:

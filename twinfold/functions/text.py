@@ -51,7 +51,8 @@ def fold_accents(text: Column) -> Column:
 
 
 def blank_to_null(text: Column) -> Column:
-    return F.when(text != "", text)
+    # nullif, not when: Spark then computes a nested expression once instead of twice
+    return F.nullif(text, F.lit(""))
 
 
 def squeeze_lower(text: Column) -> Column:

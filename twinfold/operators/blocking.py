@@ -34,14 +34,13 @@ class BlockingRule:
     columns: tuple[str, ...]
 
     def key(self) -> Column:
-        """The block of a record as one text, null when a column is null or blank. The
-        lengths in front keep ("ab", "c") apart from ("a", "bc")."""
+        """The block of a record as one text, null when a column is null or blank. Doubled
+        bars before the separator keep ("a|", "b") apart from ("a", "|b")."""
         parts = []
         for column in self.columns:
-            text = F.col(column).cast("string")
-            filled = F.when(text != "", text)
-            parts.append(F.concat(F.length(filled).cast("string"), F.lit(":"), filled))
-        return F.concat(*parts)
+            filled = F.nullif(F.col(column).cast("string"), F.lit(""))
+            parts += [F.replace(filled, F.lit("|"), F.lit("||")), F.lit("|,")]
+        return F.concat(*parts[:-1])
 
 
 @dataclass(frozen=True)
@@ -265,9 +264,10 @@ def matched_pairs(df: DataFrame, rules: list[BlockingRule]) -> int:
     combined = []
     for size in range(1, len(rules) + 1):
         for some in combinations(rules, size):
+            together = BlockingRule("", tuple(rule_columns(some)))
             combined.append(F.struct(
                 F.lit(len(combined)).alias("combination"), F.lit((-1) ** (size + 1)).alias("sign"),
-                F.concat(*[r.key() for r in some]).alias("block_key")))
+                together.key().alias("block_key")))
     sizes = (
         df.select(F.inline(F.array(*combined))).where("block_key IS NOT NULL")
         .groupBy("combination", "sign", "block_key").agg(F.count("*").alias("block_rows"))
