@@ -243,7 +243,7 @@ _TYPED = [("numeric_id", "o_orderkey", "name_pattern", "orders"),
           ("date", "o_orderdate", "name_pattern", "orders"),
           ("numeric_id", "p_partkey", "name_pattern", "part"),
           ("name", "p_name", "name_pattern", "part"),
-          ("numeric_id", "event_id", "name_pattern", "events"),
+          ("numeric_id", "user_id", "alias", "events"),
           ("date", "ts", "type", "events"),
           ("numeric_id", "doc_id", "name_pattern", "documents")]
 _TEXTS = {"orders": ["o_orderstatus", "o_orderpriority"], "part": ["p_brand", "p_type"],
