@@ -1,9 +1,10 @@
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinfold.operators import blocking, check, clusters, compare, components, dedupe, model
+from twinfold.operators import blocking, check, clusters, compare, components, dedupe, merge, model
 from twinfold.operators.numbering import dense_number, number_within
 from twinfold.operators.profile import profile_columns
 from twinfold.operators.roles import infer_roles
@@ -47,6 +48,30 @@ def test_pairs_costs_and_pieces(records):
     assert costs[0].largest_block == 30
 
 
+def test_links_to_large_blocks(spark, records):
+    new = records.where("unique_id < '030'").withColumn(
+        "unique_id", F.concat(F.lit("n"), "unique_id"))
+    plain = blocking.block_links(new, records, RULES, [])
+    pieces = blocking.block_links(new, records, RULES, [], piece_rows=4)
+    rows = lambda df: sorted((r["unique_id_l"], r["unique_id_r"], r["rule_no"]) for r in df.collect())
+    assert rows(plain) == rows(pieces)
+    expected = {(a["unique_id"], b["unique_id"]) for a in records.collect() for b in new.collect()
+                if any(all(a[c] and a[c] == b[c] for c in r.columns) for r in RULES)}
+    assert {r[:2] for r in rows(pieces)} == expected and len(rows(pieces)) == len(expected)
+
+
+def test_minhash_estimates_jaccard():
+    """Band agreement follows the likeness of the word sets, not their single lowest word."""
+    factors, offsets = (np.array(c, dtype=np.uint64) for c in merge.permutation_constants())
+    shared = lambda likeness: np.mean([
+        bool(set(merge.band_keys_of(" ".join(f"{t}w{i}" for i in range(200)), factors, offsets))
+             & set(merge.band_keys_of(" ".join(
+                 f"{t}w{i}" for i in range(200 - likeness, 400 - likeness)), factors, offsets)))
+        for t in range(60)])
+    # 190 of 210 words in common: 0.905 alike; 100 of 300: 0.33 alike
+    assert shared(190) > 0.85 and shared(100) < 0.05
+
+
 def test_keys_do_not_run_together(spark):
     rows = spark.createDataFrame(
         [("1", "a|", "b"), ("2", "a", "|b"), ("3", "a|,", "b"), ("4", "a", ",b")],

@@ -20,6 +20,8 @@ MAX_COMPARISONS = 20_000_000
 
 # A block with more pairs than this is compared in pieces of about this many.
 PIECE_PAIRS = 4_000_000
+# Incoming records meet at most this many records of a block in one task.
+PIECE_ROWS = 100_000
 # Comparing is heavy next to reading, so tasks are cut by pairs rather than by bytes.
 TASK_PAIRS = 100_000
 MAX_TASKS = 20_000
@@ -178,14 +180,9 @@ def diagnostics_table(spark: SparkSession, notes: list[Diagnosis]) -> DataFrame:
               "columns array<string>")
 
 
-def _in_pieces(side: DataFrame, sizes: DataFrame, id_column: str, piece_pairs: int,
-               copies: bool) -> DataFrame:
-    """Split the rows of large blocks into pieces: one side is spread over them, the other
-    is copied to each, so every pair still meets exactly once."""
-    rows = F.col("block_rows").cast("double")
-    large = sizes.where(rows * rows > piece_pairs).select(
-        "rule_no", "block_key", "block_rows",
-        F.ceil(rows * rows / piece_pairs).cast("int").alias("_pieces"))
+def _in_pieces(side: DataFrame, large: DataFrame, id_column: str, copies: bool) -> DataFrame:
+    """Split the rows of large blocks into ``_pieces`` pieces: one side is spread over
+    them, the other is copied to each, so every pair still meets exactly once."""
     side = skew_join(side, large, ["rule_no", "block_key"], "block_rows", "left")
     pieces = F.coalesce("_pieces", F.lit(1))
     if copies:
@@ -195,6 +192,11 @@ def _in_pieces(side: DataFrame, sizes: DataFrame, id_column: str, piece_pairs: i
     return side.withColumn("_piece", piece).drop("_pieces", "block_rows")
 
 
+def _large_blocks(sizes: DataFrame, load: Column, limit: int) -> DataFrame:
+    """Blocks whose ``load`` is over the limit, with the number of pieces to make of them."""
+    return sizes.where(load > limit).withColumn("_pieces", F.ceil(load / limit).cast("int"))
+
+
 def _first_rule_only(rules: list[BlockingRule], left: str, right: str) -> Column:
     """False for a pair that an earlier rule brings too."""
     earlier = [
@@ -233,9 +235,10 @@ def block_pairs(df: DataFrame, rules: list[BlockingRule], columns: list[str] = (
     left, right = _side(df, rules, carried, "l"), _side(df, rules, carried, "r")
     on = ["rule_no", "block_key"]
     if largest_block and largest_block**2 > piece_pairs:
-        sizes = block_sizes(df, rules)
-        left = _in_pieces(left, sizes, f"{key}_l", piece_pairs, copies=True)
-        right = _in_pieces(right, sizes, f"{key}_r", piece_pairs, copies=False)
+        load = F.col("block_rows").cast("double") * F.col("block_rows")
+        large = _large_blocks(block_sizes(df, rules), load, piece_pairs)
+        left = _in_pieces(left, large, f"{key}_l", copies=True)
+        right = _in_pieces(right, large, f"{key}_r", copies=False)
         on.append("_piece")
     tasks = tasks_for(pairs)
     if tasks:
@@ -247,13 +250,21 @@ def block_pairs(df: DataFrame, rules: list[BlockingRule], columns: list[str] = (
 
 
 def block_links(new: DataFrame, base: DataFrame, rules: list[BlockingRule],
-                columns: list[str], key: str = "unique_id") -> DataFrame:
-    """Pairs of a base record (``_l``) and an incoming record (``_r``) sharing a block."""
+                columns: list[str], key: str = "unique_id",
+                piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Pairs of a base record (``_l``) and an incoming record (``_r``) sharing a block.
+    The base records of a block over ``piece_rows`` are spread over several tasks."""
     carried = list(dict.fromkeys([key, *columns]))
     left, right = _side(base, rules, carried, "l"), _side(new, rules, carried, "r")
-    return (left.join(right, ["rule_no", "block_key"])
-            .where(_first_rule_only(rules, "_keys_l", "_keys_r"))
-            .drop("_keys_l", "_keys_r", "block_key"))
+    on = ["rule_no", "block_key"]
+    sizes = block_sizes(base, rules)
+    if (sizes.agg(F.max("block_rows")).first()[0] or 0) > piece_rows:
+        large = _large_blocks(sizes, F.col("block_rows"), piece_rows)
+        left = _in_pieces(left, large, f"{key}_l", copies=False)
+        right = _in_pieces(right, large, f"{key}_r", copies=True)
+        on.append("_piece")
+    return (left.join(right, on).where(_first_rule_only(rules, "_keys_l", "_keys_r"))
+            .drop("_keys_l", "_keys_r", "block_key", "_piece"))
 
 
 def matched_pairs(df: DataFrame, rules: list[BlockingRule]) -> int:

@@ -335,7 +335,12 @@ def with_score(compared: DataFrame, model: Model, keep_levels: bool = False,
 def predict(df: DataFrame, model: Model, threshold: float | None = None, key: str = "unique_id",
             largest_block: int | None = None, pairs: int | None = None,
             carry: list[str] = (), keep_levels: bool = False) -> DataFrame:
-    """Scored candidate pairs of ``df`` (which has the ``tf_`` columns)."""
+    """Scored candidate pairs of ``df`` (which has the ``tf_`` columns). What the rules cost
+    is looked up when not given, so that large blocks are always cut into pieces."""
+    if pairs is None or largest_block is None:
+        costs = cost_rules(df, model.rules)
+        largest_block = max(c.largest_block for c in costs)
+        pairs = sum(c.comparisons for c in costs)
     columns = [*compared_columns(model.comparisons), *carry]
     met = block_pairs(df, model.rules, columns, key, largest_block, pairs)
     scored = with_score(compare_pairs(met, model.comparisons), model, keep_levels)
