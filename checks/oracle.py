@@ -449,7 +449,7 @@ marked AS (SELECT *, min(id) OVER (PARTITION BY words) AS first_id FROM w WHERE
 hashes AS (SELECT DISTINCT id, CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) AS h
   FROM (SELECT id, unnest(words) AS x FROM marked WHERE id = first_id)),
 perms(i, a, b) AS (VALUES {_PERMS}),
-lowest AS (SELECT id, i, min(((CAST(a AS HUGEINT) * h + b) % 18446744073709551616) // 4294967296) AS v FROM hashes, perms GROUP BY 1, 2),
+lowest AS (SELECT id, i, min((a * h + b) % {merge.PRIME}) AS v FROM hashes, perms GROUP BY 1, 2),
 bands AS (SELECT id, md5((i // {merge.BAND_ROWS}) || ':' || string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS band
   FROM lowest GROUP BY id, i // {merge.BAND_ROWS}),
 shared AS (SELECT id, min(id) OVER (PARTITION BY band) AS low FROM bands),
