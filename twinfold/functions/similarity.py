@@ -258,7 +258,7 @@ def cosine_distance(left: Column, right: Column) -> Column:
 
     zero = F.lit(0.0)
     start = state(F.lit(""), zero, zero, zero, zero, zero)
-    both = F.array_sort(F.concat(tagged(left, 1.0, 0.0), tagged(right, 0.0, 1.0)))
+    both = F.sort_array(F.concat(tagged(left, 1.0, 0.0), tagged(right, 0.0, 1.0)))
     return F.aggregate(both, start, step, distance)
 
 
