@@ -33,7 +33,7 @@ from twinfold.sources.package import ship_package
 BLOCK_IDS = 512
 PERCENTILE = 0.95
 SEGMENT_IDS = 1_000_000  # a segment ends with the document that reaches it
-MOST_CACHED = 500_000  # words a worker remembers, in each of two generations
+MOST_CACHED = 200_000  # words a worker remembers, in each of two generations
 LONGEST_CACHED = 64
 END_ID = 1
 
