@@ -26,8 +26,10 @@ from twinfold.sources.package import ship_package
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+"
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-MOST_CACHED = 400_000
+MOST_CACHED = 250_000
+MOST_PAIRS = 500_000
 LONGEST_CACHED = 64  # longer words (in letters) are encoded each time
+SLICE_ROWS = 500  # documents whose ids and texts a worker holds at once
 _STRETCH = 4096  # starting places whose matches are held at once
 
 
@@ -36,6 +38,20 @@ def _letters() -> dict[str, int]:
     return {chr(b): b for b in _PRINTABLE} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Pairs(dict):
+    """Whether two tokens may stand side by side, by left << 32 | right."""
+
+    def __init__(self, compatible) -> None:
+        super().__init__()
+        self.compatible = compatible
+
+    def __missing__(self, pair: int) -> bool:
+        if len(self) >= MOST_PAIRS:
+            self.clear()
+        got = self[pair] = self.compatible(pair >> 32, pair & 0xFFFFFFFF)
+        return got
+
+
 class _Words(dict):
     """Ids of words as bytes. Over ``MOST_CACHED`` words they become the older generation, from
     which a word that comes again is taken over; so two generations are held at most."""
@@ -57,7 +73,7 @@ class _Words(dict):
 
 
 class BacktrackingBpe:
-    """Vocabulary, automaton and pair table of one tokenizer file (its JSON text)."""
+    """Vocabulary, automaton and pair table of one tokenizer file (its JSON text): the encoder."""
 
     def __init__(self, tokenizer_json: str) -> None:
         spec = json.loads(tokenizer_json)
@@ -77,19 +93,15 @@ class BacktrackingBpe:
         self.longest = max(map(len, self.bytes_of.values()))
         self.automaton = ahocorasick.Automaton()
         for i, b in self.bytes_of.items():
-            if len(b) == 1 or i in self.parts:
+            if i in self.parts:
                 self.automaton.add_word(b.decode("latin-1"), (len(b), i))
+        # single bytes match everywhere; they are looked up where nothing longer is compatible
+        self.single = {b.decode("latin-1"): (1, i) for b, i in self.id_of.items() if len(b) == 1}
         self.automaton.make_automaton()
-        self.compatible = lru_cache(maxsize=1 << 18)(self._compatible)
+        self.pairs = _Pairs(self._compatible)
         self.split = regex.compile(WORDS).findall
         self.specials = regex.compile("|".join(f"({regex.escape(s)})" for s in self.special) or "(?!)")
         self.known = _Words(self.encode_word)
-        size = max([*self.bytes_of, *self.special.values()]) + 1
-        pieces = [self.bytes_of.get(i, b"") for i in range(size)]
-        for s, i in self.special.items():
-            pieces[i] = s.encode()
-        self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
-        self.blob = np.frombuffer(b"".join(pieces), dtype=np.uint8)
 
     def _compatible(self, left: int, right: int) -> bool:
         """Whether merging by rank leaves ``left`` and ``right`` apart.
@@ -114,48 +126,43 @@ class BacktrackingBpe:
             else:
                 limit, right = (rank_r, 2), self.parts[right][1]
 
-    def _matches(self, text: str, start: int) -> list[list[tuple[int, int]]]:
-        """For each place of a stretch the tokens that begin there, shortest first."""
-        stretch = min(_STRETCH, len(text) - start)
-        found: list[list[tuple[int, int]]] = [[] for _ in range(stretch)]
-        for end, (length, token) in self.automaton.iter(text, start, min(len(text), start + stretch + self.longest)):
-            at = end - length + 1 - start
-            if 0 <= at < stretch:
-                found[at].append((length, token))
-        return found  # ends come in ascending order, so lengths per start do too
+    def matches(self, text: str, start: int, stop: int) -> list[list[tuple[int, int]]]:
+        """For each place from ``start`` to ``stop`` the tokens (length, id) that begin there,
+        shortest first, as their ends come in ascending order."""
+        found = [[self.single[c]] for c in text[start:stop]]
+        for end, match in self.automaton.iter(text, start, min(len(text), stop + self.longest)):
+            at = end + 1 - match[0]
+            if at < stop:
+                found[at - start].append(match)
+        return found
 
     def encode_word(self, word: bytes) -> list[int]:
         """Tokens of one word, as merging by rank gives them."""
-        if (whole := self.id_of.get(word)) is not None and len(word) == 1:
-            return [whole]
-        text, size = word.decode("latin-1"), len(word)
-        stretches: dict[int, list[list[tuple[int, int]]]] = {}
+        text, size, pairs = word.decode("latin-1"), len(word), self.pairs
+        found = self.matches(text, 0, size) if size <= _STRETCH else _Stretches(self, text)
         tokens: list[int] = []
-        taken: list[int] = []  # how many of the tokens at that place, counted from the longest, were tried
+        chosen: list[int] = []  # which of the matches at its place each token is
         dead: set[tuple[int, int]] = set()  # (place, token before) from which no way leads on
-        at, tried = 0, 0
+        at, before, k = 0, -1, -1
         while at < size:
-            number = at // _STRETCH
-            if number not in stretches:
-                if len(stretches) > 2:
-                    stretches.pop(min(stretches))
-                stretches[number] = self._matches(text, number * _STRETCH)
-            here = stretches[number][at - number * _STRETCH]
-            before = tokens[-1] if tokens else -1
-            for k in range(tried, len(here)):
-                length, token = here[-1 - k]
-                if (before < 0 or self.compatible(before, token)) and (at + length, token) not in dead:
+            here = found[at]
+            if k < 0:
+                k = len(here)
+            while k:
+                k -= 1
+                length, token = here[k]
+                if (before < 0 or pairs[before << 32 | token]) and not (dead and (at + length, token) in dead):
                     tokens.append(token)
-                    taken.append(k)
-                    at, tried = at + length, 0
+                    chosen.append(k)
+                    at, before, k = at + length, token, -1
                     break
             else:
                 if not tokens:
-                    raise ValueError("bytes outside the vocabulary")
-                last = tokens.pop()
-                dead.add((at, last))
-                at -= len(self.bytes_of[last])
-                tried = taken.pop() + 1
+                    raise ValueError("no way through the word")
+                dead.add((at, before))
+                at -= len(self.bytes_of[tokens.pop()])
+                k = chosen.pop()
+                before = tokens[-1] if tokens else -1
         return tokens
 
     def _plain(self, text: str) -> bytes:
@@ -171,6 +178,20 @@ class BacktrackingBpe:
             at = m.end()
         return b"".join([*out, self._plain(text[at:])])
 
+
+class OffsetDecoder:
+    """The bytes of all tokens in one run, and where each token's begin."""
+
+    def __init__(self, tokenizer_json: str) -> None:
+        spec = json.loads(tokenizer_json)
+        letter = _letters()
+        special = {t["id"]: t["content"].encode() for t in spec["added_tokens"] if t["special"]}
+        token_of = {i: t for t, i in spec["model"]["vocab"].items()}
+        size = max([*token_of, *special]) + 1
+        pieces = [special[i] if i in special else bytes(letter[c] for c in token_of.get(i, "")) for i in range(size)]
+        self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
+        self.blob = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+
     def decode(self, ids: bytes) -> str:
         """Text of the ids; bytes that are no UTF-8 become replacement signs."""
         numbers = np.frombuffer(ids, dtype="<u4").astype(np.int64)
@@ -183,42 +204,79 @@ class BacktrackingBpe:
         return self.blob[places].tobytes().decode("utf-8", "replace")
 
 
+class _Stretches:
+    """The matches of a long word, stretch by stretch, of which the last few are held."""
+
+    def __init__(self, coder: BacktrackingBpe, text: str) -> None:
+        self.coder, self.text, self.held = coder, text, {}
+
+    def __getitem__(self, at: int) -> list[tuple[int, int]]:
+        number, place = divmod(at, _STRETCH)
+        if number not in self.held:
+            if len(self.held) > 2:
+                self.held.pop(min(self.held))
+            start = number * _STRETCH
+            self.held[number] = self.coder.matches(self.text, start, min(len(self.text), start + _STRETCH))
+        return self.held[number][place]
+
+
 @lru_cache(maxsize=2)
-def _loaded(tokenizer_json: str) -> BacktrackingBpe:
-    return BacktrackingBpe(tokenizer_json)
+def _loaded(kind: type, tokenizer_json: str) -> BacktrackingBpe | OffsetDecoder:
+    return kind(tokenizer_json)
 
 
-def _per_batch(df: DataFrame, columns: list[str], tokenizer_json: str, schema: str, make) -> DataFrame:
+def _mapped(df: DataFrame, columns: list[str], tokenizer_json: str, schema: str, make) -> DataFrame:
     ship_package(df.sparkSession)
     content = df.sparkSession.sparkContext.broadcast(tokenizer_json)  # a vocabulary: of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _loaded(content.value)
         for batch in batches:
-            yield make(coder, batch)
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), *make(content.value, part)], names)
 
+    names = [field.split(" ")[0] for field in schema.split(", ")]
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def _encoded(content: str, texts: pa.Array) -> list[bytes]:
+    encode = _loaded(BacktrackingBpe, content).encode
+    return [encode(t or "") for t in texts.to_pylist()]
+
+
+def _decoded(content: str, ids: list[bytes | None]) -> pa.Array:
+    decode = _loaded(OffsetDecoder, content).decode
+    return pa.array([decode(i or b"") for i in ids], pa.string())
+
+
 def encode_documents(documents: DataFrame, id_col: str, text_col: str, tokenizer_json: str) -> DataFrame:
     """(id, ids): the token ids of every whole text as little-endian 32-bit integers.
 
     ``tokenizer_json`` is the content of a byte-level BPE file. Null texts count as empty and have
     no ids; rows are neither dropped nor merged, whatever their id; other columns are ignored.
     """
-    def make(coder: BacktrackingBpe, batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [coder.encode(t or "") for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
+    def make(content: str, part: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array(_encoded(content, part.column(1)), pa.binary())]
 
-    type_ = documents.schema[id_col].dataType.simpleString()
-    return _per_batch(documents, [id_col, text_col], tokenizer_json, f"id {type_}, ids binary", make)
+    kind = documents.schema[id_col].dataType.simpleString()
+    return _mapped(documents, [id_col, text_col], tokenizer_json, f"id {kind}, ids binary", make)
 
 
 def decode_documents(encoded: DataFrame, tokenizer_json: str) -> DataFrame:
-    """(id, ids, text) from the result of ``encode_documents``."""
-    def make(coder: BacktrackingBpe, batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [coder.decode(i or b"") for i in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "ids", "text"])
+    """(id, text) from the result of ``encode_documents``; null ids decode to an empty text."""
+    def make(content: str, part: pa.RecordBatch) -> list[pa.Array]:
+        return [_decoded(content, part.column(1).to_pylist())]
+
+    kind = encoded.schema["id"].dataType.simpleString()
+    return _mapped(encoded, ["id", "ids"], tokenizer_json, f"id {kind}, text string", make)
+
+
+def encode_and_decode(documents: DataFrame, id_col: str, text_col: str, tokenizer_json: str) -> DataFrame:
+    """(id, ids, text): both at once, in one pass of the documents through one Python worker per
+    task; the same as ``decode_documents`` of ``encode_documents``."""
+    def make(content: str, part: pa.RecordBatch) -> list[pa.Array]:
+        ids = _encoded(content, part.column(1))
+        return [pa.array(ids, pa.binary()), _decoded(content, ids)]
 
-    type_ = encoded.schema["id"].dataType.simpleString()
-    return _per_batch(encoded, ["id", "ids"], tokenizer_json, f"id {type_}, ids binary, text string", make)
+    kind = documents.schema[id_col].dataType.simpleString()
+    return _mapped(documents, [id_col, text_col], tokenizer_json, f"id {kind}, ids binary, text string", make)

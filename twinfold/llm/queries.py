@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from twinfold.operators.scratch import scratch_root
 
-from .bpe import decode_documents, encode_documents
+from .bpe import encode_and_decode
 from .mixing import mix_sources, plan_mixture
 from .near_vectors import near_vectors
 from .quality import THRESHOLD, quality_score, train_quality
@@ -75,8 +75,7 @@ def op5_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = tokenizer("byte_bpe_50k.json")
-    decoded = decode_documents(encode_documents(table(spark, sf_dir, "documents"), "doc_id", "text", content), content)
+    decoded = encode_and_decode(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer("byte_bpe_50k.json"))
     return decoded.select(
         F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
