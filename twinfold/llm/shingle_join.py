@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.operators.components import connected_components
-from twinfold.operators.scratch import forget, materialize
+from twinfold.operators.scratch import materialize
 from twinfold.operators.skew import skew_join
 from twinfold.sources.package import ship_package
 
@@ -192,38 +192,90 @@ def _pairs(a: list, b: list, key: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "key"])
 
 
-def _crossing(rows: DataFrame) -> DataFrame:
-    """(a, b) of the pairs of a cell that are in different components so far. ``rows`` are (key,
-    cell_a, cell_b, stripe, id, component), sorted by the first three."""
+def bit_sketch(shingles: np.ndarray) -> bytes:
+    """Parity sketch of 8 to 16 bits per shingle: a power of two, so that the longer of two folds
+    to the length of the other."""
+    size = 1 << max(6, (8 * len(shingles) - 1).bit_length())
+    flips = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def _differing(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Hamming distances of the last axis."""
+    return np.bitwise_count(one ^ two).sum(axis=-1, dtype=np.int64)
+
+
+def _crossing(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs of a cell that are in different components so far and whose sketches
+    differ in no more bits than similar documents may. ``rows`` are (key, cell_a, cell_b, stripe,
+    id, component, n, bits), sorted by the first three."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in whole_groups(batches, ["key", "cell_a", "cell_b"]):
-            ids, part = table["id"].to_numpy(), table["component"].to_numpy()
+            ids, part, n = (table[c].to_numpy() for c in ("id", "component", "n"))
             stripe, low, high = (table[c].to_numpy() for c in ("stripe", "cell_a", "cell_b"))
+            sketch = table["bits"]
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                for i in range(s, e):
+                if e - s < 2 or (part[s:e] == part[s]).all():
+                    continue
+                bits = [np.frombuffer(sketch[i].as_buffer(), np.uint8) for i in range(s, e)]
+                size = min(map(len, bits))
+                grid = np.stack([_folded(x, size) for x in bits])
+                for i in range(s, e - 1):
                     others = np.arange(i + 1, e)
                     apart = part[others] != part[i]
                     if low[i] != high[i]:
                         apart &= stripe[others] != stripe[i]
-                    if apart.any():
-                        b = ids[others[apart]]
-                        yield _pairs([np.full(len(b), ids[i])], [b], [np.zeros(len(b))])
+                    others = others[apart]
+                    if len(others):
+                        most = (n[others] + n[i]) * (100 - percent) // (100 + percent)
+                        b = ids[others[_differing(grid[others - s], grid[i - s]) <= most]]
+                        if len(b):
+                            yield _pairs([np.full(len(b), ids[i])], [b], [np.zeros(len(b))])
 
     return rows.mapInArrow(run, "a bigint, b bigint, key bigint").select("a", "b")
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a < b) whose shingle sets reach the similarity. Only documents that are in a pair
-    are read into sets again; a pair takes the set of one side to the other."""
-    percent = round(similarity * 100)
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
-    ordered = materialize(ordered, "pairs")
-    wanted = ordered.select(F.col("a").alias("id")).unionByName(ordered.select(F.col("b").alias("id"))).distinct()
+def _distinct(pairs: DataFrame) -> DataFrame:
+    return materialize(pairs.select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "pairs")
 
+
+def _known(pairs: DataFrame, documents: DataFrame, width: int) -> DataFrame:
+    """(id, n, bits, shingles) of the documents that are in a pair; only these are read again."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
+            found = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([len(x) for x in found], pa.int64()),
+                pa.array([bit_sketch(x) for x in found], pa.binary()),
+                pa.array([x.tobytes() for x in found], pa.binary())], ["id", "n", "bits", "shingles"])
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = materialize(wanted, "wanted")
+    known = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
+    texts = documents.join(known, "id", "left_semi")
+    return materialize(texts.mapInArrow(sets, "id bigint, n bigint, bits binary, shingles binary"), "sets")
+
+
+def _verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a < b) whose shingle sets reach the similarity. Sketches are compared first; only
+    pairs whose sketches differ little take the set of one side to the other."""
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            for x, y, n in zip(batch.column(4), batch.column(5), total, strict=True):
+                one, two = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                size = min(len(one), len(two))
+                good.append(_differing(_folded(one, size), _folded(two, size)) <= n * (100 - percent) // (100 + percent))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,14 +286,14 @@ def _verified(pairs: DataFrame, documents: DataFrame, width: int, similarity: fl
                 good.append(100 * shared >= percent * (len(one) + len(two) - shared))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    texts = documents.join(wanted, "id", "left_semi")
-    known = materialize(texts.mapInArrow(sets, "id bigint, shingles binary"), "sets")
-    with_a = ordered.join(known.select(F.col("id").alias("a"), F.col("shingles").alias("one")), "a")
-    both = with_a.join(known.select(F.col("id").alias("b"), F.col("shingles").alias("two")), "b")
-    links = materialize(both.select("a", "b", "one", "two").mapInArrow(compare, "a bigint, b bigint"), "links")
-    forget(known)
-    forget(ordered)
-    return links
+    def with_both(rows: DataFrame, *columns: str) -> DataFrame:
+        for end in ("a", "b"):
+            named = [F.col(c).alias(f"{c}_{end}") for c in columns]
+            rows = rows.join(known.select(F.col("id").alias(end), *named), end)
+        return rows.select("a", "b", *(f"{c}_{end}" for c in columns for end in ("a", "b")))
+
+    close = materialize(with_both(pairs, "n", "bits").mapInArrow(likely, "a bigint, b bigint").distinct(), "likely")
+    return materialize(with_both(close, "shingles").mapInArrow(compare, "a bigint, b bigint"), "links")
 
 
 def similar_documents(documents: DataFrame, id_col: str, text_col: str, width: int = 5,
@@ -273,15 +325,18 @@ def similar_documents(documents: DataFrame, id_col: str, text_col: str, width: i
     buckets = keys.repartition("key").sortWithinPartitions("key", "id")
     found = materialize(_bucket_pairs(buckets), "buckets")
     texts = named.where("id is not null")
-    links = _verified(found.select("a", "b"), texts, width, similarity)
+    percent = round(similarity * 100)
+    pairs = _distinct(found.select("a", "b"))
+    known = _known(pairs, texts, width)
+    links = _verified(pairs, known, percent)
     crowded = found.where("key != 0").select("key", F.col("b").alias("id"))
     if links.isEmpty():
         components = None
     else:
         components = materialize(connected_components(links, "a", "b"), "components")
-    rest = _unconnected(crowded, components)
+    rest = _unconnected(crowded, components, known)
     if rest is not None:
-        more = _verified(_crossing(rest), texts, width, similarity)
+        more = _verified(_distinct(_crossing(rest, percent)), known, percent)
         every = links.unionByName(more)
         if not more.isEmpty():
             components = materialize(connected_components(every, "a", "b"), "components")
@@ -297,7 +352,7 @@ def similar_documents(documents: DataFrame, id_col: str, text_col: str, width: i
         "id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def _unconnected(crowded: DataFrame, components: DataFrame | None) -> DataFrame | None:
+def _unconnected(crowded: DataFrame, components: DataFrame | None, known: DataFrame) -> DataFrame | None:
     """The members of crowded buckets that are not all in one component, dealt to cells."""
     if components is None:
         labelled = crowded.withColumn("component", F.col("id"))
@@ -308,6 +363,6 @@ def _unconnected(crowded: DataFrame, components: DataFrame | None) -> DataFrame
     split = materialize(split.select("key"), "split")
     if split.isEmpty():
         return None
-    rows = labelled.join(split, "key", "left_semi")
+    rows = labelled.join(split, "key", "left_semi").join(known.select("id", "n", "bits"), "id")
     cells = gridded(materialize(rows, "unconnected"), "key", "id", CELL_ROWS)
     return cells.repartition("key", "cell_a", "cell_b").sortWithinPartitions("key", "cell_a", "cell_b", "id")
