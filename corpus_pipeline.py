@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm.bpe import decode_documents, encode_documents
+from twinfold.llm.bpe import encode_and_decode
 from twinfold.llm.mixing import mix_sources, plan_mixture
 from twinfold.llm.quality import THRESHOLD, quality_score, train_quality
 from twinfold.llm.queries import held_out, table, tokenizer
@@ -51,8 +51,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document (32 bits, little-endian), and whether they decode to its text."""
-    content = tokenizer("byte_bpe_50k.json")
-    decoded = decode_documents(encode_documents(docs, "doc_id", "text", content), content)
+    decoded = encode_and_decode(docs, "doc_id", "text", tokenizer("byte_bpe_50k.json"))
     return decoded.select(
         F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"), "ids")
