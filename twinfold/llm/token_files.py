@@ -17,10 +17,12 @@ Spark's own writers commit whole tasks only and reach every store.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,8 @@ from twinfold.sources.package import ship_package
 BLOCK_IDS = 512
 PERCENTILE = 0.95
 SEGMENT_IDS = 1_000_000  # a segment ends with the document that reaches it
-MOST_CACHED = 200_000  # words a worker remembers, in each of two generations
+SLICE_ROWS = 500  # documents encoded at once
+MOST_CACHED = 400_000  # words a worker remembers, in each of two generations
 LONGEST_CACHED = 64
 END_ID = 1
 
@@ -129,44 +132,83 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (grid + low[:, None]).ravel()[:n_ids].astype("<u4"), lengths
 
 
-class _Words(dict):
-    """Ids, as bytes, of what stands between white space, by the tokenizers library."""
+_separators = re.compile("[\x1c-\x1f]").search  # split() takes them for white space, the tokenizer does not
+_pieces = re.compile(r"[ \n\t\r]+").split
+_PLAIN = "\u0130"  # letters below it fold their case and compose one by one, without marks
+
+
+class WordIds(dict):
+    """Ids, as bytes, of what stands between white space, by the tokenizers library.
+
+    Its words never run over white space, and folding case and composing letters act within them,
+    so a text may be cut there. Words of plain letters are new words to the library one by one;
+    those not seen yet are handed to it together, and parted again where an id ends a word.
+    Over ``MOST_CACHED`` words become the older generation, from which words that come again
+    are taken over.
+    """
 
     def __init__(self, tokenizer_json: str) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         self.encode = Tokenizer.from_str(tokenizer_json).encode
+        spec = json.loads(tokenizer_json)
+        model = spec["model"]
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)").search
+        suffix = model["end_of_word_suffix"]
+        self.ends = np.zeros(1 << 20, dtype=bool)
+        self.ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
         self.older: dict[str, bytes] = {}
 
+    def _ids(self, text: str) -> bytes:
+        ids = self.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def __missing__(self, word: str) -> bytes:
-        if word[-1] in ".," and word[-2:-1].isalnum() and word[-2] < "\u0130":
-            return self[word[:-1]] + self[word[-1]]  # a mark after a plain letter or digit is a word of its own
-        got = self.older.get(word)
-        if got is None:
-            got = struct.pack(f"<{len(ids := self.encode(word, add_special_tokens=False).ids)}I", *ids)
+        bare = word.rstrip(punctuation)
+        if bare and len(bare) < len(word) and bare[-1].isalnum() and bare[-1] < _PLAIN and not self.special(word):
+            return self[bare] + self[word[len(bare):]]  # marks after a plain letter or digit are words of their own
+        got = self.older.get(word) or self._ids(word)
         if len(word) <= LONGEST_CACHED:
-            if len(self) >= MOST_CACHED:
-                self.older = dict(self)
-                self.clear()
             self[word] = got
         return got
 
-
-@lru_cache(maxsize=2)
-def _loaded(tokenizer_json: str) -> _Words:
-    return _Words(tokenizer_json)
+    def _learn(self, words: set[str]) -> None:
+        bare = {w.rstrip(punctuation) for w in words}
+        new = [w for w in bare if w.isalpha() and w not in self and len(w) <= LONGEST_CACHED and max(w) < _PLAIN]
+        again = [w for w in new if w in self.older]
+        self.update((w, self.older[w]) for w in again)
+        if again:
+            new = [w for w in new if w not in self.older]
+        if not new:
+            return
+        data = self._ids(" ".join(new))
+        cuts = (np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) * 4 + 4).tolist()
+        if len(cuts) == len(new):  # else the words are asked for one by one
+            self.update(zip(new, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian 32-bit integers."""
+        split = [list(filter(None, _pieces(t))) if _separators(t) else t.split() for t in texts]
+        if len(self) >= MOST_CACHED:
+            self.older = dict(self)
+            self.clear()
+        words = set().union(*split)
+        self._learn({w for w in words if w not in self})
+        known = {w: self[w] for w in words}
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
 
 
-_separators = re.compile("[\x1c-\x1f]").search  # split() takes them for white space, the tokenizer does not
-_pieces = re.compile(r"[ \n\t\r]+").split
+@lru_cache(maxsize=2)
+def _loaded(tokenizer_json: str) -> WordIds:
+    return WordIds(tokenizer_json)
 
 
-def encode_words(text: str, words: _Words) -> bytes:
-    """Ids of a whole text. The tokenizer's words never run over white space, and folding case
-    and composing letters act within them, so a text may be cut at blanks and line ends."""
-    pieces = filter(None, _pieces(text)) if _separators(text) else text.split()
-    return b"".join(map(words.__getitem__, pieces))
+def _encoded(batch: pa.RecordBatch, words: WordIds) -> Iterator[tuple[object, bytes]]:
+    for start in range(0, batch.num_rows, SLICE_ROWS):
+        part = batch.slice(start, SLICE_ROWS)
+        texts = [t or "" for t in part.column(1).to_pylist()]
+        yield from zip(part.column(0).to_pylist(), words.encode_texts(texts), strict=True)
 
 
 def write_files(documents: DataFrame, id_col: str, text_col: str, tokenizer_json: str, path: str,
@@ -200,8 +242,8 @@ def write_files(documents: DataFrame, id_col: str, text_col: str, tokenizer_json
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode_words(text or "", words) + end
+            for doc_id, ids in _encoded(batch, words):
+                ids += end
                 doc_ids.append(doc_id)
                 pieces.append(ids)
                 held += len(ids) // 4
