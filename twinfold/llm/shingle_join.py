@@ -1,6 +1,6 @@
 """N-gram Jaccard join by parity sketches.
 
-The distinct shingles of a document are dealt to m parts by their hash; a part is a sketch of 65,536
+The distinct shingles of a document are dealt to m parts by their hash; a part is a sketch of 2^32
 bits, and a shingle flips the bit its hash names. Two sketches differ in a part only if some shingle in
 one document alone fell there, so the number of differing parts, like the Hamming distance,
 is at most the symmetric difference. At Jaccard similarity s a document of n shingles and a
@@ -29,7 +29,9 @@ from .groups import gridded, whole_groups
 
 ALL_PAIRS = 4  # members of a bucket up to which all its pairs are formed at once
 CELL_ROWS = 2000
-MOST_CACHED = 300_000
+MOST_SAMPLED, COMMON_IN = 4000, 4  # documents from which common shingles are learnt, and how many share one
+SLICE_ROWS = 256  # documents whose sets a worker holds at once
+MOST_CACHED = 200_000
 MOST_BROADCAST = 200_000  # copies (an id and a digest) that may be broadcast; beyond, a shuffled join
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -76,22 +78,25 @@ def _parts_of_band(band: int, similarity: float) -> tuple[int, int]:
     """(differing shingles possible, spare parts) of pairs whose smaller document is in the band."""
     largest = math.ceil((1 / similarity) ** (band + 1)) + 1
     differing = int(largest * (1 - similarity) / similarity + 1e-9)
-    return differing, 1 + math.ceil(differing * 0.06)
+    return differing, 2 + math.ceil(differing * 0.08)
 
 
-def sketch_keys(shingles: np.ndarray, similarity: float) -> list[int]:
+def sketch_keys(shingles: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
     """Join keys of a document: one per telling part, in its band and in the band below.
 
-    Parts with at most one shingle say little and may be common to many documents. With e spare
-    parts, e + 1 parts of a pair are equal, so a document with at most e weak parts can leave them
-    out: of the equal parts, which are weak in both or in neither, one is left. Only between two
-    documents that both have more weak parts do weak parts count, and both then keep theirs.
+    Parts with no bit set or with ``common`` shingles only (a sorted array; any will do) are
+    weak: many documents may share them. With e spare parts, e + 1 parts of a pair have no
+    shingle of one document alone, so a document with at most e weak parts can leave them out:
+    of those parts, which are weak in both or in neither, one is left. Only between two documents
+    that both have more weak parts do weak parts count, and both then keep theirs.
     """
     n = len(shingles)
     if not n:
-        return []
+        return np.zeros(0, dtype=np.int64)
     keys: list[np.ndarray] = []
     band = _band(n, similarity)
+    place = np.searchsorted(common, shingles)
+    rare = common[np.minimum(place, len(common) - 1)] != shingles if len(common) else np.ones(n, dtype=bool)
     for joined in (band, band - 1):
         if joined < 0:
             continue
@@ -100,35 +105,58 @@ def sketch_keys(shingles: np.ndarray, similarity: float) -> list[int]:
             continue  # only equal sets, which are one class already
         parts = differing + spare
         part = ((shingles >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-        bit = _mixed((shingles & np.uint64(0xFFFF)) + np.uint64(1))
+        bit = _mixed((shingles & np.uint64(0xFFFFFFFF)) + np.uint64(1))
         order = np.argsort(part, kind="stable")
         counts = np.bincount(part, minlength=parts)
         begin = np.cumsum(counts) - counts
         filled = np.flatnonzero(counts)
         value = np.zeros(parts, dtype=np.uint64)
         value[filled] = np.bitwise_xor.reduceat(bit[order], begin[filled])
-        strong = _set_bits(part, shingles, parts) > 1
+        strong = (value != 0) & (np.bincount(part[rare], minlength=parts) > 0)
         used = np.flatnonzero(strong) if parts - strong.sum() <= spare else np.arange(parts)
-        place = np.uint64((joined * 1_000_003 + 1) * int(_MIX[3]) % (1 << 64))
-        keys.append(_mixed(value[used] ^ _mixed(used.astype(np.uint64) + place)))
-    return np.concatenate(keys).view(np.int64).tolist() if keys else []
+        seed = np.uint64((joined * 1_000_003 + 1) * int(_MIX[3]) % (1 << 64))
+        keys.append(_mixed(value[used] ^ _mixed(used.astype(np.uint64) + seed)))
+    return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
 
 
-def _set_bits(part: np.ndarray, shingles: np.ndarray, parts: int) -> np.ndarray:
-    """How many bits of each part are set: those that an odd number of shingles flip."""
-    place, flips = np.unique(part * 65536 + (shingles & np.uint64(0xFFFF)).astype(np.int64), return_counts=True)
-    return np.bincount(place[flips % 2 == 1] // 65536, minlength=parts)
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
 
 
-def _sets(documents: DataFrame, width: int, similarity: float) -> DataFrame:
+def _common(documents: DataFrame, width: int) -> np.ndarray:
+    """Shingles that stand in ``COMMON_IN`` or more of about ``MOST_SAMPLED`` documents drawn by
+    hash: passages that many share. They only steer which parts are joined, not what is found."""
+    chance = min(1.0, MOST_SAMPLED / max(documents.count(), 1))
+    drawn = documents.where(F.pmod(F.xxhash64(F.lit(8), "id"), F.lit(1 << 30)) < int(chance * (1 << 30)))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _sliced(batches):
+            found = np.concatenate([shingle_set(t.as_py(), width) for t in part.column(0)])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["shingle"])
+
+    counted = drawn.select("text").mapInArrow(sets, "shingle bigint").groupBy("shingle").count()
+    rows = counted.where(F.col("count") >= COMMON_IN).select("shingle").toPandas()
+    return np.sort(rows["shingle"].to_numpy(np.int64).view(np.uint64))
+
+
+def _sets(documents: DataFrame, width: int, similarity: float, common: np.ndarray) -> DataFrame:
     """(id, n, class hashes, keys) of each document; nothing of the text is kept."""
+    shared = documents.sparkSession.sparkContext.broadcast(common)  # of a bounded sample
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+        for part in _sliced(batches):
+            counts, digests, keys = [], [], []
+            for text in part.column(1):
+                found = shingle_set(text.as_py(), width)
+                counts.append(len(found))
+                digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+                keys.append(sketch_keys(found, similarity, shared.value))
+            offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-                pa.array([sketch_keys(s, similarity) for s in sets], pa.list_(pa.int64())),
+                part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys))),
             ], ["id", "n", "digest", "keys"])
 
     return documents.mapInArrow(run, "id bigint, n bigint, digest binary, keys array<bigint>")
@@ -250,10 +278,10 @@ def _distinct(pairs: DataFrame) -> DataFrame:
 def _known(pairs: DataFrame, documents: DataFrame, width: int) -> DataFrame:
     """(id, n, bits, shingles) of the documents that are in a pair; only these are read again."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+        for part in _sliced(batches):
+            found = [shingle_set(t.as_py(), width) for t in part.column(1)]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(x) for x in found], pa.int64()),
+                part.column(0), pa.array([len(x) for x in found], pa.int64()),
                 pa.array([bit_sketch(x) for x in found], pa.binary()),
                 pa.array([x.tobytes() for x in found], pa.binary())], ["id", "n", "bits", "shingles"])
 
@@ -312,7 +340,7 @@ def similar_documents(documents: DataFrame, id_col: str, text_col: str, width: i
     spark = documents.sparkSession
     ship_package(spark)
     named = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    sets = materialize(_sets(named, width, similarity), "sketches")
+    sets = materialize(_sets(named, width, similarity, _common(named, width)), "sketches")
     filled = sets.where("digest is not null and id is not null")
     classes = materialize(filled.groupBy("digest").agg(
         F.min("id").alias("first"), F.count("*").alias("rows")), "classes")
