@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.catalog import FIXED_MODEL, PEOPLE_ROLES, enhanced_people
 from checks.people import people
-from twinfold import resolve
+from twinfold import check_incoming, resolve
 from twinfold.operators import clusters, compare, model
 from twinfold.operators.scratch import materialize
 from twinfold.sources import artifacts, records
@@ -53,7 +53,7 @@ def test_stream_gives_batch_verdicts(spark, tmp_path):
     found = clusters.cluster_pairs(base, pairs, 0.9)
     report = materialize(found.withColumn("partition_group", F.lit("group_1")), "report")
     run = SimpleNamespace(
-        plan=SimpleNamespace(enhanced=base), base=base, model=FIXED_MODEL, roles=PEOPLE_ROLES,
+        plan=SimpleNamespace(enhanced=base, rule_set="wide"), base=base, model=FIXED_MODEL, roles=PEOPLE_ROLES,
         report=report, rows=base.count())
     arriving = people(spark, SMALL).drop("entity_id").withColumn(
         "unique_id", F.concat(F.lit("new_"), "unique_id"))
@@ -86,3 +86,30 @@ def test_artifacts_and_sources(spark, tmp_path):
     new = records.incoming_records(
         spark, [{"email": "a@b.c", "id": 7}], spark.range(1).schema)
     assert new.columns == ["id", "email"] and new.first()["id"] == "7"
+
+
+def test_keys_that_repeat_or_miss_are_refused(spark):
+    for values in ([("a",), ("a",)], [("a",), (None,)]):
+        with pytest.raises(ValueError):
+            records.with_unique_id(spark.createDataFrame(values, "k string"), "k")
+
+
+def test_a_table_without_rules_is_refused_clearly(spark):
+    empty = spark.range(30).selectExpr("cast(null as string) as remark")
+    with pytest.raises(ValueError, match="no column to (block on|compare)"):
+        resolve(empty)
+
+
+def test_checks_derive_as_the_run_did(spark):
+    rows = people(spark, SMALL).drop("entity_id")
+    found = resolve(rows, key="unique_id", rules="loose", random_pairs=20_000)
+    again = rows.limit(5).withColumn("unique_id", F.concat(F.lit("new_"), "unique_id"))
+    assert {r["result"] for r in check_incoming(again, found).collect()} == {"duplicate"}
+
+
+def test_the_prior_does_not_depend_on_the_training_sample(spark):
+    base = materialize(enhanced_people(spark, SMALL), "people")
+    settings = model.Settings(FIXED_MODEL.comparisons, FIXED_MODEL.rules)
+    whole = model.train(base, settings, base.count(), max_pairs=5_000)
+    part = model.train(base, settings, base.count(), max_pairs=5_000, training_rows=100)
+    assert part.prior == whole.prior

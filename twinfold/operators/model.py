@@ -275,11 +275,12 @@ def expectation_maximisation(patterns: DataFrame, comparisons: list[Comparison],
 
 def train(df: DataFrame, settings: Settings, rows: int, key: str = "unique_id",
           max_pairs: int = RANDOM_PAIRS, training_rows: int = TRAINING_ROWS) -> Model:
-    """Estimate prior, u and m on a sample of the records."""
+    """Estimate the prior on all records, whose matched pairs are counted without forming them,
+    and u and m on a sample of about ``training_rows``."""
     sample = sample_rows(df, key, training_rows, rows)
     sample_size = rows if rows <= training_rows else sample.count()
     comparisons, rules = settings.comparisons, settings.rules
-    prior = prior_with_fallback(sample, rules, sample_size)
+    prior = prior_with_fallback(df, rules, rows)
     u: dict[str, list[float]] = {c.column: [0.0] * (c.top + 1) for c in comparisons}
     for row in estimate_u(sample, comparisons, sample_size, max_pairs, key).collect():
         u[row["comparison"]][row["level"]] = max(row["u"], _FLOOR)
