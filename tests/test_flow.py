@@ -113,3 +113,17 @@ def test_the_prior_does_not_depend_on_the_training_sample(spark):
     whole = model.train(base, settings, base.count(), max_pairs=5_000)
     part = model.train(base, settings, base.count(), max_pairs=5_000, training_rows=100)
     assert part.prior == whole.prior
+
+
+def test_csv_is_split_where_fields_have_no_line_breaks(spark, tmp_path):
+    rows = spark.range(200_000).selectExpr("id", "concat('a, \"b\" ', id) as t").coalesce(1)
+    records.write_csv(rows, str(tmp_path / "csv"))
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500k")
+    try:
+        whole = records.read_csv(spark, str(tmp_path / "csv"), "id bigint, t string")
+        parts = records.read_csv(spark, str(tmp_path / "csv"), "id bigint, t string", multi_line=False)
+        assert whole.rdd.getNumPartitions() == 1 < parts.rdd.getNumPartitions()
+        assert parts.exceptAll(rows).isEmpty() and whole.count() == parts.count() == 200_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
