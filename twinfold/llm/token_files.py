@@ -20,7 +20,7 @@ from __future__ import annotations
 import json
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from string import punctuation
 
@@ -142,16 +142,21 @@ class WordIds(dict):
 
     Its words never run over white space, and folding case and composing letters act within them,
     so a text may be cut there. Words of plain letters are new words to the library one by one;
-    those not seen yet are handed to it together, and parted again where an id ends a word.
-    Over ``MOST_CACHED`` words become the older generation, from which words that come again
+    those not seen yet are handed to it together, and parted again where an id ends a word. ASCII
+    letters need no composing and are bytes already, so their words go to a copy of the tokenizer
+    that only merges. Over ``MOST_CACHED`` words become the older generation, from which words that come again
     are taken over.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         super().__init__()
-        self.encode = Tokenizer.from_str(tokenizer_json).encode
+        self.encode = Tokenizer.from_str(tokenizer_json).encode_batch_fast
+        merging = Tokenizer.from_str(tokenizer_json)
+        merging.normalizer, merging.pre_tokenizer = None, WhitespaceSplit()
+        self.merge = merging.encode_batch_fast
         spec = json.loads(tokenizer_json)
         model = spec["model"]
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)").search
@@ -160,32 +165,32 @@ class WordIds(dict):
         self.ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
         self.older: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
-        ids = self.encode(text, add_special_tokens=False).ids
+    @staticmethod
+    def _ids(encode: Callable, text: str) -> bytes:
+        ids = encode([text], add_special_tokens=False)[0].ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
         bare = word.rstrip(punctuation)
         if bare and len(bare) < len(word) and bare[-1].isalnum() and bare[-1] < _PLAIN and not self.special(word):
-            return self[bare] + self[word[len(bare):]]  # marks after a plain letter or digit are words of their own
-        got = self.older.get(word) or self._ids(word)
-        if len(word) <= LONGEST_CACHED:
-            self[word] = got
+            got = self[bare] + self[word[len(bare):]]  # marks after a plain letter or digit are words of their own
+        else:
+            got = self.older.get(word) or self._ids(self.encode, word)
+        self[word] = got
         return got
 
     def _learn(self, words: set[str]) -> None:
-        bare = {w.rstrip(punctuation) for w in words}
-        new = [w for w in bare if w.isalpha() and w not in self and len(w) <= LONGEST_CACHED and max(w) < _PLAIN]
-        again = [w for w in new if w in self.older]
+        bare = {w.rstrip(punctuation) for w in words}.difference(self)
+        again = bare.intersection(self.older)
         self.update((w, self.older[w]) for w in again)
-        if again:
-            new = [w for w in new if w not in self.older]
-        if not new:
-            return
-        data = self._ids(" ".join(new))
-        cuts = (np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) * 4 + 4).tolist()
-        if len(cuts) == len(new):  # else the words are asked for one by one
-            self.update(zip(new, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+        letters = [w for w in bare - again if w.isalpha()]
+        plain = [w for w in letters if w.isascii()]
+        other = [w for w in letters if not w.isascii() and max(w) < _PLAIN]
+        for new, text, encode in ((plain, " ".join(plain).lower(), self.merge), (other, " ".join(other), self.encode)):
+            data = self._ids(encode, text)
+            cuts = (np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) * 4 + 4).tolist()
+            if len(cuts) == len(new):  # else the words are asked for one by one
+                self.update(zip(new, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian 32-bit integers."""
@@ -193,10 +198,14 @@ class WordIds(dict):
         if len(self) >= MOST_CACHED:
             self.older = dict(self)
             self.clear()
-        words = set().union(*split)
-        self._learn({w for w in words if w not in self})
-        known = {w: self[w] for w in words}
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        new = set().union(*split).difference(self)
+        self._learn(new)
+        encoded = [b"".join(map(self.__getitem__, pieces)) for pieces in split]
+        for word in new:
+            if len(word) > LONGEST_CACHED:
+                self.pop(word, None)
+                self.pop(word.rstrip(punctuation), None)
+        return encoded
 
 
 @lru_cache(maxsize=2)
