@@ -180,8 +180,8 @@ class WordIds(dict):
         return got
 
     def _learn(self, words: set[str]) -> None:
-        bare = {w.rstrip(punctuation) for w in words}.difference(self)
-        again = bare.intersection(self.older)
+        bare = {w for w in {w.rstrip(punctuation) for w in words} if w not in self}
+        again = {w for w in bare if w in self.older}
         self.update((w, self.older[w]) for w in again)
         letters = [w for w in bare - again if w.isalpha()]
         plain = [w for w in letters if w.isascii()]
@@ -198,7 +198,7 @@ class WordIds(dict):
         if len(self) >= MOST_CACHED:
             self.older = dict(self)
             self.clear()
-        new = set().union(*split).difference(self)
+        new = {w for w in set().union(*split) if w not in self}
         self._learn(new)
         encoded = [b"".join(map(self.__getitem__, pieces)) for pieces in split]
         for word in new:
