@@ -92,13 +92,11 @@ def written_people(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def url_domain_report(spark, folder):
     """Scan, derive url_domain, block sizes and pairs per domain."""
-    rule = blocking.BlockingRule("domain", ("domain",))
-    pages = table(spark, folder, "pages").select(
-        F.col("page_id").alias("unique_id"), tx.url_domain(F.col("url")).alias("domain"))
+    pages = table(spark, folder, "pages").select(tx.url_domain(F.col("url")).alias("domain"))
     rows = pages.groupBy("domain").agg(F.count("*").alias("domain_rows"))
-    pairs = blocking.block_pairs(pages, [rule], ["domain"]).groupBy(
-        F.col("domain_l").alias("domain")).agg(F.count("*").alias("domain_pairs"))
-    return rows.join(pairs, "domain", "left").fillna(0, ["domain_pairs"])
+    pairs = F.floor(F.col("domain_rows") * (F.col("domain_rows") - 1) / 2)
+    counted = F.coalesce(F.col("domain") != "", F.lit(False))
+    return rows.withColumn("domain_pairs", F.when(counted, pairs).otherwise(0))
 
 
 @query

@@ -230,3 +230,44 @@ def test_dedupe_keeps_last(spark):
     mapping = dedupe.id_mapping(pairs)
     got = dedupe.dedupe_by_mapping(rows, mapping)
     assert sorted(map(tuple, got.collect())) == [("1", "c"), ("2", "b")]
+
+
+def test_a_block_is_copied_along_the_grid_only(spark):
+    """A block of 10,000 rows in 25 cells: each row of either side is copied five times."""
+    rows = spark.range(10_000).selectExpr("lpad(id, 5, '0') AS unique_id", "'k' AS a")
+    rules = [blocking.BlockingRule("a", ("a",))]
+    sizes = blocking.block_sizes(rows, rules).selectExpr(
+        "rule_no", "block_key", "block_rows AS rows_l", "block_rows AS rows_r")
+    large = blocking._large_blocks(sizes, 2000)
+    side = blocking._in_cells(
+        blocking._side(rows, rules, ["unique_id"], "l"), large, "unique_id_l", "l", "r")
+    assert side.count() == 50_000
+    assert side.select("_cell_l", "_cell_r").distinct().count() == 25
+
+
+def test_many_arrivals_of_one_key(spark):
+    base = spark.range(40).selectExpr("concat('b', id) AS unique_id", "if(id < 30, 'k', 'other') AS a")
+    new = spark.range(50).selectExpr("concat('n', id) AS unique_id", "if(id < 45, 'k', null) AS a")
+    rules = [blocking.BlockingRule("a", ("a",))]
+    links = blocking.block_links(new, base, rules, [], piece_rows=7)
+    assert links.count() == links.distinct().count() == 30 * 45
+
+
+def test_pairs_of_many_rules_are_counted(spark, records):
+    many = [blocking.BlockingRule(str(i), c) for i, c in enumerate(
+        [("a",), ("b",), ("c",), ("a", "b"), ("a", "c"), ("b", "c"), ("a", "b", "c"), ("b",)])]
+    assert blocking.matched_pairs(records, many) == len(brute_pairs(records, many))
+
+
+def test_similar_edges_keep_only_the_links(spark, tmp_path):
+    from pathlib import Path
+
+    from twinfold.operators.scratch import scratch_root
+
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    before = set(root.iterdir())
+    texts = spark.createDataFrame(
+        [(1, "a b c"), (2, "c b a"), (3, None), (4, " "), (5, "x")], "id bigint, t string")
+    found = merge.similar_edges(texts, "id", "t")
+    assert [tuple(r) for r in found.collect()] == [(2, 1)]
+    assert [p.name.split("-")[0] for p in set(root.iterdir()) - before] == ["similar"]

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 from decimal import Decimal
 from functools import reduce
-from itertools import combinations
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import materialize
 from .skew import skew_join
 
 # Limits of rule proposal and selection.
@@ -18,14 +20,13 @@ RULE_ABOVE = 0.3
 MAX_RULES = 5
 MAX_COMPARISONS = 20_000_000
 
-# A block with more pairs than this is compared in pieces of about this many.
+# A block with more pairs than this is compared in cells of about this many.
 PIECE_PAIRS = 4_000_000
-# Incoming records meet at most this many records of a block in one task.
-PIECE_ROWS = 100_000
+# Base and incoming records of a block meet in cells of at most about this many of each.
+PIECE_ROWS = 2_000
 # Comparing is heavy next to reading, so tasks are cut by pairs rather than by bytes.
 TASK_PAIRS = 100_000
 MAX_TASKS = 20_000
-_MAX_OVERLAP_RULES = 6
 
 
 @dataclass(frozen=True)
@@ -180,21 +181,24 @@ def diagnostics_table(spark: SparkSession, notes: list[Diagnosis]) -> DataFrame:
               "columns array<string>")
 
 
-def _in_pieces(side: DataFrame, large: DataFrame, id_column: str, copies: bool) -> DataFrame:
-    """Split the rows of large blocks into ``_pieces`` pieces: one side is spread over
-    them, the other is copied to each, so every pair still meets exactly once."""
+def _in_cells(side: DataFrame, large: DataFrame, id_column: str, own: str, other: str) -> DataFrame:
+    """Lay the pairs of large blocks out as a grid: a row stands in one stripe of its own side
+    and is copied along the stripes of the other, so every pair meets in exactly one cell and a
+    block of n rows makes n times the square root of its cells, not n times its cells."""
     side = skew_join(side, large, ["rule_no", "block_key"], "block_rows", "left")
-    pieces = F.coalesce("_pieces", F.lit(1))
-    if copies:
-        piece = F.explode(F.sequence(F.lit(0), pieces - 1))
-    else:
-        piece = F.pmod(F.xxhash64(id_column), pieces).cast("int")
-    return side.withColumn("_piece", piece).drop("_pieces", "block_rows")
+    stripe = F.pmod(F.xxhash64(id_column), F.coalesce(f"_stripes_{own}", F.lit(1).cast("bigint")))
+    along = F.sequence(F.lit(0).cast("bigint"), F.coalesce(f"_stripes_{other}", F.lit(1).cast("bigint")) - 1)
+    return side.withColumn(f"_cell_{own}", stripe).withColumn(f"_cell_{other}", F.explode(along)).drop(
+        "_stripes_l", "_stripes_r", "block_rows")
 
 
-def _large_blocks(sizes: DataFrame, load: Column, limit: int) -> DataFrame:
-    """Blocks whose ``load`` is over the limit, with the number of pieces to make of them."""
-    return sizes.where(load > limit).withColumn("_pieces", F.ceil(load / limit).cast("int"))
+def _large_blocks(sizes: DataFrame, side: int) -> DataFrame:
+    """The blocks of ``sizes`` (rows_l, rows_r) with more than ``side`` rows on a side that meet
+    any, and their stripes; written, as both sides of a join read it."""
+    large = sizes.where((F.greatest("rows_l", "rows_r") > side) & (F.least("rows_l", "rows_r") > 0))
+    stripes = [F.ceil(F.col(f"rows_{end}") / side).alias(f"_stripes_{end}") for end in "lr"]
+    rows = F.greatest("rows_l", "rows_r").alias("block_rows")
+    return materialize(large.select("rule_no", "block_key", rows, *stripes), "large-blocks")
 
 
 def _first_rule_only(rules: list[BlockingRule], left: str, right: str) -> Column:
@@ -228,62 +232,76 @@ def block_pairs(df: DataFrame, rules: list[BlockingRule], columns: list[str] = (
 
     The compared ``columns`` travel with the records, so comparing needs no further
     shuffle, and repeated pairs are recognised from the keys rather than by a distinct.
-    All rules share a single exchange. From ``cost_rules``: ``largest_block`` decides
-    whether large blocks must meet piece by piece, ``pairs`` the number of tasks.
+    All rules share a single exchange. From ``cost_rules``, asked when they are not given:
+    ``largest_block`` decides whether large blocks must meet cell by cell, ``pairs`` the
+    number of tasks.
     """
+    if largest_block is None or pairs is None:
+        costs = cost_rules(df, rules)
+        largest_block = max(c.largest_block for c in costs) if largest_block is None else largest_block
+        pairs = sum(c.comparisons for c in costs) if pairs is None else pairs
     carried = list(dict.fromkeys([key, *columns]))
     left, right = _side(df, rules, carried, "l"), _side(df, rules, carried, "r")
     on = ["rule_no", "block_key"]
-    if largest_block and largest_block**2 > piece_pairs:
-        load = F.col("block_rows").cast("double") * F.col("block_rows")
-        large = _large_blocks(block_sizes(df, rules), load, piece_pairs)
-        left = _in_pieces(left, large, f"{key}_l", copies=True)
-        right = _in_pieces(right, large, f"{key}_r", copies=False)
-        on.append("_piece")
+    if largest_block**2 > piece_pairs:
+        sizes = block_sizes(df, rules).select(
+            "rule_no", "block_key", F.col("block_rows").alias("rows_l"), F.col("block_rows").alias("rows_r"))
+        large = _large_blocks(sizes, max(isqrt(piece_pairs), 1))
+        left = _in_cells(left, large, f"{key}_l", "l", "r")
+        right = _in_cells(right, large, f"{key}_r", "r", "l")
+        on += ["_cell_l", "_cell_r"]
     tasks = tasks_for(pairs)
-    if tasks:
-        left, right = left.repartition(tasks, *on), right.repartition(tasks, *on)
+    left, right = left.repartition(tasks, *on), right.repartition(tasks, *on)
     met = left.join(right, on).where(F.col(f"{key}_l") < F.col(f"{key}_r"))
     if not every_rule:
         met = met.where(_first_rule_only(rules, "_keys_l", "_keys_r"))
-    return met.drop("_keys_l", "_keys_r", "block_key", "_piece")
+    return met.drop("_keys_l", "_keys_r", "block_key", "_cell_l", "_cell_r")
 
 
 def block_links(new: DataFrame, base: DataFrame, rules: list[BlockingRule],
                 columns: list[str], key: str = "unique_id",
                 piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Pairs of a base record (``_l``) and an incoming record (``_r``) sharing a block.
-    The base records of a block over ``piece_rows`` are spread over several tasks."""
+    Blocks with over ``piece_rows`` records on either side meet in cells of that many by
+    that many, so neither many base records nor many arrivals of one key make a long task."""
     carried = list(dict.fromkeys([key, *columns]))
     left, right = _side(base, rules, carried, "l"), _side(new, rules, carried, "r")
     on = ["rule_no", "block_key"]
-    sizes = block_sizes(base, rules)
-    if (sizes.agg(F.max("block_rows")).first()[0] or 0) > piece_rows:
-        large = _large_blocks(sizes, F.col("block_rows"), piece_rows)
-        left = _in_pieces(left, large, f"{key}_l", copies=False)
-        right = _in_pieces(right, large, f"{key}_r", copies=True)
-        on.append("_piece")
+    sizes = block_sizes(base, rules).withColumnRenamed("block_rows", "rows_l").join(
+        block_sizes(new, rules).withColumnRenamed("block_rows", "rows_r"), on)
+    large = _large_blocks(sizes, piece_rows)
+    if not large.isEmpty():
+        left = _in_cells(left, large, f"{key}_l", "l", "r")
+        right = _in_cells(right, large, f"{key}_r", "r", "l")
+        on += ["_cell_l", "_cell_r"]
     return (left.join(right, on).where(_first_rule_only(rules, "_keys_l", "_keys_r"))
-            .drop("_keys_l", "_keys_r", "block_key", "_piece"))
+            .drop("_keys_l", "_keys_r", "block_key", "_cell_l", "_cell_r"))
+
+
+def _union_terms(rules: list[BlockingRule]) -> Counter:
+    """Column sets with the number of times the pairs agreeing on them count towards the pairs
+    of any rule: inclusion and exclusion, rule by rule, so that equal sets cancel at once."""
+    terms: Counter = Counter()
+    for rule in rules:
+        both = Counter({tuple(rule_columns([rule])): 1})
+        for columns, times in terms.items():
+            both[tuple(sorted({*columns, *rule.columns}))] -= times
+        terms.update(both)
+        terms = Counter({c: n for c, n in terms.items() if n})
+    return terms
 
 
 def matched_pairs(df: DataFrame, rules: list[BlockingRule]) -> int:
     """Number of pairs that at least one rule brings, without forming them: block sizes
-    under every combination of rules, added and subtracted in turn."""
-    if len(rules) > _MAX_OVERLAP_RULES:
-        return block_pairs(df, rules).count()
-    combined = []
-    for size in range(1, len(rules) + 1):
-        for some in combinations(rules, size):
-            together = BlockingRule("", tuple(rule_columns(some)))
-            combined.append(F.struct(
-                F.lit(len(combined)).alias("combination"), F.lit((-1) ** (size + 1)).alias("sign"),
-                together.key().alias("block_key")))
+    under combinations of rules, added and subtracted in turn."""
+    combined = [
+        F.struct(F.lit(i).alias("combination"), F.lit(times).alias("times"),
+                 BlockingRule("", columns).key().alias("block_key"))
+        for i, (columns, times) in enumerate(sorted(_union_terms(rules).items()))
+    ]
     sizes = (
         df.select(F.inline(F.array(*combined))).where("block_key IS NOT NULL")
-        .groupBy("combination", "sign", "block_key").agg(F.count("*").alias("block_rows"))
+        .groupBy("combination", "times", "block_key").agg(F.count("*").alias("block_rows"))
     )
-    totals = sizes.groupBy("sign").agg(pair_total(F.col("block_rows")).alias("pairs")).collect()
-    return sum(r["sign"] * int(r["pairs"]) for r in totals)
-
-
+    totals = sizes.groupBy("times").agg(pair_total(F.col("block_rows")).alias("pairs")).collect()
+    return sum(r["times"] * int(r["pairs"]) for r in totals)
