@@ -111,8 +111,9 @@ def test_the_prior_does_not_depend_on_the_training_sample(spark):
     base = materialize(enhanced_people(spark, SMALL), "people")
     settings = model.Settings(FIXED_MODEL.comparisons, FIXED_MODEL.rules)
     whole = model.train(base, settings, base.count(), max_pairs=5_000)
-    part = model.train(base, settings, base.count(), max_pairs=5_000, training_rows=100)
+    part = model.train(base, settings, base.count(), max_pairs=5_000, training_pairs=20)
     assert part.prior == whole.prior
+    assert max(r["share"] for r in part.runs) < 1 == min(r["share"] for r in whole.runs)
 
 
 def test_csv_is_split_where_fields_have_no_line_breaks(spark, tmp_path):

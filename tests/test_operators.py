@@ -271,3 +271,39 @@ def test_similar_edges_keep_only_the_links(spark, tmp_path):
     found = merge.similar_edges(texts, "id", "t")
     assert [tuple(r) for r in found.collect()] == [(2, 1)]
     assert [p.name.split("-")[0] for p in set(root.iterdir()) - before] == ["similar"]
+
+
+def test_training_does_not_hang_on_the_number_of_rows(spark):
+    """Disjoint copies of a table leave prior times rows and m about as they were, also where
+    only a share of the blocks is compared."""
+    def table(copies):
+        people = spark.range(400 * copies).selectExpr("id AS e", "hash(id) AS h")
+        twice = people.selectExpr("*", "explode(array(0, 1)) AS side")
+        return twice.selectExpr(
+            "concat(lpad(e, 6, '0'), side) AS unique_id", "concat('m', e) AS mail", "concat('p', e) AS phone",
+            "if(side = 1 AND pmod(h, 5) = 0, concat('x', e), concat('n', e)) AS name",
+            "concat('c', pmod(h, 7)) AS city")
+
+    comparisons = [compare.exact(c) for c in ("mail", "phone", "name", "city")]
+    rules = [blocking.BlockingRule("mail", ("mail",)), blocking.BlockingRule("city", ("city",))]
+    found = {}
+    for copies, pairs in ((1, 10**9), (8, 10**9), (8, 20_000)):
+        df, rows = table(copies).persist(), 800 * copies
+        got = model.train(df, model.Settings(comparisons, rules), rows, max_pairs=20_000, training_pairs=pairs)
+        assert got.trained == ["mail", "phone", "name", "city"] and got.untrained == []
+        found[copies, pairs] = got
+        df.unpersist()
+    for got in found.values():
+        assert got.m["name"][1] == pytest.approx(0.8, abs=0.08)
+        assert all(r["pairs"] > 0 and r["converged"] for r in got.runs)
+    assert found[8, 20_000].prior == found[8, 10**9].prior
+    assert found[8, 20_000].runs[1]["share"] < 0.05 and 10_000 < found[8, 20_000].runs[1]["pairs"] < 40_000
+    assert all(0 < e < 0.01 for e in found[1, 10**9].u_error["city"])
+    alone = model.train(table(1).drop("city"), model.Settings(comparisons[:1], rules[:1]), 800, max_pairs=1000)
+    assert alone.untrained == ["mail"] and alone.trained == []
+    assert model.Model.from_dict(alone.to_dict()).untrained == ["mail"]
+
+
+def test_the_comparison_limit_grows_with_the_table():
+    assert blocking.comparison_limit(10) == 20_000_000
+    assert blocking.comparison_limit(10**9) == 500 * 10**9

@@ -19,6 +19,7 @@ from .skew import skew_join
 RULE_ABOVE = 0.3
 MAX_RULES = 5
 MAX_COMPARISONS = 20_000_000
+PAIRS_PER_RECORD = 500
 
 # A block with more pairs than this is compared in cells of about this many.
 PIECE_PAIRS = 4_000_000
@@ -36,6 +37,10 @@ class BlockingRule:
     name: str
     columns: tuple[str, ...]
 
+    def reads(self) -> tuple[str, ...]:
+        """The columns that ``key`` is made of."""
+        return self.columns
+
     def key(self) -> Column:
         """The block of a record as one text, null when a column is null or blank. Doubled
         bars before the separator keep ("a|", "b") apart from ("a", "|b")."""
@@ -129,7 +134,7 @@ def keyed(df: DataFrame, rules: list[BlockingRule]) -> DataFrame:
 
 def block_sizes(df: DataFrame, rules: list[BlockingRule]) -> DataFrame:
     """(rule_no, block_key, block_rows); counted on the map side first."""
-    return (keyed(df.select(*rule_columns(rules)), rules)
+    return (keyed(df.select(*sorted({c for rule in rules for c in rule.reads()})), rules)
             .groupBy("rule_no", "block_key").agg(F.count("*").alias("block_rows")))
 
 
@@ -154,6 +159,12 @@ def cost_rules(df: DataFrame, rules: list[BlockingRule]) -> list[RuleCost]:
     ]
 
 
+def comparison_limit(rows: int) -> int:
+    """Most pairs a rule may bring: a number per record, so that a rule's fate does not hang on
+    the size of the table, and never below ``MAX_COMPARISONS``."""
+    return max(MAX_COMPARISONS, PAIRS_PER_RECORD * rows)
+
+
 def select_rules(costs: list[RuleCost], max_rules: int = MAX_RULES,
                  max_comparisons: int = MAX_COMPARISONS) \
         -> tuple[list[BlockingRule], list[Diagnosis]]:

@@ -18,16 +18,19 @@ from .compare import Comparison, compare_pairs, compared_columns, self_levels
 from .dedupe import find_copies
 from .numbering import dense_number
 from .profile import sample_rows
+from .scratch import forget, materialize
 
 # Sizes and stopping rules of training.
-TRAINING_ROWS = 20_000
+TRAINING_PAIRS = 2_000_000  # expected pairs of a rule that training compares
 RANDOM_PAIRS = 2_000_000
 RECALLS = (0.95, 1.0)
 CONVERGENCE, MAX_ROUNDS = 0.001, 25
 
 # Random pairs come from at most this many records, each paired with several others.
-_PAIRED_RECORDS = 100_000
+PAIRED_RECORDS = 100_000
 _FLOOR = 1e-6
+# A training sample consists of at least about this many pieces of blocks.
+_LEAST_PIECES = 64
 _TOP_START = 0.95
 
 
@@ -42,7 +45,12 @@ class Settings:
 
 @dataclass
 class Model:
-    """``m`` and ``u`` hold one probability per level, from 0 to the top."""
+    """``m`` and ``u`` hold one probability per level, from 0 to the top.
+
+    What training found out about itself: ``trained`` and ``untrained`` comparisons (the latter
+    keep the start values), the standard error of u per level, and per rule the pairs
+    compared, the share of its blocks they come from, the rounds and whether they settled.
+    """
 
     prior: float
     comparisons: list[Comparison]
@@ -50,6 +58,9 @@ class Model:
     u: dict[str, list[float]]
     rules: list[BlockingRule] = field(default_factory=list)
     trained: list[str] = field(default_factory=list)
+    untrained: list[str] = field(default_factory=list)
+    u_error: dict[str, list[float]] = field(default_factory=dict)
+    runs: list[dict] = field(default_factory=list)
 
     def weights(self, c: Comparison) -> list[float]:
         """log2(m / u) per level, with 0 in front for a missing side."""
@@ -66,6 +77,7 @@ class Model:
             "prior": self.prior,
             "comparisons": [c.to_dict() for c in self.comparisons],
             "m": self.m, "u": self.u, "trained": self.trained,
+            "untrained": self.untrained, "u_error": self.u_error, "runs": self.runs,
             "rules": [{"name": r.name, "columns": list(r.columns)} for r in self.rules],
         }
 
@@ -75,7 +87,8 @@ class Model:
             fields["prior"], [Comparison.from_dict(c) for c in fields["comparisons"]],
             fields["m"], fields["u"],
             [BlockingRule(r["name"], tuple(r["columns"])) for r in fields["rules"]],
-            fields["trained"],
+            fields["trained"], fields.get("untrained", []), fields.get("u_error", {}),
+            fields.get("runs", []),
         )
 
 
@@ -110,14 +123,15 @@ def prior_with_fallback(df: DataFrame, rules: list[BlockingRule], rows: int) ->
 
 
 def random_pairs(df: DataFrame, columns: list[str], rows: int, max_pairs: int = RANDOM_PAIRS,
-                 key: str = "unique_id") -> DataFrame:
-    """At most about ``max_pairs`` pairs of different records, all of them if they are few.
+                 key: str = "unique_id", paired_records: int = PAIRED_RECORDS) -> DataFrame:
+    """At most about ``max_pairs`` pairs of different records, all of them if they are few, from
+    about ``paired_records`` records at most.
 
     Records stand on a ring in hash order and each meets the next few: an equality join on
     ring places, so no cross join and an even number of pairs for every record.
     """
     carried = list(dict.fromkeys([key, *columns]))
-    sample = sample_rows(df.select(*carried), key, _PAIRED_RECORDS, rows)
+    sample = sample_rows(df.select(*carried), key, paired_records, rows)
     ring = dense_number(sample, [hash_share(F.col(key)), F.col(key)], "_place")
     size = ring.count()
     everything = size * (size - 1) // 2 <= max_pairs
@@ -148,19 +162,62 @@ def level_counts(compared: DataFrame, comparisons: list[Comparison]) -> DataFram
 
 def estimate_u(df: DataFrame, comparisons: list[Comparison], rows: int,
                max_pairs: int = RANDOM_PAIRS, key: str = "unique_id") -> DataFrame:
-    """(comparison, level, pairs, u): how often random records agree that well."""
+    """(comparison, level, pairs, u, u_error): how often random records agree that well, and
+    the standard error that the number of pairs leaves; more ``max_pairs`` make it smaller."""
     columns = [c.column for c in comparisons]
     pairs = random_pairs(df, columns, rows, max_pairs, key)
     counts = level_counts(compare_pairs(pairs, comparisons), comparisons)
     totals = counts.groupBy("comparison").agg(F.sum("pairs").alias("_all"))
-    return counts.join(F.broadcast(totals), "comparison").select(
-        "comparison", "level", "pairs",
-        F.when(F.col("_all") > 0, F.col("pairs") / F.col("_all")).otherwise(0.0).alias("u"))
+    u = F.when(F.col("_all") > 0, F.col("pairs") / F.col("_all")).otherwise(0.0)
+    error = F.sqrt(F.col("u") * (1 - F.col("u")) / F.col("_all"))
+    return counts.join(F.broadcast(totals), "comparison").withColumn("u", u).select(
+        "comparison", "level", "pairs", "u",
+        F.when(F.col("_all") > 0, error).otherwise(1.0).alias("u_error"))
 
 
 # ---------------------------------------------------------------- m, by EM
 
 
+@dataclass(frozen=True)
+class SampledRule(BlockingRule):
+    """The rule on part of its pairs: every block falls into ``pieces`` by a hash of the record,
+    and a ``share`` of the pieces is kept by a hash of block and piece. Each pair of the rule
+    is kept with the same probability, ``share / pieces``."""
+
+    share: float = 1.0
+    pieces: int = 1
+    record: str = "unique_id"
+
+    def reads(self) -> tuple[str, ...]:
+        return (*self.columns, self.record)
+
+    def key(self) -> Column:
+        whole = super().key()
+        if self.share >= 1 and self.pieces == 1:
+            return whole
+        piece = F.pmod(F.xxhash64(F.col(self.record)), F.lit(self.pieces).cast("bigint"))
+        own = F.concat_ws("#", piece, F.nullif(whole, F.lit("")))
+        return F.when(whole.isNotNull() & (hash_share(own) < self.share), own)
+
+
+def training_blocks(df: DataFrame, rules: list[BlockingRule], training_pairs: int,
+                    key: str = "unique_id") -> tuple[DataFrame, list[SampledRule]]:
+    """The rules, each on so many blocks of the whole table that about ``training_pairs`` pairs
+    are expected, and the records in those. Blocks are taken whole where they are small next to
+    that number, so that matches survive however small the share; else in pieces, so that a
+    few large blocks are not all or nothing."""
+    some = []
+    for cost in cost_rules(df, rules):
+        wanted = min(training_pairs / max(cost.comparisons, 1), 1.0)
+        piece_rows = max(math.sqrt(2 * training_pairs / _LEAST_PIECES), 2)
+        pieces = max(min(math.ceil(cost.largest_block / piece_rows), math.floor(1 / wanted)), 1)
+        some.append(SampledRule(cost.rule.name, cost.rule.columns, wanted * pieces, pieces, key))
+    if all(rule.share >= 1 and rule.pieces == 1 for rule in some):
+        return df, some
+    used = reduce(lambda a, b: a | b, [rule.key().isNotNull() for rule in some])
+    return materialize(df.where(used), "training"), some  # read several times, and a part only
+
+
 def training_patterns(df: DataFrame, rules: list[BlockingRule], comparisons: list[Comparison],
                       key: str = "unique_id") -> DataFrame:
     """(rule_no, gamma columns, pairs): the pairs of every rule, counted per pattern.
@@ -179,8 +236,12 @@ def training_patterns(df: DataFrame, rules: list[BlockingRule], comparisons: lis
         sum(c.comparisons for c in costs), every_rule=True)
     between = compare_pairs(pairs, comparisons).select(
         "rule_no", *gammas, (F.col("copies_l") * F.col("copies_r")).alias("pairs"))
+    among = F.floor(F.col("copies") * (F.col("copies") - 1) / 2)
+    parts = [getattr(rule, "pieces", 1) for rule in rules]
+    if max(parts) > 1:  # copies go where the one that stands for them goes: count as many as others
+        among = among / F.get(F.array(*map(F.lit, parts)), F.col("rule_no"))
     repeated = self_levels(keyed(distinct.where("copies > 1"), rules), comparisons).select(
-        "rule_no", *gammas, F.floor(F.col("copies") * (F.col("copies") - 1) / 2).alias("pairs"))
+        "rule_no", *gammas, among.alias("pairs"))
     return between.unionByName(repeated).groupBy("rule_no", *gammas).agg(
         F.sum("pairs").alias("pairs"))
 
@@ -198,11 +259,13 @@ def start_m(top: int) -> list[float]:
 
 @dataclass
 class Training:
-    """What each rule's run ended with."""
+    """What each rule's run ended with; a rule without pairs has an empty m."""
 
     m: list[dict[str, list[float]]]
     prior: list[float]
     objective: list[list[float]]
+    pairs: list[int]
+    converged: list[bool]
 
 
 def expectation_maximisation(patterns: DataFrame, comparisons: list[Comparison],
@@ -269,25 +332,34 @@ def expectation_maximisation(patterns: DataFrame, comparisons: list[Comparison],
         if not running:
             break
     patterns.unpersist()
-    seen = {row["rule_no"] for row in rows}
-    return Training([run if i in seen else {} for i, run in enumerate(m)], priors, objective)
+    seen = {row["rule_no"]: int(row["pairs"]) for row in rows}
+    return Training(
+        [run if i in seen else {} for i, run in enumerate(m)], priors, objective,
+        [seen.get(i, 0) for i in range(len(rules))],
+        [i in seen and i not in running for i in range(len(rules))])
 
 
 def train(df: DataFrame, settings: Settings, rows: int, key: str = "unique_id",
-          max_pairs: int = RANDOM_PAIRS, training_rows: int = TRAINING_ROWS) -> Model:
+          max_pairs: int = RANDOM_PAIRS, training_pairs: int = TRAINING_PAIRS) -> Model:
     """Estimate the prior on all records, whose matched pairs are counted without forming them,
-    and u and m on a sample of about ``training_rows``."""
-    sample = sample_rows(df, key, training_rows, rows)
-    sample_size = rows if rows <= training_rows else sample.count()
+    u on about ``max_pairs`` random pairs, and m on the pairs of the rules: all of them, or those
+    of some blocks where a rule brings more than ``training_pairs``. No bound is in rows, as
+    the pairs left of a sample of rows shrink with its square.
+    """
     comparisons, rules = settings.comparisons, settings.rules
     prior = prior_with_fallback(df, rules, rows)
     u: dict[str, list[float]] = {c.column: [0.0] * (c.top + 1) for c in comparisons}
-    for row in estimate_u(sample, comparisons, sample_size, max_pairs, key).collect():
+    u_error = {c.column: [1.0] * (c.top + 1) for c in comparisons}
+    for row in estimate_u(df, comparisons, rows, max_pairs, key).collect():  # a row per level
         u[row["comparison"]][row["level"]] = max(row["u"], _FLOOR)
-    patterns = training_patterns(sample, rules, comparisons, key)
+        u_error[row["comparison"]][row["level"]] = row["u_error"]
+    blocks, some = training_blocks(df, rules, training_pairs, key)
+    patterns = training_patterns(blocks, some, comparisons, key)
     runs = expectation_maximisation(
-        patterns, comparisons, rules, u, prior, settings.convergence, settings.max_rounds)
-    m, trained = {}, []
+        patterns, comparisons, some, u, prior, settings.convergence, settings.max_rounds)
+    if blocks is not df:
+        forget(blocks)
+    m, trained, untrained = {}, [], []
     for c in comparisons:
         found = [run[c.column] for run in runs.m if c.column in run]
         if found:
@@ -296,8 +368,12 @@ def train(df: DataFrame, settings: Settings, rows: int, key: str = "unique_id",
             trained.append(c.column)
             m[c.column] = [x / sum(middle) for x in middle]
         else:
+            untrained.append(c.column)
             m[c.column] = start_m(c.top)
-    return Model(prior, comparisons, m, u, rules, trained)
+    told = [{"rule": rule.name, "share": rule.share / rule.pieces, "pairs": runs.pairs[i],
+             "rounds": len(runs.objective[i]), "converged": runs.converged[i]}
+            for i, rule in enumerate(some)]
+    return Model(prior, comparisons, m, u, rules, trained, untrained, u_error, told)
 
 
 # ---------------------------------------------------------------- scores
