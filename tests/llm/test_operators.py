@@ -338,3 +338,23 @@ def test_pipeline_stages(spark, tmp_path):
         last, docs = docs, following
     assert {(r.doc_id, r.decoded_sha256) for r in docs.collect()} == {
         (r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in last.collect()}
+
+
+def test_words_are_encoded_as_the_library_does(monkeypatch):
+    """Cases, marks, digits, other scripts, special tokens, control letters and long words, over a
+    memory so small that words pass to the older generation and back."""
+    monkeypatch.setattr(token_files, "MOST_CACHED", 40)
+    spec = tokenizer("word_bpe_49k.json")
+    encode = Tokenizer.from_str(spec).encode
+    draw = random.Random(3)
+    words = ["One", "oNE,", "one.", "it's", "IT'S", "don't.", "a1b2", "2024", "3.14", "x\x1cy", "É", "ÀB.", "été",
+             "ß", "İx", "Straße!", "<|endoftext|>", "end<|endoftext|>,", "...", "a...", "日本語", "日本語。", "Жук",
+             "q" * 200, "q" * 200 + ",", " ", "and or", "s'", "''", "ﬁn", "\x00z", "W" * 64 + ";"]
+    words += ["".join(draw.choices("abcXYZ", k=draw.randint(1, 9))) for _ in range(60)]
+    words_of = token_files.WordIds(spec)
+    for _ in range(12):
+        texts = ["", " \t\n", *(" ".join(draw.choices(words, k=30)) for _ in range(6)), "\n".join(words[:16])]
+        got = words_of.encode_texts(texts)
+        for text, ids in zip(texts, got, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == encode(text, add_special_tokens=False).ids, text
+    assert max(map(len, words_of)) <= token_files.LONGEST_CACHED
