@@ -128,3 +128,18 @@ def test_csv_is_split_where_fields_have_no_line_breaks(spark, tmp_path):
         assert parts.exceptAll(rows).isEmpty() and whole.count() == parts.count() == 200_000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+
+
+@pytest.mark.parametrize("most,least_recall", [(5, 0.9), (8, 0.99)])
+def test_precision_and_recall_of_a_run(spark, most, least_recall):
+    """Five rules leave out that on the date, which alone brings some true pairs together here."""
+    rows = materialize(people(spark, SMALL), "people")
+    found = resolve(rows.drop("entity_id"), key="unique_id", max_rules=most, random_pairs=50_000)
+    both = found.clusters.join(rows.select("unique_id", "entity_id"), "unique_id")
+
+    def pairs(*columns):
+        return both.groupBy(*columns).count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0]
+
+    right = pairs("cluster_id", "entity_id")
+    assert right / pairs("cluster_id") >= 0.99
+    assert right / pairs("entity_id") >= least_recall
