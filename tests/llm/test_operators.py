@@ -230,6 +230,19 @@ def test_weak_parts_never_hide_a_pair():
             assert set(sketch_keys(one, 0.85, common)) & set(sketch_keys(two, 0.85, common))
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_a_text_meets_itself_and_a_few_rare_shingles(percent):
+    """All of the smaller set is common, so only the parts of the added shingles tell the larger one."""
+    made = np.random.default_rng(11)
+    for n in range(2, 61):
+        for more in range(1, n * (100 - percent) // percent + 1):
+            for _ in range(20):
+                whole = np.unique(made.integers(0, 1 << 63, n + more, dtype=np.uint64))
+                part = np.sort(made.permutation(whole)[:n])
+                keys = [set(sketch_keys(x, percent / 100, part)) for x in (whole, part)]
+                assert keys[0] & keys[1], (n, more)
+
+
 def test_near_vectors_equal_brute_force(spark):
     made = np.random.default_rng(2)
     centres = made.standard_normal((40, 16))

@@ -85,10 +85,10 @@ def sketch_keys(shingles: np.ndarray, similarity: float, common: np.ndarray) ->
     """Join keys of a document: one per telling part, in its band and in the band below.
 
     Parts with no bit set or with ``common`` shingles only (a sorted array; any will do) are
-    weak: many documents may share them. With e spare parts, e + 1 parts of a pair have no
-    shingle of one document alone, so a document with at most e weak parts can leave them out:
+    weak: many documents may share them. With e spare parts, at least e parts of a pair have no
+    shingle of one document alone, so a document with fewer than e weak parts can leave them out:
     of those parts, which are weak in both or in neither, one is left. Only between two documents
-    that both have more weak parts do weak parts count, and both then keep theirs.
+    that both have e weak parts or more do weak parts count, and both then keep theirs.
     """
     n = len(shingles)
     if not n:
@@ -113,7 +113,7 @@ def sketch_keys(shingles: np.ndarray, similarity: float, common: np.ndarray) ->
         value = np.zeros(parts, dtype=np.uint64)
         value[filled] = np.bitwise_xor.reduceat(bit[order], begin[filled])
         strong = (value != 0) & (np.bincount(part[rare], minlength=parts) > 0)
-        used = np.flatnonzero(strong) if parts - strong.sum() <= spare else np.arange(parts)
+        used = np.flatnonzero(strong) if parts - strong.sum() < spare else np.arange(parts)
         seed = np.uint64((joined * 1_000_003 + 1) * int(_MIX[3]) % (1 << 64))
         keys.append(_mixed(value[used] ^ _mixed(used.astype(np.uint64) + seed)))
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
