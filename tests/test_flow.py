@@ -9,7 +9,9 @@ from checks.catalog import FIXED_MODEL, PEOPLE_ROLES, enhanced_people
 from checks.people import people
 from twinfold import check_incoming, resolve
 from twinfold.operators import clusters, compare, model
+from twinfold.operators.roles import infer_roles
 from twinfold.operators.scratch import materialize
+from twinfold.plans.configure import auto_configure
 from twinfold.sources import artifacts, records
 from twinfold.streaming.arrivals import check_arrivals
 
@@ -143,3 +145,13 @@ def test_precision_and_recall_of_a_run(spark, most, least_recall):
     right = pairs("cluster_id", "entity_id")
     assert right / pairs("cluster_id") >= 0.99
     assert right / pairs("entity_id") >= least_recall
+
+
+def test_roles_of_a_run_are_those_of_the_whole_table(spark):
+    """In a quarter of these rows n would look unique and kind would be no category."""
+    rows = materialize(spark.range(400_000).selectExpr(
+        "cast(id as string) as unique_id", "cast(id % 200000 as int) as n",
+        "concat('kind ', id % 20000) as kind", "concat('a', id % 300000, '@b.c') as email"), "rows")
+    direct = infer_roles(rows)
+    assert auto_configure(rows, collapse=False).roles == direct
+    assert "numeric_id" not in direct and direct["category_enum"] == "kind"

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .profile import profile_columns, sample_rows
+from .profile import profile_columns
 
 # Column names that stand for a role, best first.
 BASIC_ALIASES = {
@@ -71,7 +71,6 @@ _NAME_PATTERNS = {
 # Limits of the type and distribution pass.
 SKIP_BELOW, ID_CARDINALITY, ID_SHARE = 0.1, 0.85, 0.9
 ENUM_BELOW, TEXT_ABOVE, TEXT_SHARE = 0.1, 0.5, 0.2
-PROFILE_ROWS = 100_000
 VALUE_SHARE = 0.5
 
 _NUMBERS = (T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
@@ -154,15 +153,12 @@ def _by_distribution(df: DataFrame, profile: dict, rules: str, roles: Roles) ->
                 roles.assign("text_freeform", column, "distribution")
 
 
-def infer_roles(df: DataFrame, rules: str = "wide", sample_key: str | None = None,
-                rows: int | None = None) -> Roles:
-    """Roles of the columns of ``df``. One pass over the table, or over a sample of
-    ``PROFILE_ROWS`` rows when ``sample_key`` and ``rows`` are given."""
+def infer_roles(df: DataFrame, rules: str = "wide") -> Roles:
+    """Roles of the columns of ``df``, from one pass over the whole table: distinct values over
+    rows of a sample are not those of the table."""
     if rules not in RULE_SETS:
         raise ValueError(f"rules must be one of {RULE_SETS}")
     roles = Roles()
-    if sample_key and rows:
-        df = sample_rows(df, sample_key, PROFILE_ROWS, rows)
     if df.isEmpty():
         return roles
     columns = {c.lower(): c for c in df.columns}
