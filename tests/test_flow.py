@@ -155,3 +155,22 @@ def test_roles_of_a_run_are_those_of_the_whole_table(spark):
     direct = infer_roles(rows)
     assert auto_configure(rows, collapse=False).roles == direct
     assert "numeric_id" not in direct and direct["category_enum"] == "kind"
+
+
+def test_recall_of_a_run_with_a_hot_value(spark):
+    """A third of the records has one zip code; no rule is left out."""
+    rows = people(spark, SMALL)
+    hot = F.pmod(F.xxhash64("unique_id"), F.lit(3)) == 0
+    rows = materialize(rows.withColumn(
+        "postal_code", F.when(hot, F.lit("12345")).otherwise(F.col("postal_code"))), "hot")
+    found = resolve(rows.drop("entity_id"), key="unique_id", random_pairs=50_000)
+    assert {n.reason for n in found.plan.diagnostics} <= {"selected", "zero_comparisons"}
+    assert len(found.model.rules) == sum(n.comparisons > 0 for n in found.plan.diagnostics)
+    both = found.clusters.join(rows.select("unique_id", "entity_id"), "unique_id")
+
+    def pairs(*columns):
+        return both.groupBy(*columns).count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0]
+
+    right = pairs("cluster_id", "entity_id")
+    print("rules", len(found.model.rules), "precision", right / pairs("cluster_id"), "recall", right / pairs("entity_id"))
+    assert right / pairs("cluster_id") >= 0.99 and right / pairs("entity_id") >= 0.99

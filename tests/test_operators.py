@@ -307,3 +307,18 @@ def test_training_does_not_hang_on_the_number_of_rows(spark):
 def test_the_comparison_limit_grows_with_the_table():
     assert blocking.comparison_limit(10) == 20_000_000
     assert blocking.comparison_limit(10**9) == 500 * 10**9
+
+
+def test_without_limits_no_rule_with_pairs_is_left_out():
+    costs = [blocking.RuleCost(blocking.BlockingRule(str(n), (str(n),)), n, 1, 1) for n in (10**15, *range(9))]
+    chosen, notes = blocking.select_rules(costs)
+    assert [r.name for r in chosen] == [*map(str, range(1, 9)), str(10**15)]
+    assert [n.reason for n in notes if not n.kept] == ["zero_comparisons"]
+
+
+def test_pairs_of_any_rule_are_the_same_formed_or_not(spark, records, monkeypatch):
+    rules = [blocking.BlockingRule("a", ("a",)), blocking.BlockingRule("b", ("b",))]
+    doubled = records.unionByName(records)
+    counted = blocking.matched_pairs(doubled, rules)
+    monkeypatch.setattr(blocking, "MOST_COMBINATIONS", 0)
+    assert blocking.matched_pairs(doubled, rules) == counted > 0

@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from .scratch import materialize
 from .skew import skew_join
 
-# Limits of rule proposal and selection.
+# The limit of rule proposal, and those of selection that a caller may ask for.
 RULE_ABOVE = 0.3
-MAX_RULES = 5
 MAX_COMPARISONS = 20_000_000
 PAIRS_PER_RECORD = 500
 
@@ -27,6 +26,8 @@ PIECE_PAIRS = 4_000_000
 PIECE_ROWS = 2_000
 # Comparing is heavy next to reading, so tasks are cut by pairs rather than by bytes.
 TASK_PAIRS = 100_000
+# With more combinations of rules than this, the pairs of any rule are formed to be counted.
+MOST_COMBINATIONS = 255
 MAX_TASKS = 20_000
 
 
@@ -160,20 +161,21 @@ def cost_rules(df: DataFrame, rules: list[BlockingRule]) -> list[RuleCost]:
 
 
 def comparison_limit(rows: int) -> int:
-    """Most pairs a rule may bring: a number per record, so that a rule's fate does not hang on
-    the size of the table, and never below ``MAX_COMPARISONS``."""
+    """A limit to name as ``max_comparisons``, nowhere a default: a number of pairs per record,
+    so that a rule's fate does not hang on the size of the table, at least ``MAX_COMPARISONS``."""
     return max(MAX_COMPARISONS, PAIRS_PER_RECORD * rows)
 
 
-def select_rules(costs: list[RuleCost], max_rules: int = MAX_RULES,
-                 max_comparisons: int = MAX_COMPARISONS) \
+def select_rules(costs: list[RuleCost], max_rules: int | None = None,
+                 max_comparisons: int | None = None) \
         -> tuple[list[BlockingRule], list[Diagnosis]]:
-    """The cheapest rules within the limit. When none qualifies, the one with the fewest
-    pairs, or the first when no rule yields a pair."""
+    """All rules that have pairs, cheapest first; with limits, the cheapest within them. When
+    none qualifies, the one with the fewest pairs, or the first when no rule yields a pair."""
     notes = []
     for cost in costs:
         reason = ("zero_comparisons" if cost.comparisons == 0 else
-                  "too_many_comparisons" if cost.comparisons > max_comparisons else "selected")
+                  "too_many_comparisons" if max_comparisons is not None and cost.comparisons > max_comparisons
+                  else "selected")
         notes.append(Diagnosis(cost.rule, cost.comparisons, reason == "selected", reason))
     chosen = sorted((n for n in notes if n.kept), key=lambda n: n.comparisons)[:max_rules]
     if not chosen and notes:
@@ -302,13 +304,30 @@ def _union_terms(rules: list[BlockingRule]) -> Counter:
     return terms
 
 
+def _formed_pairs(df: DataFrame, rules: list[BlockingRule]) -> int:
+    columns = rule_columns(rules)
+    alike = df.select(*columns).groupBy(*columns).agg(F.count("*").alias("_copies"))
+    alike = materialize(alike.withColumn("_row", F.monotonically_increasing_id()), "alike")
+    between = block_pairs(alike, rules, ["_copies"], "_row").select(
+        (F.col("_copies_l") * F.col("_copies_r")).alias("n"))
+    blocked = reduce(lambda a, b: a | b, [rule.key().isNotNull() for rule in rules])
+    among = alike.where(blocked).select(F.floor(F.col("_copies") * (F.col("_copies") - 1) / 2).alias("n"))
+    found = between.unionByName(among).agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).first()["n"]
+    return int(found or 0)
+
+
 def matched_pairs(df: DataFrame, rules: list[BlockingRule]) -> int:
     """Number of pairs that at least one rule brings, without forming them: block sizes
-    under combinations of rules, added and subtracted in turn."""
+    under combinations of rules, added and subtracted in turn. The combinations may double with
+    every rule; where they are over ``MOST_COMBINATIONS``, the pairs are formed instead, records
+    with equal keys under all rules once and by their number."""
+    terms = _union_terms(rules)
+    if len(terms) > MOST_COMBINATIONS:
+        return _formed_pairs(df, rules)
     combined = [
         F.struct(F.lit(i).alias("combination"), F.lit(times).alias("times"),
                  BlockingRule("", columns).key().alias("block_key"))
-        for i, (columns, times) in enumerate(sorted(_union_terms(rules).items()))
+        for i, (columns, times) in enumerate(sorted(terms.items()))
     ]
     sizes = (
         df.select(F.inline(F.array(*combined))).where("block_key IS NOT NULL")
