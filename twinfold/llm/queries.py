@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from twinfold.operators.scratch import scratch_root
 
 from .bpe import encode_and_decode
+from .conversations import conversation_report, damage_conversations, repair_conversations
+from .fm_index import WINDOW, find_contamination
 from .mixing import mix_sources, plan_mixture
 from .near_vectors import near_vectors
 from .quality import THRESHOLD, quality_score, train_quality
@@ -21,6 +23,7 @@ from .shingle_join import similar_documents
 from .site_lines import BOILERPLATE_RATIO, LEAST_PAGES, drop_boilerplate
 from .token_files import read_files, write_files
 from .vp_trees import nearest
+from .whitening import identity_error, whiten
 
 MIX_ENTROPY, MIX_REPEATS, MIX_BUDGET = 0.95, 4.0, 1.0
 
@@ -111,12 +114,48 @@ def op10_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op11_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(
+        table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, fitted = whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    explained, error = [], 0.0
+    if fitted is not None:
+        explained = [float(e) / fitted.trace for e in fitted.values]
+        error = identity_error(found, fitted.rows)
+    return found.select("id", "deviation", F.posexplode("whitened").alias("_at", "whitened")).select(
+        F.col("id").alias("vec_id"), (F.col("_at") + 1).alias("component"), F.lit(fitted.rows if fitted else 0).cast("bigint").alias("n"),
+        "deviation", "whitened", F.get(F.lit(explained).cast("array<double>"), F.col("_at")).alias("explained"),
+        F.lit(error).alias("identity_error"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    columns = ("conv_id", "turn", "role", "text")
+    report = conversation_report(repair_conversations(damage_conversations(rows, *columns), *columns))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    told = report.withColumnRenamed("conv_id", "_conv")
+    every = rows.select("conv_id").distinct()
+    return every.join(told, every["conv_id"].eqNullSafe(told["_conv"]), "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sampled_splitters, op2_p_stable_vectors, op3_site_lines, op4_temperature_mixing, op5_positive_unlabelled,
-        op6_backtracking_bpe, op7_patched_frames, op8_parity_sketch_join, op9_vantage_point_trees, op10_secret_field)
+        op6_backtracking_bpe, op7_patched_frames, op8_parity_sketch_join, op9_vantage_point_trees, op10_secret_field,
+        op11_fm_index, op12_block_whitening, op13_conversation_repair)
 }
 
+_BARE_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 _COMPONENTS = """
 walk(a, b) AS (
     SELECT id, id FROM nodes
@@ -249,5 +288,102 @@ both_ways AS (
 ),
 {_COMPONENTS}
 SELECT n.id AS doc_id, n.n AS n_shingles, c.component_id FROM nodes n JOIN component c ON c.id = n.id
+""",
+    "op11_fm_index": f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_BARE_WORDS} AS w FROM documents),
+item AS (SELECT CAST(item_id AS VARCHAR) AS item, {_BARE_WORDS} AS w FROM benchmark),
+windows AS (
+    SELECT DISTINCT item, least(len(w), {WINDOW}) AS n, array_to_string(w[i:i + {WINDOW} - 1], ' ') AS phrase FROM (
+        SELECT *, unnest(range(1, greatest(len(w) - {WINDOW} + 1, 1) + 1)) AS i FROM item WHERE len(w) > 0)
+),
+grams AS (
+    SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM (
+        SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+),
+found AS (SELECT r, i, g.n, item FROM grams g JOIN windows w ON g.phrase = w.phrase AND g.n = w.n),
+hits AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(range(i, i + n)) AS place FROM found) GROUP BY r),
+named AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM doc d LEFT JOIN hits h ON h.r = d.r LEFT JOIN named i ON i.r = d.r
+""",
+    "op13_conversation_repair": """
+WITH RECURSIVE crc AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(
+        range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+),
+kinds AS (
+    SELECT c.*, xor(list_reduce(
+        list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+            lambda x: CAST(ord(x) AS BIGINT)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) % 20 AS kind
+    FROM conversations c, crc
+),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM kinds, (SELECT unnest(range(2)) AS copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)
+),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i,
+        coalesce(left(role, 1), '') AS initial,
+        rtrim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged
+),
+judged AS (
+    SELECT *, bare = '' AS blank, bare <> '' AND again > 1 AS duplicate,
+        bare <> '' AND again = 1 AND right(bare, 1) NOT IN ('.', '!', '?') AS truncated
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS again,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS previous FROM placed)
+),
+counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n,
+        count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+        count(*) FILTER (WHERE truncated) AS truncated,
+        count(*) FILTER (WHERE previous || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM judged GROUP BY conv_id
+),
+inserts(s, letters, to_s, lines) AS (
+    VALUES (0, '', 0, ''), (1, '', 1, ''), (2, '', 2, ''), (3, '', 3, ''),
+        (0, 'I', 2, '|user:'), (1, 'I', 2, '|user:'), (2, 'I', 3, '|assistant:'), (3, 'I', 2, '|user:'),
+        (0, 'II', 3, '|user:|assistant:'), (1, 'II', 3, '|user:|assistant:'),
+        (2, 'II', 2, '|assistant:|user:'), (3, 'II', 3, '|user:|assistant:')
+),
+edits(letter, s, initial, to_s, role, cost) AS (
+    VALUES ('D', 0, NULL, 0, NULL, 2), ('D', 1, NULL, 1, NULL, 2), ('D', 2, NULL, 2, NULL, 2), ('D', 3, NULL, 3, NULL, 2),
+        ('K', 0, 's', 1, NULL, 0), ('K', 0, 'u', 2, NULL, 0), ('K', 1, 'u', 2, NULL, 0), ('K', 3, 'u', 2, NULL, 0),
+        ('K', 2, 'a', 3, NULL, 0), ('R', 0, NULL, 2, 'user', 1), ('R', 1, NULL, 2, 'user', 1), ('R', 3, NULL, 2, 'user', 1),
+        ('R', 2, NULL, 3, 'assistant', 1)
+),
+walk(conv_id, i, s, cost, audit, repaired) AS (
+    SELECT conv_id, CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), '', '' FROM counted
+    UNION ALL
+    SELECT conv_id, i, s, cost, audit, repaired FROM (
+        SELECT w.conv_id, j.i, e.to_s AS s, w.audit || k.letters || e.letter AS audit,
+            w.cost + 5 * len(k.letters) + e.cost + CASE WHEN j.truncated AND e.letter <> 'D' THEN 5 ELSE 0 END AS cost,
+            w.repaired || replace(k.lines, '|', chr(10)) || CASE WHEN e.letter = 'D' THEN '' ELSE
+                chr(10) || coalesce(e.role, j.role) || ':' || j.text END AS repaired,
+            row_number() OVER (PARTITION BY w.conv_id, e.to_s ORDER BY
+                w.cost + 5 * len(k.letters) + e.cost + CASE WHEN j.truncated AND e.letter <> 'D' THEN 5 ELSE 0 END,
+                w.audit || k.letters || e.letter) AS nth
+        FROM walk w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1
+            JOIN inserts k ON k.s = w.s JOIN edits e ON e.s = k.to_s
+        WHERE (e.letter = 'D' OR NOT (j.blank OR j.duplicate)) AND (e.letter <> 'K' OR e.initial = j.initial)
+    ) WHERE nth = 1
+),
+solved AS (
+    SELECT conv_id, cost, audit, repaired FROM (
+        SELECT w.conv_id, w.cost + 5 * len(k.letters) AS cost, w.audit || k.letters AS audit,
+            w.repaired || replace(k.lines, '|', chr(10)) AS repaired,
+            row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + 5 * len(k.letters), w.audit || k.letters) AS nth
+        FROM walk w JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i
+            JOIN inserts k ON k.s = w.s AND k.to_s IN (0, 3)
+    ) WHERE nth = 1
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+    sha256(substr(coalesce(repaired, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+    LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN solved v ON v.conv_id IS NOT DISTINCT FROM o.conv_id
 """,
 }
