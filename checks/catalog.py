@@ -12,7 +12,7 @@ from twinfold import Settings, resolve, check_incoming, ship_package
 from twinfold.functions import similarity as sim
 from twinfold.functions import text as tx
 from twinfold.functions.phonetic import double_metaphone_alt
-from twinfold.operators import blocking, check, clusters, compare, dedupe, merge, model
+from twinfold.operators import blocking, check, clusters, compare, dedupe, merge, model, prior, refine
 from twinfold.operators import profile as prof
 from twinfold.operators.components import connected_components
 from twinfold.operators.derive import (
@@ -42,6 +42,12 @@ EMAIL, PHONE = blocking.BlockingRule("email", ("email_norm",)), \
 ZIP_DATE = blocking.BlockingRule("zip_date", ("zip_norm", "date_norm"))
 NAME_CITY = blocking.BlockingRule("name_city", ("last_name_norm", "city_norm"))
 RULES = [EMAIL, PHONE, ZIP_DATE, NAME_CITY]
+# Rules of one source each, for the prior; and weak ones whose blocks are large.
+SINGLE = [blocking.BlockingRule(n, (c,)) for n, c in (
+    ("email", "email_norm"), ("phone", "phone_digits"), ("zip", "zip_norm"), ("date", "date_norm"), ("url", "url_domain"))]
+WEAK = [blocking.BlockingRule(n, (c,)) for n, c in (
+    ("email", "email_norm"), ("zip", "zip_norm"), ("first_char", "first_name_first_char"), ("city", "city_norm"),
+    ("state", "state_norm"))]
 FIXED_MODEL = model.Model(
     prior=0.001,
     comparisons=[
@@ -296,6 +302,17 @@ def block_pair_counts(spark, folder):
         "rule_name string, comparisons bigint, largest_block bigint, blocks bigint")
 
 
+@query
+def metaphone_rule_costs(spark, folder):
+    """The rules on phonetic codes, which SQL cannot make."""
+    rows = written_people(spark, folder)
+    rules = blocking.propose_rules(rows.columns, PEOPLE_ROLES, prof.non_null_shares(rows))
+    costs = blocking.cost_rules(rows, [r for r in rules if "metaphone" in "".join(r.columns)])
+    return spark.createDataFrame(
+        [(c.rule.name, c.comparisons, c.largest_block, c.blocks) for c in costs],
+        "rule_name string, comparisons bigint, largest_block bigint, blocks bigint")
+
+
 @query
 def block_sizes_skewed(spark, folder):
     """Blocks of one column with few, large values."""
@@ -337,6 +354,13 @@ def matched_pair_count(spark, folder):
     return spark.createDataFrame([(blocking.matched_pairs(rows, RULES),)], "pairs bigint")
 
 
+@query
+def refined_candidate_pairs(spark, folder):
+    """Pairs of weak rules: small blocks whole, large ones crossed and swept by neighbourhood."""
+    rows = written_people(spark, folder)
+    return refine.refined_pairs(rows, WEAK).select("unique_id_l", "unique_id_r")
+
+
 # ------------------------------------------------------------------ compare
 
 COMPARED = {
@@ -433,10 +457,38 @@ def estimate_prior(spark, folder):
     return spark.createDataFrame([(round(value, 12),)], "prior double")
 
 
+@query
+def recaptured_prior(spark, folder):
+    """The prior by capture and recapture over rules of one source each."""
+    rows = written_people(spark, folder)
+    value = prior.recaptured_prior(rows, blocking.cost_rules(rows, SINGLE), rows.count())
+    return spark.createDataFrame([(round(value, 12),)], "prior double")
+
+
+@query
+def equality_u(spark, folder):
+    """u of equality from the frequencies of all values, without a sample."""
+    found = model.equality_u(written_people(spark, folder), FIXED_MODEL.comparisons)
+    return found.select("comparison", "filled", F.col("equal_pairs").cast("bigint").alias("equal_pairs"), F.round("u", 12).alias("u"))
+
+
+@query
+def em_round(spark, folder):
+    """One round of EM on the pairs of every rule: shares of matches, and m per level."""
+    rows = written_people(spark, folder)
+    patterns = model.training_patterns(rows, RULES, FIXED_MODEL.comparisons)
+    found = model.expectation_maximisation(
+        patterns, FIXED_MODEL.comparisons, RULES, FIXED_MODEL.u, FIXED_MODEL.prior, max_rounds=1)
+    levels = [
+        (no, c, level, round(m, 9), round(found.prior[no], 9))
+        for no, run in enumerate(found.m) for c, ms in run.items() for level, m in enumerate(ms)]
+    return spark.createDataFrame(levels, "rule_no int, comparison string, level int, m double, share double")
+
+
 @query
 def estimate_u(spark, folder):
     rows = written_people(spark, folder)
-    found = model.estimate_u(rows, FIXED_MODEL.comparisons, rows.count(), 200_000)
+    found = model.estimate_u(rows, FIXED_MODEL.comparisons, rows.count())
     return found.select("comparison", "level", "pairs", F.round("u", 9).alias("u"))
 
 
@@ -476,8 +528,7 @@ def training_patterns(spark, folder):
 def train_em(spark, folder):
     """Level probabilities after training, through a saved and loaded model."""
     rows = written_people(spark, folder)
-    trained = model.train(rows, Settings(FIXED_MODEL.comparisons, RULES), rows.count(),
-                          max_pairs=200_000)
+    trained = model.train(rows, Settings(FIXED_MODEL.comparisons, RULES), rows.count())
     path = scratch_path(spark, "model")
     save_model(spark, trained, path)
     kept = load_model(spark, path)
@@ -683,12 +734,12 @@ def simple_verdicts(spark, folder):
 @query
 def resolve_people(spark, folder):
     """Everything from the raw table to the group report."""
-    found = resolve(people(spark, folder).drop("entity_id"), key="unique_id", random_pairs=200_000)
+    found = resolve(people(spark, folder).drop("entity_id"), key="unique_id")
     return found.report.select("unique_id", "cluster_id", "partition_group")
 
 
 @query
 def resolve_and_check(spark, folder):
     """A run on the people, then verdicts on arriving records with fuzzy rescoring."""
-    found = resolve(people(spark, folder).drop("entity_id"), key="unique_id", random_pairs=200_000)
+    found = resolve(people(spark, folder).drop("entity_id"), key="unique_id")
     return check_incoming(_incoming(spark, folder), found)

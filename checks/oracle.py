@@ -103,10 +103,11 @@ GAMMAS = ", ".join(f"{_level(c, t)} AS gamma_{c}" for c, t in MODEL_LEVELS.items
 
 
 def _weight(tf: str) -> str:
-    terms = [repr(FIXED_MODEL.prior_weight)]
+    terms = [f"log2({FIXED_MODEL.prior!r} / (1 - {FIXED_MODEL.prior!r}))"]
     for c in FIXED_MODEL.comparisons:
-        whens = " ".join(f"WHEN {i - 1} THEN {w!r}" for i, w in enumerate(FIXED_MODEL.weights(c)))
-        terms.append(f"CASE gamma_{c.column} {whens} END")
+        levels = zip(FIXED_MODEL.m[c.column], FIXED_MODEL.u[c.column])
+        whens = " ".join(f"WHEN {i} THEN log2({m!r} / {u!r})" for i, (m, u) in enumerate(levels))
+        terms.append(f"CASE gamma_{c.column} WHEN -1 THEN 0 {whens} END")
         if c.term_frequency:
             u = FIXED_MODEL.u[c.column][-1]
             terms.append(f"CASE WHEN gamma_{c.column} = {c.top} THEN log2({u!r} / {tf}) ELSE 0 END")
@@ -326,6 +327,46 @@ ORACLE["candidate_pairs"] = f"{PAIRS} SELECT unique_id_l, unique_id_r, rule_no F
 ORACLE["candidate_pairs_in_pieces"] = ORACLE["candidate_pairs"]
 ORACLE["matched_pair_count"] = f"{PAIRS} SELECT count(*) AS pairs FROM pairs"
 
+_WEAK = ["email_norm", "zip_norm", "first_name_first_char", "city_norm", "state_norm"]
+_LARGE = 100
+_SIZES = ", ".join(f"count(*) OVER (PARTITION BY {c}) AS n{i}" for i, c in enumerate(_WEAK))
+_OPEN = ", ".join(f"{c} IS NOT NULL AND n{i} > {_LARGE} AS o{i}" for i, c in enumerate(_WEAK))
+
+
+def _crossed(*own: int) -> str:
+    """Blocks of records that stand in large blocks under the rules ``own`` without the last, and
+    under it; kept where they are small."""
+    key = " || '|' || ".join(_WEAK[i] for i in own)
+    open_ = f"o{own[0]} IS NOT NULL AND {_WEAK[own[0]]} IS NOT NULL" if len(own) == 1 else " AND ".join(f"o{i}" for i in own)
+    return (f"SELECT unique_id, '{own}' || {key} AS block, count(*) OVER (PARTITION BY {key}) AS n, "
+            f"{len(own)} AS level FROM opened WHERE {open_}")
+
+
+_TWO = [(i, j) for i in range(5) for j in range(i + 1, 5)]
+_SORT = "concat_ws(' ', " + ", ".join(_WEAK) + ")"
+_SWEPT = " UNION ALL ".join(
+    f"SELECT unique_id, {i} AS rule, row_number() OVER (PARTITION BY {c} ORDER BY {_SORT}, unique_id) AS place, {c} AS k "
+    f"FROM opened WHERE o{i}" for i, c in enumerate(_WEAK))
+# a third level is reached where all three crossings of two are large
+_THREE = " UNION ALL ".join(
+    f"SELECT unique_id, '{(i, j, k)}' || {_WEAK[i]} || '|' || {_WEAK[j]} || '|' || {_WEAK[k]} AS block, "
+    f"count(*) OVER (PARTITION BY {_WEAK[i]}, {_WEAK[j]}, {_WEAK[k]}) AS n, 3 AS level FROM opened o "
+    f"WHERE (SELECT count(*) FROM second s WHERE s.unique_id = o.unique_id AND s.n > {_LARGE} AND "
+    f"(s.block LIKE '({i}, {j})%' OR s.block LIKE '({i}, {k})%' OR s.block LIKE '({j}, {k})%')) = 3"
+    for i in range(5) for j in range(i + 1, 5) for k in range(j + 1, 5))
+ORACLE["refined_candidate_pairs"] = f"""{ENHANCED}, sized AS (SELECT *, {_SIZES} FROM enhanced),
+opened AS (SELECT *, {_OPEN} FROM sized),
+first_level AS ({" UNION ALL ".join(_crossed(i) for i in range(5))}),
+second AS ({" UNION ALL ".join(_crossed(*own) for own in _TWO)}),
+third AS ({_THREE}),
+kept AS (SELECT unique_id, block FROM (SELECT * FROM first_level UNION ALL SELECT * FROM second UNION ALL SELECT * FROM third)
+  WHERE n <= {_LARGE}),
+swept AS ({_SWEPT}),
+met AS (SELECT l.unique_id AS a, r.unique_id AS b FROM kept l JOIN kept r ON l.block = r.block AND l.unique_id < r.unique_id
+  UNION SELECT least(l.unique_id, r.unique_id), greatest(l.unique_id, r.unique_id) FROM swept l JOIN swept r
+  ON l.rule = r.rule AND l.k = r.k AND r.place BETWEEN l.place + 1 AND l.place + 5)
+SELECT a AS unique_id_l, b AS unique_id_r FROM met"""
+
 # ------------------------------------------------------------------ functions
 
 _WORDS = "list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda w: w <> '')"
@@ -373,6 +414,64 @@ FROM part, (VALUES (1), (-1)) AS t(s)"""
 
 ORACLE["estimate_prior"] = f"""{PAIRS}, n AS (SELECT count(*) AS n FROM enhanced)
 SELECT round((SELECT count(*) FROM pairs) / 0.95 / (n * (n - 1) / 2), 12) AS prior FROM n"""
+_SOURCES = ["email_norm", "phone_digits", "zip_norm", "date_norm", "url_domain"]
+_SETS = [(i,) for i in range(5)] + _TWO + [(i, j, k) for i, j in _TWO for k in range(j + 1, 5)]
+_AGREE = " UNION ALL ".join(
+    f"SELECT '{own}' AS own, coalesce(sum(n * (n - 1) / 2), 0) AS pairs FROM (SELECT count(*) AS n FROM enhanced WHERE "
+    + " AND ".join(f"{_SOURCES[i]} IS NOT NULL" for i in own)
+    + " GROUP BY " + ", ".join(_SOURCES[i] for i in own) + ")" for own in _SETS)
+
+
+def _beyond(*own: int) -> str:
+    """Pairs that agree on all of these, less what chance gives."""
+    alone = " * ".join(f"(SELECT pairs FROM agree WHERE own = '{(i,)}') / possible" for i in own)
+    return f"greatest((SELECT pairs FROM agree WHERE own = '{own}') - possible * {alone}, 0)"
+
+
+_ESTIMATES = " UNION ALL ".join(
+    f"SELECT {_beyond(i, j)} * {_beyond(i, k)} * {_beyond(j, k)} / pow({_beyond(i, j, k)}, 2) AS matches FROM n "
+    f"WHERE {_beyond(i, j, k)} > 0" for i, j in _TWO for k in range(j + 1, 5))
+ORACLE["recaptured_prior"] = f"""{ENHANCED}, n AS (SELECT count(*) * (count(*) - 1) / 2 AS possible FROM enhanced),
+agree AS ({_AGREE}), estimates AS ({_ESTIMATES})
+SELECT round(CAST((SELECT median(matches) FROM estimates WHERE matches > 0) / possible AS DOUBLE), 12) AS prior FROM n"""
+_VALUES = " UNION ALL ".join(
+    f"SELECT '{c}' AS comparison, {c} AS v, count(*) AS n FROM enhanced WHERE {c} IS NOT NULL GROUP BY {c}" for c in MODEL_LEVELS)
+ORACLE["equality_u"] = f"""{ENHANCED}, v AS ({_VALUES})
+SELECT comparison, CAST(sum(n) AS BIGINT) AS filled, CAST(sum(n * (n - 1)) / 2 AS BIGINT) AS equal_pairs,
+  round(CAST(sum(n * (n - 1)) / (CAST(sum(n) AS DOUBLE) * (sum(n) - 1)) AS DOUBLE), 12) AS u FROM v GROUP BY comparison"""
+_START = 0.95
+
+
+def _start_odds(no: int) -> str:
+    """Share of matches among the pairs of a rule at the start."""
+    odds = f"{FIXED_MODEL.prior!r} / (1 - {FIXED_MODEL.prior!r})"
+    for c in MODEL_LEVELS:
+        if c in RULE_KEYS[no]:
+            odds += f" * {_START} / {FIXED_MODEL.u[c][-1]!r}"
+    return f"least(greatest(({odds}) / (1 + ({odds})), 1e-6), 0.999)"
+
+
+def _step_odds(no: int) -> str:
+    share = _start_odds(no)
+    terms = [f"ln({share} / (1 - {share}))"]
+    for c, tests in MODEL_LEVELS.items():
+        top = len(tests) + 1
+        if c not in RULE_KEYS[no]:
+            whens = " ".join(f"WHEN {i} THEN ln({_START if i == top else (1 - _START) / top!r} / {u!r})"
+                             for i, u in enumerate(FIXED_MODEL.u[c]))
+            terms.append(f"CASE gamma_{c} WHEN -1 THEN 0 {whens} END")
+    return " + ".join(f"CAST({t} AS DOUBLE)" for t in terms)
+
+
+_STEP = " ".join(f"WHEN {no} THEN {_step_odds(no)}" for no in range(len(RULE_KEYS)))
+_STEP_LEVELS = " UNION ALL ".join(
+    f"SELECT rule_no, '{c}' AS comparison, {i} AS level, sum(CASE WHEN gamma_{c} = {i} THEN p ELSE 0 END) "
+    f"/ sum(CASE WHEN gamma_{c} >= 0 THEN p ELSE 0 END) AS m, least(greatest(sum(p) / count(*), 1e-6), 1 - 1e-6) AS share FROM step "
+    f"WHERE rule_no NOT IN ({', '.join(str(no) for no, keys in enumerate(RULE_KEYS) if c in keys) or -1}) GROUP BY rule_no"
+    for c, tests in MODEL_LEVELS.items() for i in range(len(tests) + 2))
+ORACLE["em_round"] = f"""{ENHANCED}, {_pairs(group=False)}, levels AS (SELECT rule_no, {GAMMAS} {BOTH}),
+step AS (SELECT *, 1 / (1 + exp(-(CASE rule_no {_STEP} END))) AS p FROM levels)
+SELECT CAST(rule_no AS INT) AS rule_no, comparison, level, round(m, 9) AS m, round(share, 9) AS share FROM ({_STEP_LEVELS})"""
 _LEVEL_ROWS = ", ".join(
     f"('{c}', {i})" for c, t in MODEL_LEVELS.items() for i in range(len(t) + 2))
 _UNPIVOT = " UNION ALL ".join(
@@ -380,8 +479,8 @@ _UNPIVOT = " UNION ALL ".join(
 ORACLE["estimate_u"] = f"""{ENHANCED}, ring AS (
   SELECT *, row_number() OVER (ORDER BY substr(md5(unique_id), 1, 13), unique_id) AS place,
     count(*) OVER () AS n FROM enhanced),
-steps AS (SELECT unique_id AS a, place, n, unnest(range(1, CASE WHEN n * (n - 1) // 2 <= 200000
-  THEN n - place + 1 ELSE greatest(200000 // n, 1) + 1 END)) AS step FROM ring),
+steps AS (SELECT unique_id AS a, place, n, unnest(range(1, CASE WHEN n * (n - 1) // 2 <= 2000000
+  THEN n - place + 1 ELSE greatest(2000000 // n, 1) + 1 END)) AS step FROM ring),
 met AS (SELECT a, ring.unique_id AS b FROM steps JOIN ring ON ring.place = (steps.place - 1 + step) % steps.n + 1),
 levels AS (SELECT {GAMMAS} FROM met JOIN enhanced l ON l.unique_id = a JOIN enhanced r ON r.unique_id = b),
 counts AS (SELECT comparison, level, count(*) AS pairs FROM ({_UNPIVOT}) WHERE level >= 0 GROUP BY 1, 2),

@@ -56,7 +56,7 @@ def test_stream_gives_batch_verdicts(spark, tmp_path):
     report = materialize(found.withColumn("partition_group", F.lit("group_1")), "report")
     run = SimpleNamespace(
         plan=SimpleNamespace(enhanced=base, rule_set="wide"), base=base, model=FIXED_MODEL, roles=PEOPLE_ROLES,
-        report=report, rows=base.count())
+        report=report, rows=base.count(), block_rows=None)
     arriving = people(spark, SMALL).drop("entity_id").withColumn(
         "unique_id", F.concat(F.lit("new_"), "unique_id"))
     arriving.write.parquet(str(tmp_path / "in"))

@@ -7,17 +7,20 @@ from dataclasses import dataclass, field
 from functools import reduce
 from statistics import median
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_share
 from .blocking import (
-    BlockingRule, block_pairs, cost_rules, keyed, matched_pairs, rule_columns, tasks_for,
+    BlockingRule, RuleCost, block_pairs, cost_rules, keyed, matched_pairs, rule_columns, tasks_for,
 )
 from .compare import Comparison, compare_pairs, compared_columns, self_levels
 from .dedupe import find_copies
 from .numbering import dense_number
+from .prior import column_source, recaptured_prior
 from .profile import sample_rows
+from .refine import Refinement, refined_pairs
 from .scratch import forget, materialize
 
 # Sizes and stopping rules of training.
@@ -28,6 +31,10 @@ CONVERGENCE, MAX_ROUNDS = 0.001, 25
 
 # Random pairs come from at most this many records, each paired with several others.
 PAIRED_RECORDS = 100_000
+# Up to this many patterns EM runs on the driver, a few megabytes; beyond, each round is a job.
+MOST_PATTERNS = 200_000
+# A comparison is trained by this many rules that leave it open, where there are as many.
+RULES_PER_COMPARISON = 3
 _FLOOR = 1e-6
 # A training sample consists of at least about this many pieces of blocks.
 _LEAST_PIECES = 64
@@ -161,11 +168,12 @@ def level_counts(compared: DataFrame, comparisons: list[Comparison]) -> DataFram
 
 
 def estimate_u(df: DataFrame, comparisons: list[Comparison], rows: int,
-               max_pairs: int = RANDOM_PAIRS, key: str = "unique_id") -> DataFrame:
+               max_pairs: int = RANDOM_PAIRS, key: str = "unique_id",
+               paired_records: int = PAIRED_RECORDS) -> DataFrame:
     """(comparison, level, pairs, u, u_error): how often random records agree that well, and
     the standard error that the number of pairs leaves; more ``max_pairs`` make it smaller."""
     columns = [c.column for c in comparisons]
-    pairs = random_pairs(df, columns, rows, max_pairs, key)
+    pairs = random_pairs(df, columns, rows, max_pairs, key, paired_records)
     counts = level_counts(compare_pairs(pairs, comparisons), comparisons)
     totals = counts.groupBy("comparison").agg(F.sum("pairs").alias("_all"))
     u = F.when(F.col("_all") > 0, F.col("pairs") / F.col("_all")).otherwise(0.0)
@@ -175,6 +183,46 @@ def estimate_u(df: DataFrame, comparisons: list[Comparison], rows: int,
         F.when(F.col("_all") > 0, error).otherwise(1.0).alias("u_error"))
 
 
+def equality_u(df: DataFrame, comparisons: list[Comparison]) -> DataFrame:
+    """(comparison, filled, equal_pairs, u): how often two different filled records are equal, exact,
+    from the frequencies of all values: the pairs of equal values over all pairs. One job for
+    all comparisons; no pair is formed and nothing sampled."""
+    cells = [F.struct(F.lit(c.column).alias("comparison"), F.col(c.column).cast("string").alias("value"))
+             for c in comparisons]
+    values = df.select(F.inline(F.array(*cells))).where("value IS NOT NULL").groupBy("comparison", "value").agg(
+        F.count("*").alias("n"))
+    n = F.col("n").cast("decimal(19,0)")
+    sums = values.groupBy("comparison").agg(F.sum("n").alias("filled"), F.sum(n * (n - 1)).alias("equal"))
+    possible = F.col("filled").cast("double") * (F.col("filled") - 1)
+    return sums.select(
+        "comparison", "filled", (F.col("equal") / 2).cast("decimal(38,0)").alias("equal_pairs"),
+        F.when(possible > 0, F.col("equal").cast("double") / possible).otherwise(0.0).alias("u"))
+
+
+def train_u(df: DataFrame, comparisons: list[Comparison], rows: int, max_pairs: int = RANDOM_PAIRS,
+            key: str = "unique_id", paired_records: int = PAIRED_RECORDS) \
+        -> tuple[dict[str, list[float]], dict[str, list[float]]]:
+    """u per level and its standard error: of equality from all values, and so exact; of the weaker
+    levels, where a comparison has any, what random pairs that are not equal say of the rest."""
+    equal = {r["comparison"]: r["u"] for r in equality_u(df, comparisons).collect()}  # a row per comparison
+    u = {c.column: [0.0] * c.top + [equal.get(c.column, 0.0)] for c in comparisons}
+    error = {c.column: [0.0] * (c.top + 1) for c in comparisons}
+    for c in comparisons:
+        u[c.column][0] = 1 - u[c.column][-1]
+    fuzzy = [c for c in comparisons if c.top > 1]
+    if fuzzy:
+        found = estimate_u(df, fuzzy, rows, max_pairs, key, paired_records).collect()  # a row per level
+        for c in fuzzy:
+            pairs = {r["level"]: r["pairs"] for r in found if r["comparison"] == c.column}
+            unequal = sum(pairs[level] for level in range(c.top))
+            rest = 1 - u[c.column][-1]
+            for level in range(c.top):
+                share = pairs[level] / unequal if unequal else float(level == 0)
+                u[c.column][level] = rest * share
+                error[c.column][level] = rest * math.sqrt(share * (1 - share) / unequal) if unequal else 1.0
+    return {c: [max(x, _FLOOR) for x in levels] for c, levels in u.items()}, error
+
+
 # ---------------------------------------------------------------- m, by EM
 
 
@@ -200,14 +248,36 @@ class SampledRule(BlockingRule):
         return F.when(whole.isNotNull() & (hash_share(own) < self.share), own)
 
 
+def training_rules(costs: list[RuleCost], comparisons: list[Comparison],
+                   least: int = RULES_PER_COMPARISON) -> list[RuleCost]:
+    """The rules to train on, in their order: those with the fewest pairs, as the share of matches is
+    largest there, until ``least`` of them leave each comparison open that any rule does. A
+    comparison is open under a rule that holds no column of the same source, as what holds a name
+    also holds its sound."""
+    paired = sorted((c for c in costs if c.comparisons > 0), key=lambda c: (c.comparisons, c.rule.name))
+    open_ = {c.rule: {x.column for x in comparisons if not _held(x, c.rule)} for c in paired}
+    missing = {x.column: min(least, sum(x.column in some for some in open_.values())) for x in comparisons}
+    chosen = set()
+    for cost in paired:
+        if any(missing[column] > 0 for column in open_[cost.rule]):
+            chosen.add(cost.rule)
+            for column in open_[cost.rule]:
+                missing[column] -= 1
+    return [c for c in costs if c.rule in chosen]
+
+
+def _held(comparison: Comparison, rule: BlockingRule) -> bool:
+    return column_source(comparison.column) in {column_source(c) for c in rule.columns}
+
+
 def training_blocks(df: DataFrame, rules: list[BlockingRule], training_pairs: int,
-                    key: str = "unique_id") -> tuple[DataFrame, list[SampledRule]]:
+                    key: str = "unique_id", costs: list[RuleCost] | None = None) -> tuple[DataFrame, list[SampledRule]]:
     """The rules, each on so many blocks of the whole table that about ``training_pairs`` pairs
     are expected, and the records in those. Blocks are taken whole where they are small next to
     that number, so that matches survive however small the share; else in pieces, so that a
     few large blocks are not all or nothing."""
     some = []
-    for cost in cost_rules(df, rules):
+    for cost in costs or cost_rules(df, rules):
         wanted = min(training_pairs / max(cost.comparisons, 1), 1.0)
         piece_rows = max(math.sqrt(2 * training_pairs / _LEAST_PIECES), 2)
         pieces = max(min(math.ceil(cost.largest_block / piece_rows), math.floor(1 / wanted)), 1)
@@ -268,18 +338,10 @@ class Training:
     converged: list[bool]
 
 
-def expectation_maximisation(patterns: DataFrame, comparisons: list[Comparison],
-                             rules: list[BlockingRule], u: dict[str, list[float]], prior: float,
-                             convergence: float = CONVERGENCE,
-                             max_rounds: int = MAX_ROUNDS) -> Training:
-    """m for every rule's pairs at once; u stays as estimated.
-
-    The pairs were reduced to pattern counts before; a round is one aggregation of those
-    that returns one row per rule. A comparison on a column of the rule is left out of
-    that rule's run, since all its pairs agree there.
-    """
-    free = [[c for c in comparisons if c.column not in rule.columns] for rule in rules]
-    m = [{c.column: start_m(c.top) for c in some} for some in free]
+def _em_start(comparisons: list[Comparison], rules: list[BlockingRule], u: dict[str, list[float]],
+              prior: float) -> tuple[list[dict[str, list[float]]], list[float]]:
+    """m of the comparisons that each rule leaves open, and the share of matches among its pairs."""
+    m = [{c.column: start_m(c.top) for c in comparisons if c.column not in rule.columns} for rule in rules]
     priors = []
     for rule in rules:
         odds = prior / max(1 - prior, _FLOOR)
@@ -287,8 +349,79 @@ def expectation_maximisation(patterns: DataFrame, comparisons: list[Comparison],
             if c.column in rule.columns:
                 odds *= _TOP_START / max(u[c.column][-1], _FLOOR)
         priors.append(min(max(odds / (1 + odds), _FLOOR), 1 - 1e-3))
-    objective: list[list[float]] = [[] for _ in rules]
+    return m, priors
+
+
+def _ratios(m: list[float], u: list[float]) -> list[float]:
+    """ln(m / u) per level, with 0 in front for a missing side."""
+    return [0.0, *(math.log(max(x, _FLOOR) / max(y, _FLOOR)) for x, y in zip(m, u))]
+
+
+def em_rounds(levels: np.ndarray, pairs: np.ndarray, comparisons: list[Comparison], m: dict[str, list[float]],
+              u: dict[str, list[float]], prior: float, convergence: float = CONVERGENCE,
+              max_rounds: int = MAX_ROUNDS) -> tuple[dict[str, list[float]], float, list[float], bool]:
+    """EM on patterns at hand: ``levels`` has a row per pattern and a column per comparison, ``pairs``
+    its number of pairs. Comparisons that ``m`` lacks are not looked at. What comes back: m, the share
+    of matches, the objective of each round, and whether it settled."""
+    m, objective, settled = dict(m), [], False
+    for _ in range(max_rounds):
+        odds = np.full(len(pairs), math.log(prior / (1 - prior)))
+        for i, c in enumerate(comparisons):
+            if c.column in m:
+                odds += np.array(_ratios(m[c.column], u[c.column]))[levels[:, i] + 1]
+        p = 1 / (1 + np.exp(-odds))
+        objective.append(float((pairs * (math.log(1 - prior) + np.logaddexp(0, odds))).sum()))
+        prior = min(max(float((pairs * p).sum() / pairs.sum()), _FLOOR), 1 - _FLOOR)
+        moved = 0.0
+        for i, c in enumerate(comparisons):
+            if c.column in m:
+                found = np.bincount(levels[:, i] + 1, weights=pairs * p, minlength=c.top + 2)[1:]
+                if found.sum() > 0:
+                    fresh = (found / found.sum()).tolist()
+                    moved = max(moved, *(abs(a - b) for a, b in zip(fresh, m[c.column])))
+                    m[c.column] = fresh
+        if moved < convergence:
+            settled = True
+            break
+    return m, prior, objective, settled
+
+
+def expectation_maximisation(patterns: DataFrame, comparisons: list[Comparison],
+                             rules: list[BlockingRule], u: dict[str, list[float]], prior: float,
+                             convergence: float = CONVERGENCE, max_rounds: int = MAX_ROUNDS,
+                             most_patterns: int = MOST_PATTERNS) -> Training:
+    """m for every rule's pairs; u stays as estimated.
+
+    The pairs were reduced to pattern counts before. Up to ``most_patterns`` of them are brought to
+    the driver, where a round is a few array operations; with more, a round is one aggregation for
+    all rules that returns one row per rule. A comparison on a column of the rule is left out
+    of that rule's run, since all its pairs agree there.
+    """
     patterns = patterns.persist()
+    try:
+        if patterns.count() > most_patterns:
+            return _em_by_jobs(patterns, comparisons, rules, u, prior, convergence, max_rounds)
+        table = patterns.select("rule_no", "pairs", *[c.gamma for c in comparisons]).toPandas()
+    finally:
+        patterns.unpersist()
+    starts, priors = _em_start(comparisons, rules, u, prior)
+    found = Training([], [], [], [], [])
+    for no in range(len(rules)):
+        own = table[table["rule_no"] == no]
+        pairs = own["pairs"].to_numpy(dtype=float)
+        levels = own[[c.gamma for c in comparisons]].to_numpy(dtype=np.int64)
+        m, share, objective, settled = ({}, priors[no], [], False) if not len(own) else em_rounds(
+            levels, pairs, comparisons, starts[no], u, priors[no], convergence, max_rounds)
+        for values, value in zip((found.m, found.prior, found.objective, found.pairs, found.converged),
+                                 (m, share, objective, int(pairs.sum()), settled)):
+            values.append(value)
+    return found
+
+
+def _em_by_jobs(patterns: DataFrame, comparisons: list[Comparison], rules: list[BlockingRule],
+                u: dict[str, list[float]], prior: float, convergence: float, max_rounds: int) -> Training:
+    m, priors = _em_start(comparisons, rules, u, prior)
+    objective: list[list[float]] = [[] for _ in rules]
     running = set(range(len(rules)))
     sums = ", ".join(
         f"sum(CASE WHEN `{c.gamma}` = {level} THEN pairs * p ELSE 0.0D END) AS `{i}:{level}`"
@@ -296,11 +429,7 @@ def expectation_maximisation(patterns: DataFrame, comparisons: list[Comparison],
     for _ in range(max_rounds):
         terms = [_lookup([[math.log(p / (1 - p))] for p in priors], "0")]
         for c in comparisons:
-            ratios = [
-                [0.0, *(math.log(max(x, _FLOOR) / max(y, _FLOOR))
-                        for x, y in zip(run[c.column], u[c.column]))]
-                if c.column in run else [0.0] * (c.top + 2) for run in m
-            ]
+            ratios = [_ratios(run[c.column], u[c.column]) if c.column in run else [0.0] * (c.top + 2) for run in m]
             terms.append(_lookup(ratios, f"`{c.gamma}` + 1"))
         rest = _lookup([[math.log(1 - p)] for p in priors], "0")
         # one aggregated row per rule comes back
@@ -331,7 +460,6 @@ def expectation_maximisation(patterns: DataFrame, comparisons: list[Comparison],
         running = {no for no in running if moved[no] >= convergence}
         if not running:
             break
-    patterns.unpersist()
     seen = {row["rule_no"]: int(row["pairs"]) for row in rows}
     return Training(
         [run if i in seen else {} for i, run in enumerate(m)], priors, objective,
@@ -339,41 +467,90 @@ def expectation_maximisation(patterns: DataFrame, comparisons: list[Comparison],
         [i in seen and i not in running for i in range(len(rules))])
 
 
+def mixture_levels(df: DataFrame, rule: SampledRule, patterns: DataFrame, rule_no: int,
+                   comparisons: list[Comparison], rows: int, max_pairs: int, key: str = "unique_id",
+                   paired_records: int = PAIRED_RECORDS) -> DataFrame:
+    """(gamma columns, pairs): a weighted sample of all pairs of records. The pairs of one rule are there
+    by their number, the others by random pairs, each standing for as many as were not drawn."""
+    gammas = [c.gamma for c in comparisons]
+    share = rule.share / rule.pieces
+    inside = patterns.where(F.col("rule_no") == rule_no).select(*gammas, (F.col("pairs") / share).alias("pairs"))
+    held = BlockingRule(rule.name, rule.columns)
+    columns = sorted({c.column for c in comparisons})
+    drawn = random_pairs(df.withColumn("_held", held.key()), [*columns, "_held"], rows, max_pairs, key, paired_records)
+    drawn = drawn.where(~F.coalesce(F.col("_held_l") == F.col("_held_r"), F.lit(False)))
+    outside = materialize(
+        compare_pairs(drawn, comparisons).groupBy(*gammas).agg(F.count("*").alias("pairs")), "mixture")
+    blocked = inside.agg(F.sum("pairs")).first()[0] or 0
+    seen = outside.agg(F.sum("pairs")).first()[0] or 1
+    weight = max(rows * (rows - 1) / 2 - blocked, 0.0) / seen
+    return inside.unionByName(outside.withColumn("pairs", F.col("pairs") * F.lit(weight)))
+
+
+def _train_held(df: DataFrame, untrained: list[Comparison], comparisons: list[Comparison], runs: Training,
+                some: list[SampledRule], patterns: DataFrame, u: dict[str, list[float]], prior: float, rows: int,
+                settings: Settings, max_pairs: int, key: str, paired_records: int) -> dict[str, list[float]]:
+    """m of the comparisons that every rule holds, from all pairs rather than from those of a rule, where
+    all would agree: the pairs of the rule with the fewest pairs, and random ones for the rest.
+    The other comparisons start from what the rules gave. With over ``MOST_PATTERNS`` patterns they
+    stay untrained, which the model tells."""
+    no = min((i for i, n in enumerate(runs.pairs) if n), key=runs.pairs.__getitem__, default=None)
+    if no is None:
+        return {}
+    mixed = mixture_levels(df, some[no], patterns, no, comparisons, rows, max_pairs, key, paired_records)
+    table = mixed.groupBy(*[c.gamma for c in comparisons]).agg(F.sum("pairs").alias("pairs"))
+    if table.count() > MOST_PATTERNS:
+        return {}
+    table = table.toPandas()
+    start = {c.column: runs.m[no].get(c.column) or start_m(c.top) for c in comparisons}
+    found, _, _, _ = em_rounds(
+        table[[c.gamma for c in comparisons]].to_numpy(dtype=np.int64), table["pairs"].to_numpy(dtype=float),
+        comparisons, start, u, min(max(prior, _FLOOR), 0.5), settings.convergence, settings.max_rounds)
+    return {c.column: found[c.column] for c in untrained}
+
+
 def train(df: DataFrame, settings: Settings, rows: int, key: str = "unique_id",
-          max_pairs: int = RANDOM_PAIRS, training_pairs: int = TRAINING_PAIRS) -> Model:
-    """Estimate the prior on all records, whose matched pairs are counted without forming them,
-    u on about ``max_pairs`` random pairs, and m on the pairs of the rules: all of them, or those
-    of some blocks where a rule brings more than ``training_pairs``. No bound is in rows, as
-    the pairs left of a sample of rows shrink with its square.
+          max_pairs: int = RANDOM_PAIRS, training_pairs: int = TRAINING_PAIRS,
+          paired_records: int = PAIRED_RECORDS) -> Model:
+    """Estimate the prior on all records by capture and recapture, u of equality on all values and
+    of weaker levels on about ``max_pairs`` random pairs of ``paired_records`` records, and m on the pairs
+    of the rules that ``training_rules`` names: all of them, or those of some blocks where a rule
+    brings more than ``training_pairs``. A comparison that all rules hold is trained on a
+    weighted sample of all pairs. No bound is in rows, as the pairs left of a sample of rows
+    shrink with its square.
     """
     comparisons, rules = settings.comparisons, settings.rules
-    prior = prior_with_fallback(df, rules, rows)
-    u: dict[str, list[float]] = {c.column: [0.0] * (c.top + 1) for c in comparisons}
-    u_error = {c.column: [1.0] * (c.top + 1) for c in comparisons}
-    for row in estimate_u(df, comparisons, rows, max_pairs, key).collect():  # a row per level
-        u[row["comparison"]][row["level"]] = max(row["u"], _FLOOR)
-        u_error[row["comparison"]][row["level"]] = row["u_error"]
-    blocks, some = training_blocks(df, rules, training_pairs, key)
-    patterns = training_patterns(blocks, some, comparisons, key)
+    costs = cost_rules(df, rules)
+    prior = recaptured_prior(df, costs, rows)
+    u, u_error = train_u(df, comparisons, rows, max_pairs, key, paired_records)
+    used = training_rules(costs, comparisons) or costs
+    blocks, some = training_blocks(df, [c.rule for c in used], training_pairs, key, used)
+    patterns = materialize(training_patterns(blocks, some, comparisons, key), "patterns")
     runs = expectation_maximisation(
         patterns, comparisons, some, u, prior, settings.convergence, settings.max_rounds)
-    if blocks is not df:
-        forget(blocks)
-    m, trained, untrained = {}, [], []
+    m, missing = {}, []
     for c in comparisons:
-        found = [run[c.column] for run in runs.m if c.column in run]
+        found = [run[c.column] for run, rule in zip(runs.m, some) if c.column in run and not _held(c, rule)]
+        found = found or [run[c.column] for run in runs.m if c.column in run]
         if found:
             # the median: one rule whose pairs are mostly chance must not sway the others
             middle = [max(median(level), _FLOOR) for level in zip(*found)]
-            trained.append(c.column)
             m[c.column] = [x / sum(middle) for x in middle]
         else:
-            untrained.append(c.column)
-            m[c.column] = start_m(c.top)
+            missing.append(c)
+    if missing:
+        m |= _train_held(df, missing, comparisons, runs, some, patterns, u, prior, rows, settings, max_pairs,
+                         key, paired_records)
+    if blocks is not df:
+        forget(blocks)
+    forget(patterns)
+    trained = [c.column for c in comparisons if c.column in m]
+    untrained = [c.column for c in comparisons if c.column not in m]
+    m |= {c.column: start_m(c.top) for c in comparisons if c.column in untrained}
     told = [{"rule": rule.name, "share": rule.share / rule.pieces, "pairs": runs.pairs[i],
              "rounds": len(runs.objective[i]), "converged": runs.converged[i]}
             for i, rule in enumerate(some)]
-    return Model(prior, comparisons, m, u, rules, trained, untrained, u_error, told)
+    return Model(prior, comparisons, {c.column: m[c.column] for c in comparisons}, u, rules, trained, untrained, u_error, told)
 
 
 # ---------------------------------------------------------------- scores
@@ -411,9 +588,16 @@ def with_score(compared: DataFrame, model: Model, keep_levels: bool = False,
 
 def predict(df: DataFrame, model: Model, threshold: float | None = None, key: str = "unique_id",
             largest_block: int | None = None, pairs: int | None = None,
-            carry: list[str] = (), keep_levels: bool = False) -> DataFrame:
+            carry: list[str] = (), keep_levels: bool = False, block_rows: int | None = None,
+            refinement: Refinement | None = None) -> DataFrame:
     """Scored candidate pairs of ``df`` (which has the ``tf_`` columns). What the rules cost
-    is looked up when not given, so that large blocks are always cut into pieces."""
+    is looked up when not given, so that large blocks are always cut into pieces. With ``block_rows``
+    blocks of more records are refined instead of compared throughout."""
+    if block_rows is not None:
+        met = refined_pairs(df, model.rules, [*compared_columns(model.comparisons), *carry], key, block_rows,
+                            refinement=refinement)
+        scored = with_score(compare_pairs(met, model.comparisons), model, keep_levels)
+        return scored if threshold is None else scored.where(F.col("match_probability") >= threshold)
     if pairs is None or largest_block is None:
         costs = cost_rules(df, model.rules)
         largest_block = max(c.largest_block for c in costs)

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators.check import CHECK_THRESHOLD
 from ..plans.resolve import Resolution, check_incoming
 
 
 def check_arrivals(arrivals: DataFrame, found: Resolution, folder: str, report: DataFrame,
-                   threshold: float = CHECK_THRESHOLD) -> DataStreamWriter:
+                   threshold: float | None = None) -> DataStreamWriter:
     """A stream writer that stores the verdicts on ``arrivals`` (with ``unique_id``) under
     ``folder``, one sub-folder per batch, so a repeated batch replaces itself. ``report``
     is the written report of the run."""
