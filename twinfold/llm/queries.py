@@ -23,7 +23,7 @@ from .shingle_join import similar_documents
 from .site_lines import BOILERPLATE_RATIO, LEAST_PAGES, drop_boilerplate
 from .token_files import read_files, write_files
 from .vp_trees import nearest
-from .whitening import identity_error, whiten
+from .whitening import whiten
 
 MIX_ENTROPY, MIX_REPEATS, MIX_BUDGET = 0.95, 4.0, 1.0
 
@@ -124,14 +124,11 @@ def op11_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, fitted = whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    explained, error = [], 0.0
-    if fitted is not None:
-        explained = [float(e) / fitted.trace for e in fitted.values]
-        error = identity_error(found, fitted.rows)
+    explained = [float(e) / fitted.trace for e in fitted.values] if fitted else []
     return found.select("id", "deviation", F.posexplode("whitened").alias("_at", "whitened")).select(
         F.col("id").alias("vec_id"), (F.col("_at") + 1).alias("component"), F.lit(fitted.rows if fitted else 0).cast("bigint").alias("n"),
         "deviation", "whitened", F.get(F.lit(explained).cast("array<double>"), F.col("_at")).alias("explained"),
-        F.lit(error).alias("identity_error"))
+        F.lit(fitted.identity_error if fitted else 0.0).alias("identity_error"))
 
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

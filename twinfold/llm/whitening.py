@@ -4,6 +4,9 @@ Centred rows get gapless indices and become the blocks of a BlockMatrix. Its tra
 the scatter matrix, a single block of dimension by dimension, whose eigenvectors are found on the
 driver; a second product with the whitening matrix projects the rows.
 
+Blocks are made of rows by a grouping of their own and written as a table that the matrix is read
+from: the matrix class would move every entry by itself, and would do so again for each product.
+
 A block matrix keeps the numbers of its blocks on the driver while it plans a product. Rows are
 therefore taken in slabs of at most ``SLAB_BLOCKS`` blocks; scatter matrices of slabs add up, and
 rows are projected slab by slab.
@@ -15,13 +18,12 @@ import uuid
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg import DenseMatrix
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.mllib.linalg import DenseMatrix, MatrixUDT
+from pyspark.mllib.linalg.distributed import BlockMatrix
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from twinfold.operators.scratch import materialize, scratch_root
 
@@ -36,13 +38,15 @@ RANK_LIMIT = 1e-12  # an eigenvalue below this share of the largest is no compon
 
 @dataclass
 class Whitening:
-    """What was fitted: rows, sums per dimension, eigenvalues and eigenvectors (columns), falling."""
+    """What was fitted: rows, sums per dimension, eigenvalues and eigenvectors (columns), falling; and the
+    largest absolute entry of the covariance of the whitened rows minus the identity."""
 
     rows: int
     sums: list[int]
     trace: float
     values: np.ndarray
     vectors: np.ndarray
+    identity_error: float = 0.0
 
 
 def grid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -55,29 +59,63 @@ def grid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.where(entry.isNotNull()).where(fine).select(F.col(id_col).alias("id"), whole.alias("x"))
 
 
-def _indexed(rows: DataFrame, slab_rows: int) -> DataFrame:
-    """``rows`` with gapless ``index`` from 0 and its ``slab``, written once: the layout that gave
-    the indices must not change under them."""
+def _indexed(rows: DataFrame) -> DataFrame:
+    """``rows`` with gapless ``index`` from 0; written before, as the layout that gives the indices must
+    not change under them."""
     placed = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "grid")
     placed = placed.withColumn("_part", F.shiftright("_row", 33))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("_part").count().select(  # a row per partition
         "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     index = F.col("_start") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = placed.join(F.broadcast(starts), "_part").withColumn("index", index).drop("_part", "_row", "_start")
-    return numbered.withColumn("slab", F.floor(F.col("index") / slab_rows))
+    return placed.join(F.broadcast(starts), "_part").withColumn("index", index).drop("_part", "_row", "_start")
 
 
-def _column_sums(rows: DataFrame, kind: str) -> list:
-    entries = rows.select(F.posexplode("x").alias("place", "v"))
+def _column_sums(rows: DataFrame, column: str, kind: str) -> list:
+    entries = rows.select(F.posexplode(column).alias("place", "v"))
     sums = entries.groupBy("place").agg(F.sum(F.col("v").cast(kind)).alias("v"))
     return [r["v"] for r in sums.orderBy("place").collect()]  # a row per dimension
 
 
-def _blocks(rows: DataFrame, index: Column, values: Column, columns: int, block_rows: int) -> BlockMatrix:
-    vectors = rows.select(index.cast("bigint").alias("index"), array_to_vector(values).alias("vector"))
-    plain = MLUtils.convertVectorColumnsFromML(vectors, "vector")
-    return IndexedRowMatrix(plain).toBlockMatrix(block_rows, columns)
+PLACE = "_1 struct<_1: bigint, _2: bigint>"
+PLAIN = f"{PLACE}, _2 struct<type: tinyint, numRows: int, numCols: int, colPtrs: array<int>, rowIndices: array<int>, values: array<double>, isTransposed: boolean>"
+
+
+def _path(spark: SparkSession, label: str) -> str:
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _blocks(rows: DataFrame, values: Column, columns: int, block_rows: int) -> BlockMatrix:
+    """The matrix whose row ``index`` is ``values``. Matrices are stored as plain structures; read as such
+    they are matrices to the JVM, so no entry passes through Python."""
+    spark = rows.sparkSession
+    numbered = rows.select(F.floor(F.col("index") / block_rows).alias("block"), F.struct("index", values.alias("v")).alias("row"))
+    grouped = numbered.groupBy("block").agg(F.sort_array(F.collect_list("row")).alias("rows"))  # block_rows rows at most
+    matrix = F.struct(
+        F.lit(1).cast("tinyint").alias("type"), F.size("rows").alias("numRows"), F.lit(columns).alias("numCols"),
+        F.lit(None).cast("array<int>").alias("colPtrs"), F.lit(None).cast("array<int>").alias("rowIndices"),
+        F.flatten(F.transform("rows", lambda r: r["v"])).alias("values"), F.lit(True).alias("isTransposed"))
+    path = _path(spark, "blocks")
+    grouped.select(F.struct(F.col("block").alias("_1"), F.lit(0).cast("bigint").alias("_2")).alias("_1"), matrix.alias("_2")).write.parquet(path)
+    table = spark.read.schema(StructType.fromDDL(PLACE).add("_2", MatrixUDT())).parquet(path)
+    count = rows.agg(F.max("index")).first()[0] + 1
+    java = callMLlibFunc("createBlockMatrix", table, block_rows, columns, count, columns)
+    return BlockMatrix(java, block_rows, columns)
+
+
+def _rows(matrix: BlockMatrix, path: str, first: int) -> None:
+    """Append the rows of a matrix, numbered from ``first``, to a table (index, whitened) at ``path``."""
+    blocks = callMLlibFunc("getMatrixBlocks", matrix._java_matrix_wrapper._java_model)
+    spark, stored = blocks.sparkSession, _path(blocks.sparkSession, "turned")
+    blocks.toDF("_1", "_2").write.parquet(stored)
+    plain = spark.read.schema(PLAIN).parquet(stored)
+    m, n, v = F.col("_2.numRows"), F.col("_2.numCols"), F.col("_2.values")
+    # entry (i, j) stands at j * rows + i, or at i * columns + j where the matrix is transposed
+    row = lambda i: F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.get(
+        v, F.when(F.col("_2.isTransposed"), i * n + j).otherwise(j * m + i)))
+    every = F.transform(F.sequence(F.lit(0), m - 1), row)
+    plain.select((F.col("_1._1") * matrix.rowsPerBlock + first).alias("base"), F.posexplode(every).alias("at", "whitened")).select(
+        (F.col("base") + F.col("at")).alias("index"), "whitened").write.mode("append").parquet(path)
 
 
 def _product(left: BlockMatrix, right: BlockMatrix, splits: int) -> BlockMatrix:
@@ -93,25 +131,18 @@ def _scatter(matrix: BlockMatrix) -> np.ndarray:
     return _product(matrix.transpose(), matrix, splits).toLocalMatrix().toArray()
 
 
-def _centred(mean: np.ndarray) -> Column:
-    return F.zip_with("x", F.lit([float(m) for m in mean]), lambda x, m: x - m)
-
-
-def _slabs(rows: DataFrame) -> list[int]:
-    return [r["slab"] for r in rows.select("slab").distinct().orderBy("slab").collect()]  # a row per slab
+def _centred(column: str, mean: np.ndarray) -> Column:
+    return F.zip_with(column, F.lit([float(m) for m in mean]), lambda x, m: x - m)
 
 
-def _slab_index(slab_rows: int, slab: int) -> Column:
-    return F.col("index") - slab * slab_rows
-
-
-def _total_scatter(rows: DataFrame, mean: np.ndarray, slabs: list[int], block_rows: int, slab_rows: int) -> np.ndarray:
-    """Scatter of ``x`` less ``mean`` over all slabs, and so over the whole table."""
-    total = np.zeros((len(mean), len(mean)))
-    for slab in slabs:
-        own = rows.where(F.col("slab") == slab)
-        total += _scatter(_blocks(own, _slab_index(slab_rows, slab), _centred(mean), len(mean), block_rows))
-    return total
+def _slabs(rows: DataFrame, slab_rows: int) -> list[tuple[int, DataFrame]]:
+    """(first index, rows numbered from 0) of each slab."""
+    last = rows.agg(F.max("index")).first()[0]
+    found = []
+    for first in range(0, last + 1, slab_rows):
+        own = rows.where((F.col("index") >= first) & (F.col("index") < first + slab_rows))
+        found.append((first, own.withColumn("index", F.col("index") - first)))
+    return found
 
 
 def _deviation(fitted: Whitening, lowest: int, highest: int) -> Column:
@@ -147,12 +178,13 @@ def whiten(vectors: DataFrame, id_col: str, vector_col: str, components: int = C
     if usual is None or not usual["n"]:
         return empty, None
     slab_rows = block_rows * slab_blocks
-    rows = _indexed(grid.where(F.size("x") == usual["n"]), slab_rows)
+    rows = _indexed(grid.where(F.size("x") == usual["n"]))
     n, lowest, highest = rows.agg(F.count("*"), F.min(F.array_min("x")), F.max(F.array_max("x"))).first()
     fits = n * max(abs(lowest), abs(highest)) < 1 << 63
-    sums = [int(s) for s in _column_sums(rows, "bigint" if fits else "decimal(20,0)")]
-    slabs, mean = _slabs(rows), np.array([s / n for s in sums])
-    covariance = _total_scatter(rows, mean, slabs, block_rows, slab_rows) / n
+    sums = [int(s) for s in _column_sums(rows, "x", "bigint" if fits else "decimal(20,0)")]
+    mean = np.array([s / n for s in sums])
+    slabs = [(first, _blocks(own, _centred("x", mean), len(mean), block_rows)) for first, own in _slabs(rows, slab_rows)]
+    covariance = sum(_scatter(matrix) for _, matrix in slabs) / n
     values, eigenvectors = np.linalg.eigh((covariance + covariance.T) / 2)
     values, eigenvectors = values[::-1], eigenvectors[:, ::-1]
     kept = min(components, int(np.count_nonzero(values > max(values[0], 0.0) * RANK_LIMIT)))
@@ -163,25 +195,17 @@ def whiten(vectors: DataFrame, id_col: str, vector_col: str, components: int = C
     turning = fitted.vectors / np.sqrt(fitted.values)
     local = spark.sparkContext.parallelize([((0, 0), DenseMatrix(*turning.shape, turning.ravel(order="F")))], 1)
     whitening = BlockMatrix(local, len(mean), kept, len(mean), kept)
-    path = f"{scratch_root(spark)}/projected-{uuid.uuid4().hex}"
-    for slab in slabs:
-        own = rows.where(F.col("slab") == slab)
-        blocks = _blocks(own, _slab_index(slab_rows, slab), _centred(mean), len(mean), block_rows)
-        turned = _product(blocks, whitening, 1).toIndexedRowMatrix()
-        projected = callMLlibFunc("getIndexedRows", turned._java_matrix_wrapper._java_model)
-        projected.select(
-            (F.col("index") + slab * slab_rows).alias("index"), vector_to_array("vector").alias("whitened"),
-        ).write.mode("append").parquet(path)
+    path = _path(spark, "projected")
+    for first, matrix in slabs:
+        _rows(_product(matrix, whitening, 1), path, first)
     found = spark.read.schema("index bigint, whitened array<double>").parquet(path)
+    fitted.identity_error = _identity_error(found, n, kept, block_rows, slab_rows)
     described = rows.select("index", "id", _deviation(fitted, lowest, highest).alias("deviation"))
     return described.join(found, "index").select("id", "deviation", "whitened"), fitted
 
 
-def identity_error(whitened: DataFrame, rows: int, block_rows: int = BLOCK_ROWS, slab_blocks: int = SLAB_BLOCKS) -> float:
-    """The largest absolute entry of the covariance of ``whitened`` (an array column of that name, in
-    ``rows`` rows), centred before multiplying, minus the identity."""
-    slab_rows = block_rows * slab_blocks
-    indexed = _indexed(whitened.select(F.col("whitened").alias("x")), slab_rows)
-    mean = np.array(_column_sums(indexed, "double")) / rows
-    covariance = _total_scatter(indexed, mean, _slabs(indexed), block_rows, slab_rows) / rows
-    return float(np.abs(covariance - np.eye(len(mean))).max())
+def _identity_error(found: DataFrame, rows: int, columns: int, block_rows: int, slab_rows: int) -> float:
+    """Of the covariance of ``whitened``, centred before multiplying, in the same way as that of the input."""
+    mean = np.array(_column_sums(found, "whitened", "double")) / rows
+    scatter = sum(_scatter(_blocks(own, _centred("whitened", mean), columns, block_rows)) for _, own in _slabs(found, slab_rows))
+    return float(np.abs(scatter / rows - np.eye(columns)).max())
