@@ -20,16 +20,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from twinfold.sources.package import ship_package
+from .workers import prepare, released, sliced
 
 # The split into words of this family of vocabularies, and its printable letters for bytes.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+"
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-MOST_CACHED = 250_000
-MOST_PAIRS = 500_000
+MOST_CACHED = 100_000  # words a task remembers, in each of two generations
+MOST_PAIRS = 200_000
 LONGEST_CACHED = 64  # longer words (in letters) are encoded each time
-SLICE_ROWS = 500  # documents whose ids and texts a worker holds at once
+SLICE_ROWS, SLICE_BYTES = 500, 2_000_000  # documents whose ids and texts a worker holds at once
 _STRETCH = 4096  # starting places whose matches are held at once
 
 
@@ -103,6 +103,12 @@ class BacktrackingBpe:
         self.specials = regex.compile("|".join(f"({regex.escape(s)})" for s in self.special) or "(?!)")
         self.known = _Words(self.encode_word)
 
+    def forget(self) -> None:
+        """Drop the words and pairs met so far; the tables stay."""
+        self.known.clear()
+        self.known.older = {}
+        self.pairs.clear()
+
     def _compatible(self, left: int, right: int) -> bool:
         """Whether merging by rank leaves ``left`` and ``right`` apart.
 
@@ -226,17 +232,17 @@ def _loaded(kind: type, tokenizer_json: str) -> BacktrackingBpe | OffsetDecoder:
 
 
 def _mapped(df: DataFrame, columns: list[str], tokenizer_json: str, schema: str, make) -> DataFrame:
-    ship_package(df.sparkSession)
+    prepare(df.sparkSession)
     content = df.sparkSession.sparkContext.broadcast(tokenizer_json)  # a vocabulary: of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
+            for part in sliced(batch, 1, SLICE_ROWS, SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column(0), *make(content.value, part)], names)
 
     names = [field.split(" ")[0] for field in schema.split(", ")]
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(
+        released(run, lambda: _loaded(BacktrackingBpe, content.value).forget()), schema)
 
 
 def _encoded(content: str, texts: pa.Array) -> list[bytes]:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.sources.package import ship_package
+from .workers import prepare, released
 
 MOST_POSITIVES = 20_000  # bound on the sampled trusted positives
 MOST_UNLABELLED = 20_000  # bound on the sampled unlabelled documents
@@ -152,7 +152,7 @@ def train_quality(documents: DataFrame, labels: DataFrame, id_col: str, text_col
     """Fit on a sample by hash of at most about ``most_positives`` documents labelled 1 and about
     ``most_unlabelled`` documents whatever their label, both only from rows where ``may_learn``
     (a column over the id). The sampled ids travel to the documents, not the texts to the labels."""
-    ship_package(documents.sparkSession)
+    prepare(documents.sparkSession)
 
     def sampled(rows: DataFrame, bound: int) -> DataFrame:
         chance = min(1.0, bound / max(rows.count(), 1))
@@ -164,7 +164,10 @@ def train_quality(documents: DataFrame, labels: DataFrame, id_col: str, text_col
     drawn = F.pmod(F.xxhash64(F.lit(6), id_col), F.lit(1 << 30)) < int(chance * (1 << 30))
     trusted = trusted.select(id_col, F.lit(True).alias("_tw_trusted"))  # a bounded sample
     marked = named.join(F.broadcast(trusted), id_col, "left").withColumn("_tw_drawn", drawn).where("_tw_trusted or _tw_drawn")
-    of_text = F.pandas_udf(_feature_frames, "array<double>")
+    @F.pandas_udf("array<double>")
+    def of_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from released(_feature_frames)(batches)
+
     rows = marked.select("_tw_trusted", "_tw_drawn", of_text("_tw_text").alias("_tw_x")).toPandas()
     x = np.array(rows["_tw_x"].tolist(), dtype=float).reshape(len(rows), len(features("")))
     return fit(x[rows["_tw_trusted"].eq(True).to_numpy(bool)], x[rows["_tw_drawn"].eq(True).to_numpy(bool)])
@@ -172,9 +175,13 @@ def train_quality(documents: DataFrame, labels: DataFrame, id_col: str, text_col
 
 def quality_score(text: Column, model: QualityModel) -> Column:
     """Score of a text, 0 to 1; null counts as empty, whatever the length all of it is read."""
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             x = np.array([features(t) for t in texts], dtype=float).reshape(len(texts), len(model.mean))
             yield pd.Series(model.score(x))
 
-    return F.pandas_udf(score, "double")(text)
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from released(scores)(batches)
+
+    return score(text)

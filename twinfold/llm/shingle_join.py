@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from twinfold.operators.components import connected_components
 from twinfold.operators.scratch import materialize
 from twinfold.operators.skew import skew_join
-from twinfold.sources.package import ship_package
 
 from .groups import gridded, whole_groups
+from .workers import prepare, released, sliced
 
 ALL_PAIRS = 4  # members of a bucket up to which all its pairs are formed at once
 CELL_ROWS = 2000
 MOST_SAMPLED, COMMON_IN = 4000, 4  # documents from which common shingles are learnt, and how many share one
-SLICE_ROWS = 256  # documents whose sets a worker holds at once
+SLICE_ROWS, SLICE_BYTES = 256, 1_000_000  # documents whose sets a worker holds at once
 MOST_CACHED = 200_000
 MOST_BROADCAST = 200_000  # copies (an id and a digest) that may be broadcast; beyond, a shuffled join
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -47,6 +47,10 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def _forget_words() -> None:
+    _hashes.clear()
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * _MIX[0]
     h = (h ^ (h >> np.uint64(29))) * _MIX[1]
@@ -119,10 +123,9 @@ def sketch_keys(shingles: np.ndarray, similarity: float, common: np.ndarray) ->
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(start, SLICE_ROWS)
+        yield from sliced(batch, column, SLICE_ROWS, SLICE_BYTES)
 
 
 def _common(documents: DataFrame, width: int) -> np.ndarray:
@@ -132,11 +135,11 @@ def _common(documents: DataFrame, width: int) -> np.ndarray:
     drawn = documents.where(F.pmod(F.xxhash64(F.lit(8), "id"), F.lit(1 << 30)) < int(chance * (1 << 30)))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _sliced(batches):
+        for part in _sliced(batches, 0):
             found = np.concatenate([shingle_set(t.as_py(), width) for t in part.column(0)])
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["shingle"])
 
-    counted = drawn.select("text").mapInArrow(sets, "shingle bigint").groupBy("shingle").count()
+    counted = drawn.select("text").mapInArrow(released(sets, _forget_words), "shingle bigint").groupBy("shingle").count()
     rows = counted.where(F.col("count") >= COMMON_IN).select("shingle").toPandas()
     return np.sort(rows["shingle"].to_numpy(np.int64).view(np.uint64))
 
@@ -146,7 +149,7 @@ def _sets(documents: DataFrame, width: int, similarity: float, common: np.ndarra
     shared = documents.sparkSession.sparkContext.broadcast(common)  # of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _sliced(batches):
+        for part in _sliced(batches, 1):
             counts, digests, keys = [], [], []
             for text in part.column(1):
                 found = shingle_set(text.as_py(), width)
@@ -159,7 +162,7 @@ def _sets(documents: DataFrame, width: int, similarity: float, common: np.ndarra
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys))),
             ], ["id", "n", "digest", "keys"])
 
-    return documents.mapInArrow(run, "id bigint, n bigint, digest binary, keys array<bigint>")
+    return documents.mapInArrow(released(run, _forget_words), "id bigint, n bigint, digest binary, keys array<bigint>")
 
 
 def _bucket_pairs(rows: DataFrame) -> DataFrame:
@@ -212,7 +215,7 @@ def _bucket_pairs(rows: DataFrame) -> DataFrame:
             found = [(a, b) for i, a in enumerate(ids_left) for b in ids_left[i + 1:]]
             yield _pairs([np.array([a for a, _ in found])], [np.array([b for _, b in found])], [np.zeros(len(found))])
 
-    return rows.mapInArrow(run, "a bigint, b bigint, key bigint")
+    return rows.mapInArrow(released(run), "a bigint, b bigint, key bigint")
 
 
 def _pairs(a: list, b: list, key: list) -> pa.RecordBatch:
@@ -267,7 +270,7 @@ def _crossing(rows: DataFrame, percent: int) -> DataFrame:
                         if len(b):
                             yield _pairs([np.full(len(b), ids[i])], [b], [np.zeros(len(b))])
 
-    return rows.mapInArrow(run, "a bigint, b bigint, key bigint").select("a", "b")
+    return rows.mapInArrow(released(run), "a bigint, b bigint, key bigint").select("a", "b")
 
 
 def _distinct(pairs: DataFrame) -> DataFrame:
@@ -278,7 +281,7 @@ def _distinct(pairs: DataFrame) -> DataFrame:
 def _known(pairs: DataFrame, documents: DataFrame, width: int) -> DataFrame:
     """(id, n, bits, shingles) of the documents that are in a pair; only these are read again."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _sliced(batches):
+        for part in _sliced(batches, 1):
             found = [shingle_set(t.as_py(), width) for t in part.column(1)]
             yield pa.RecordBatch.from_arrays([
                 part.column(0), pa.array([len(x) for x in found], pa.int64()),
@@ -289,7 +292,7 @@ def _known(pairs: DataFrame, documents: DataFrame, width: int) -> DataFrame:
     wanted = materialize(wanted, "wanted")
     known = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
     texts = documents.join(known, "id", "left_semi")
-    return materialize(texts.mapInArrow(sets, "id bigint, n bigint, bits binary, shingles binary"), "sets")
+    return materialize(texts.mapInArrow(released(sets, _forget_words), "id bigint, n bigint, bits binary, shingles binary"), "sets")
 
 
 def _verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -320,8 +323,8 @@ def _verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
             rows = rows.join(known.select(F.col("id").alias(end), *named), end)
         return rows.select("a", "b", *(f"{c}_{end}" for c in columns for end in ("a", "b")))
 
-    close = materialize(with_both(pairs, "n", "bits").mapInArrow(likely, "a bigint, b bigint").distinct(), "likely")
-    return materialize(with_both(close, "shingles").mapInArrow(compare, "a bigint, b bigint"), "links")
+    close = materialize(with_both(pairs, "n", "bits").mapInArrow(released(likely), "a bigint, b bigint").distinct(), "likely")
+    return materialize(with_both(close, "shingles").mapInArrow(released(compare), "a bigint, b bigint"), "links")
 
 
 def similar_documents(documents: DataFrame, id_col: str, text_col: str, width: int = 5,
@@ -338,7 +341,7 @@ def similar_documents(documents: DataFrame, id_col: str, text_col: str, width: i
     the same id). Other columns are ignored. Ids are integers.
     """
     spark = documents.sparkSession
-    ship_package(spark)
+    prepare(spark)
     named = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     sets = materialize(_sets(named, width, similarity, _common(named, width)), "sketches")
     filled = sets.where("digest is not null and id is not null")
