@@ -26,17 +26,19 @@ from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinfold.sources.package import ship_package
+from .workers import prepare, released, sliced
 
 BLOCK_IDS = 512
 PERCENTILE = 0.95
 SEGMENT_IDS = 1_000_000  # a segment ends with the document that reaches it
-SLICE_ROWS = 500  # documents encoded at once
-MOST_CACHED = 400_000  # words a worker remembers, in each of two generations
+SLICE_ROWS, SLICE_BYTES = 4000, 6_000_000  # documents encoded at once
+FILE_BYTES = 256_000_000  # about so much text makes a file, where its number is not given
+MOST_CACHED = 500_000  # words a worker remembers
 LONGEST_CACHED = 64
 END_ID = 1
 
@@ -132,80 +134,131 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (grid + low[:, None]).ravel()[:n_ids].astype("<u4"), lengths
 
 
-_separators = re.compile("[\x1c-\x1f]").search  # split() takes them for white space, the tokenizer does not
 _pieces = re.compile(r"[ \n\t\r]+").split
 _PLAIN = "\u0130"  # letters below it fold their case and compose one by one, without marks
+_PLAIN_ENDS = pa.array([c for c in map(chr, range(ord(_PLAIN))) if c.isalnum()])
 
 
-class WordIds(dict):
-    """Ids, as bytes, of what stands between white space, by the tokenizers library.
+class WordIds:
+    """Ids of what stands between white space, by the tokenizers library.
 
     Its words never run over white space, and folding case and composing letters act within them,
-    so a text may be cut there. Words of plain letters are new words to the library one by one;
-    those not seen yet are handed to it together, and parted again where an id ends a word. ASCII
-    letters need no composing and are bytes already, so their words go to a copy of the tokenizer
-    that only merges. Over ``MOST_CACHED`` words become the older generation, from which words that come again
-    are taken over.
+    so a text may be cut there; marks after a plain letter or digit are words of their own. The
+    pieces of many texts are made distinct, those known are found in a table of words, and only new ones go
+    to the library: pieces of plain letters all together, parted again where an id ends a word,
+    others one by one. ASCII letters need no composing and are bytes already, so they go to a copy of the
+    tokenizer that only merges. A table of over ``MOST_CACHED`` words is cut to those that came again.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
-        super().__init__()
         self.encode = Tokenizer.from_str(tokenizer_json).encode_batch_fast
         merging = Tokenizer.from_str(tokenizer_json)
         merging.normalizer, merging.pre_tokenizer = None, WhitespaceSplit()
         self.merge = merging.encode_batch_fast
         spec = json.loads(tokenizer_json)
         model = spec["model"]
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)").search
+        self.special = "|".join(re.escape(t["content"]) for t in spec["added_tokens"])
         suffix = model["end_of_word_suffix"]
         self.ends = np.zeros(1 << 20, dtype=bool)
         self.ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
-        self.older: dict[str, bytes] = {}
+        self._keep(pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, "<u4"))
+
+    def _keep(self, words: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.words, self.sizes, self.ids = words, sizes, ids
+        self.begin = np.cumsum(sizes) - sizes
 
     @staticmethod
-    def _ids(encode: Callable, text: str) -> bytes:
-        ids = encode([text], add_special_tokens=False)[0].ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def __missing__(self, word: str) -> bytes:
-        bare = word.rstrip(punctuation)
-        if bare and len(bare) < len(word) and bare[-1].isalnum() and bare[-1] < _PLAIN and not self.special(word):
-            got = self[bare] + self[word[len(bare):]]  # marks after a plain letter or digit are words of their own
-        else:
-            got = self.older.get(word) or self._ids(self.encode, word)
-        self[word] = got
-        return got
-
-    def _learn(self, words: set[str]) -> None:
-        bare = {w for w in {w.rstrip(punctuation) for w in words} if w not in self}
-        again = {w for w in bare if w in self.older}
-        self.update((w, self.older[w]) for w in again)
-        letters = [w for w in bare - again if w.isalpha()]
-        plain = [w for w in letters if w.isascii()]
-        other = [w for w in letters if not w.isascii() and max(w) < _PLAIN]
-        for new, text, encode in ((plain, " ".join(plain).lower(), self.merge), (other, " ".join(other), self.encode)):
-            data = self._ids(encode, text)
-            cuts = (np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) * 4 + 4).tolist()
-            if len(cuts) == len(new):  # else the words are asked for one by one
-                self.update(zip(new, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
-
-    def encode_texts(self, texts: list[str]) -> list[bytes]:
+    def _ids(encode: Callable, text: str) -> list[int]:
+        return encode([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, words: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(order, ids, sizes): the ids of new words, one word after the other in the order given."""
+        letters = [i for i, w in enumerate(words) if w.isalpha()]
+        plain = [i for i in letters if words[i].isascii()]
+        other = [i for i in letters if not words[i].isascii() and max(words[i]) < _PLAIN]
+        order, ids, sizes = [], [], []
+        for group, lower, encode in ((plain, True, self.merge), (other, False, self.encode)):
+            text = " ".join(map(words.__getitem__, group))
+            found = np.array(self._ids(encode, text.lower() if lower else text) if group else [], dtype="<u4")
+            cuts = np.flatnonzero(self.ends[found]) + 1
+            if len(cuts) == len(group):  # else the words are asked for one by one
+                order += group
+                ids.append(found)
+                sizes.append(np.diff(cuts, prepend=0))
+        done = set(order)
+        rest = [i for i in range(len(words)) if i not in done]
+        each = [np.array(self._ids(self.encode, words[i]), dtype="<u4") for i in rest]
+        sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+        return order + rest, np.concatenate([*ids, *each, np.zeros(0, "<u4")]), np.concatenate(sizes)
+
+    def _placed(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, size) of distinct pieces."""
+        place = np.array(pc.fill_null(pc.index_in(pieces, self.words), -1))
+        new = np.flatnonzero(place < 0)
+        if not len(new):
+            return self.ids, self.begin[place], self.sizes[place]
+        order, more, fresh = self._learn(pieces.take(pa.array(new)).to_numpy(zero_copy_only=False).tolist())
+        new = new[order]
+        words = pieces.take(pa.array(new))
+        again = np.unique(place[place >= 0])
+        ids, sizes = np.concatenate([self.ids, more]), np.append(self.sizes, fresh)
+        begin = np.cumsum(sizes) - sizes
+        place[new] = len(self.sizes) + np.arange(len(new))
+        short = np.flatnonzero(pc.less_equal(pc.utf8_length(words), LONGEST_CACHED).to_numpy(zero_copy_only=False))
+        kept = again if len(sizes) > MOST_CACHED else np.arange(len(self.sizes))
+        stay = np.append(kept, len(self.sizes) + short)
+        table = pa.concat_arrays([self.words.take(pa.array(kept)), words.take(pa.array(short))])
+        self._keep(table, sizes[stay], ids[_runs(begin[stay], sizes[stay])])
+        return ids, begin[place], sizes[place]
+
+    def encode_texts(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Ids of whole texts as little-endian 32-bit integers."""
-        split = [list(filter(None, _pieces(t))) if _separators(t) else t.split() for t in texts]
-        if len(self) >= MOST_CACHED:
-            self.older = dict(self)
-            self.clear()
-        new = {w for w in set().union(*split) if w not in self}
-        self._learn(new)
-        encoded = [b"".join(map(self.__getitem__, pieces)) for pieces in split]
-        for word in new:
-            if len(word) > LONGEST_CACHED:
-                self.pop(word, None)
-                self.pop(word.rstrip(punctuation), None)
-        return encoded
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        odd = pc.match_substring_regex(texts, "[\x1c-\x1f]").to_numpy(zero_copy_only=False)
+        split = pc.utf8_split_whitespace(texts)
+        if odd.any():  # these separators are no white space to the tokenizer
+            lists = [list(filter(None, _pieces(texts[i].as_py()))) if o else split[i].as_py() for i, o in enumerate(odd.tolist())]
+            split = pa.array(lists, pa.list_(pa.string()))
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        coded = pc.dictionary_encode(split.flatten())
+        whole = coded.dictionary
+        bare = pc.utf8_rtrim(whole, characters=punctuation)
+        parted = pc.and_(pc.less(pc.utf8_length(bare), pc.utf8_length(whole)),
+                         pc.is_in(pc.utf8_slice_codeunits(bare, -1), _PLAIN_ENDS))
+        if self.special:
+            parted = pc.and_not(parted, pc.match_substring_regex(whole, self.special))
+        parted = parted.to_numpy(zero_copy_only=False)
+        marks = pc.replace_with_mask(whole, pa.array(parted), _after(whole, bare).filter(pa.array(parted)))
+        # a parted word is its bare part and its marks, another is an empty part and itself
+        first = pc.if_else(pa.array(parted), bare, "")
+        pieces = pc.dictionary_encode(pa.concat_arrays([first, marks]))
+        ids, begin, size = self._placed(pieces.dictionary)
+        which = pieces.indices.to_numpy()
+        which = np.stack([which[:len(whole)], which[len(whole):]], axis=1)[coded.indices.to_numpy()].ravel()
+        ends = np.append(0, np.cumsum(size[which]))
+        data = ids[_runs(begin[which], size[which])].tobytes()
+        cuts = (4 * ends[2 * (offsets - offsets[0])]).tolist()
+        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _runs(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin[i], begin[i] + 1, ... over ``sizes[i]`` numbers, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _after(whole: pa.Array, front: pa.Array) -> pa.Array:
+    """What follows ``front`` in each text that begins with it."""
+    data = np.frombuffer(whole.buffers()[2] or b"", "u1")
+    offsets = np.frombuffer(whole.buffers()[1], "<i4")[whole.offset:whole.offset + len(whole) + 1].astype(np.int64)
+    sizes = pc.binary_length(front).to_numpy(zero_copy_only=False).astype(np.int64)
+    rest = np.diff(offsets) - sizes
+    cuts = np.append(0, np.cumsum(rest)).astype("<i4")
+    return pa.Array.from_buffers(pa.string(), len(whole), [
+        None, pa.py_buffer(cuts), pa.py_buffer(data[_runs(offsets[:-1] + sizes, rest)])])
 
 
 @lru_cache(maxsize=2)
@@ -214,23 +267,23 @@ def _loaded(tokenizer_json: str) -> WordIds:
 
 
 def _encoded(batch: pa.RecordBatch, words: WordIds) -> Iterator[tuple[object, bytes]]:
-    for start in range(0, batch.num_rows, SLICE_ROWS):
-        part = batch.slice(start, SLICE_ROWS)
-        texts = [t or "" for t in part.column(1).to_pylist()]
-        yield from zip(part.column(0).to_pylist(), words.encode_texts(texts), strict=True)
+    for part in sliced(batch, 1, SLICE_ROWS, SLICE_BYTES):
+        yield from zip(part.column(0).to_pylist(), words.encode_texts(part.column(1)), strict=True)
 
 
 def write_files(documents: DataFrame, id_col: str, text_col: str, tokenizer_json: str, path: str,
                 end_id: int = END_ID, files: int | None = None) -> None:
     """Encode every whole text, end each document with ``end_id``, and write the ids in ascending
-    order of the document's id into ``files`` files (default: as many as shuffle partitions).
+    order of the document's id into ``files`` files (default: one per ``FILE_BYTES`` of text, at least as
+    many as shuffle partitions).
 
     Null texts count as empty and hold the end id alone; a null id comes first; rows of equal ids
-    stand side by side, ordered by text; other columns are ignored. The table at ``path`` has columns
+    stand side by side, ordered by a hash of the text, and may fill several files; other columns are
+    ignored. The table at ``path`` has columns
     file, segment, offset (ids of the file before the segment), n_ids, doc_ids, data.
     """
     spark = documents.sparkSession
-    ship_package(spark)
+    prepare(spark)
     content = spark.sparkContext.broadcast(tokenizer_json)  # a vocabulary: of fixed size
     end = np.array([end_id], "<u4").tobytes()
 
@@ -265,17 +318,21 @@ def write_files(documents: DataFrame, id_col: str, text_col: str, tokenizer_json
 
     kind = documents.schema[id_col].dataType.simpleString()
     named = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    parts = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = named.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
+    parts = files
+    if parts is None:
+        size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    order = ["id", F.xxhash64("text"), F.monotonically_increasing_id()]  # the last parts equal rows
+    ordered = named.repartitionByRange(parts, *order).sortWithinPartitions("id", F.xxhash64("text"))
     ordered.mapInArrow(
-        segments, f"file int, segment int, offset bigint, n_ids bigint, doc_ids array<{kind}>, data binary",
+        released(segments), f"file int, segment int, offset bigint, n_ids bigint, doc_ids array<{kind}>, data binary",
     ).write.option("compression", "none").parquet(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document in the files at ``path``: ``start`` counts
     the ids of all documents before it, ``ids`` are little-endian 32-bit integers."""
-    ship_package(spark)
+    prepare(spark)
     table = spark.read.parquet(path)
     kind = table.schema["doc_ids"].dataType.elementType.simpleString()
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
@@ -297,6 +354,6 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
     placed = table.join(F.broadcast(starts), "file").select(
         (F.col("file_start") + F.col("offset")).alias("start"), "doc_ids", "data")
-    return placed.mapInArrow(documents, f"doc_id {kind}, start bigint, n_tokens bigint, ids binary")
+    return placed.mapInArrow(released(documents), f"doc_id {kind}, start bigint, n_tokens bigint, ids binary")
 
 
