@@ -75,6 +75,20 @@ def test_a_group_of_copies_is_subdivided(spark):
     assert len(sizes) == 8 and max(sizes) < 1.1 * min(sizes)
 
 
+def test_equal_rows_are_subdivided(spark):
+    """Half of all rows have no id and one text."""
+    rows = spark.range(8000).select(
+        F.when(F.col("id") % 2 == 0, F.col("id")).alias("id"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("own text "), F.col("id"))).otherwise(F.lit("one text for all")).alias("text"))
+    found = assign_shards(rows, "id", "text", 16).collect()
+    sizes = Counter()
+    for r in found:
+        sizes[r.shard] += r.size
+    share = sum(sizes.values()) / 16
+    assert len(found) == 8000 and len(sizes) == 16
+    assert all(abs(b - share) <= share / 32 + 100 for b in sizes.values()), sizes
+
+
 def test_site_lines(spark, docs, none):
     rows = site_lines.drop_boilerplate(docs, "source", "text", 0.3, 3).collect()
     got = {(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in rows}

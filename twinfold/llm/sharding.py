@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from twinfold.operators.scratch import materialize
 from twinfold.sources.package import ship_package
 
-GROUP_BITS = 23  # a key is 40 bits of the text's hash, then 23 bits that tell copies apart
+# A key is 40 bits of the text's hash, then 23 bits that tell copies apart: 11 by id, 12 by row.
+ID_BITS, ROW_BITS = 11, 12
+GROUP_BITS = ID_BITS + ROW_BITS
 FINE_RANGES = 32  # per shard: a shard is off by about one part in this many
 ROWS_PER_RANGE = 1_000_000  # ranges grow in number, not in rows, with the table
 SAMPLE_PER_RANGE = 16
@@ -71,7 +73,9 @@ def assign_shards(records: DataFrame, id_col: str, text_col: str, shards: int) -
     ship_package(records.sparkSession)
     text = F.col(text_col)
     group = F.pmod(F.xxhash64(text), F.lit(1 << 40))
-    within = F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(1 << GROUP_BITS))
+    by_id = F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(1 << ID_BITS))
+    by_row = F.pmod(F.xxhash64(F.lit(8), F.monotonically_increasing_id()), F.lit(1 << ROW_BITS))
+    within = F.shiftleft(by_id, ROW_BITS) + by_row
     keyed = materialize(records.select(
         F.col(id_col).alias("id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("bigint").alias("text_crc32"),
