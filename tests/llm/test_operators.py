@@ -348,6 +348,41 @@ def test_secrets(spark, docs, none):
     assert secrets_crf.find_secrets(none, "doc_id", "text", None).collect() == []
 
 
+def test_the_field_finds_what_patterns_do_not(spark):
+    """Random values under names and in phrases that neither the patterns nor the training know, in texts
+    that were not trained on: most are found, and little else."""
+    draw = random.Random(7)
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secrets_crf.train_secrets(frame.where("doc_id % 2 = 0"), "doc_id", "text")
+    names = ["client_value", "authorization", "pw", "license", "jwt", "cookie"]
+    phrases = ["{n} := {v}", "{n} {v}", "use {n}: {v} now", "<{n}>{v}</{n}>", "X-{n}: {v}", "{n}\t{v}"]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    held, texts, places = [r.text for r in frame.where("doc_id % 2 = 1").collect()], [], []
+    for text in held:
+        value = "".join(draw.choices(draw.choice([letters, letters + "-_", letters + "+/"]), k=draw.randint(18, 40)))
+        front, back = draw.choice(phrases).replace("{n}", draw.choice(names)).split("{v}")
+        at = draw.choice([i for i, c in enumerate(text) if c == " "] or [len(text)])
+        texts.append(f"{text[:at]} {front}{value}{back}{text[at:]}")
+        places.append((at + 1 + len(front), at + 1 + len(front) + len(value)))
+    caught = right = wrong = 0
+    for (s, e), (base, every) in zip(places, secrets_crf.spans_of(texts, model), strict=True):
+        caught += sum(max(0, min(e, z) - max(s, a)) for a, z, _ in every) >= 0.8 * (e - s)
+        for a, z, kind in every:
+            right += kind == "crf" and a < e and s < z
+            wrong += kind == "crf" and not (a < e and s < z)
+    print("recall", caught / len(texts), "precision", right / (right + wrong))
+    assert caught / len(texts) >= 0.85 and right / (right + wrong) >= 0.9
+
+
+def test_the_field_is_trained_without_base_matches(spark, docs):
+    """However rare they are: planted values teach it; equal texts, null ids and texts do no harm."""
+    model = secrets_crf.train_secrets(docs, "doc_id", "text")
+    assert model is not None and np.isfinite(model.emission).all()
+    again = secrets_crf.train_secrets(docs.where("text is not null").withColumn("text", F.lit("a plain text of one kind")), "doc_id", "text")
+    assert again is not None
+    assert secrets_crf.train_secrets(docs.where("text is null or text = ''"), "doc_id", "text") is None
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

@@ -2,24 +2,28 @@
 
 Three patterns give the base. The field tags every token of a text as begin, inside or outside of a
 secret from its shape, the neighbouring words and features of the file, and adds spans that no
-pattern covers. It is trained on base matches of a bounded sample: what a pattern found is the
-weak label. Decoding is Viterbi. A token whose lead for outside exceeds all that its
+pattern covers. Labels come from two sources, so that the field does not merely learn the patterns: base
+matches of a bounded sample, as they stand and once more with the word that the pattern goes by
+replaced; and random values planted into ordinary texts of the sample, under names and in
+phrases that no pattern takes. Decoding is Viterbi. A token whose lead for outside exceeds all that its
 neighbours could make up for is outside on the best path, so the search runs on the stretches
 between such tokens only, with the same result.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.sources.package import ship_package
+from .workers import prepare, released
 
 # The base patterns and the least lengths of what they take.
 KINDS = ["assign", "access", "hex"]
@@ -42,7 +46,13 @@ _REACH = 4  # tokens back to a naming word
 _N_FILE = 4
 B, INSIDE, OUT = 0, 1, 2
 
-MOST_SAMPLED = 12_000  # documents from which training windows come
+MOST_SAMPLED = 2_500  # documents with a base match from which training windows come, and as many others
+# What planted values are called, the phrases they stand in, and their letters.
+NAMES = ["pwd", "pass", "passphrase", "credential", "auth", "bearer", "private_key", "access", "key", "login", "pin", "signature"]
+PHRASES = ["{n} = {v}", "{n}: {v}", "{n}={v}", "{n}='{v}'", '"{n}": "{v}"', "{n} is {v}", "the {n} {v}", "Bearer {v}", "{n} -> {v}", "{v}", "({v})"]
+_MIXED = string.ascii_letters + string.digits
+LETTERS = [_MIXED, _MIXED, _MIXED + "+/", _MIXED + "-_", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits]
+VALUE_LENGTHS = (16, 44)
 WINDOW = 15  # tokens on either side of a match
 MOST_PER_DOCUMENT = 4  # windows around matches that one document gives to the training
 STEPS, RATE, DECAY = 120, 0.15, 2e-3
@@ -101,6 +111,12 @@ class _Units(dict):
 
 
 _units = _Units()
+
+
+def _forget_units() -> None:
+    _units.clear()
+
+
 _GAP = bytes((_BORDER, 0, 0)) * _REACH
 
 
@@ -267,68 +283,116 @@ def fit(features: np.ndarray, tags: np.ndarray, lengths: np.ndarray) -> SecretMo
     return SecretModel(w[:size].reshape(-1, 3), w[size:].reshape(4, 3))
 
 
-def _training_windows(text: str, place: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(features, tags) of windows around matches, and of one window at ``place`` of the text."""
+def _windows(text: str, spans: list[tuple[int, int]], middles: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, tags) of the tokens around each of the places, with the spans as secrets."""
     table, begin = _categories([text])
     features = _features(table, begin)[_REACH:-_REACH]
     if not len(features):
         return []
-    where = [m.span() for m in _TOKEN.finditer(text)]
-    starts = np.array([s for s, _ in where])
-    tags = np.full(len(where), OUT)
-    middles = []
-    for s, e, kind in base_spans(text):
-        if kind == "assign":
-            s = _ASSIGN.match(text, s).start(2)
+    starts = np.array([m.start() for m in _TOKEN.finditer(text)])
+    tags = np.full(len(starts), OUT)
+    for s, e in spans:
         first, last = np.searchsorted(starts, s), np.searchsorted(starts, e) - 1
-        if first > last:
-            continue
-        tags[first] = B if tags[first] == OUT else tags[first]
-        tags[first + 1:last + 1] = INSIDE
-        if len(middles) < MOST_PER_DOCUMENT:
-            middles.append((first, last))
-    ranges = [(max(0, a - WINDOW), min(len(where), z + WINDOW + 1, a + 3 * WINDOW)) for a, z in middles]
-    at = place % len(where)
-    ranges.append((at, min(len(where), at + 2 * WINDOW)))
+        if first <= last:
+            tags[first] = B if tags[first] == OUT else tags[first]
+            tags[first + 1:last + 1] = INSIDE
     out = []
-    for s, e in ranges:
-        own = tags[s:e].copy()
+    for middle in middles:
+        at = min(int(np.searchsorted(starts, middle)), len(starts) - 1)
+        low, high = max(0, at - WINDOW), min(len(starts), at + 2 * WINDOW)
+        own = tags[low:high].copy()
         if own[0] == INSIDE:
             own[0] = B
-        out.append((features[s:e], own))
+        out.append((features[low:high], own))
+    return out
+
+
+def _value(draw: random.Random) -> str:
+    letters = draw.choice(LETTERS)
+    value = "".join(draw.choices(letters, k=draw.randint(*VALUE_LENGTHS)))
+    return value if any(c.isdigit() for c in value) else value + draw.choice(string.digits) + draw.choice(letters)
+
+
+def planted(text: str, draw: random.Random) -> tuple[str, int, int]:
+    """The text with a random value in a phrase at a random place between words, and where the value stands."""
+    places = [m.start() for m in re.finditer(r"\s", text)] or [len(text)]
+    at = draw.choice(places)
+    name = draw.choice(NAMES) if draw.random() < 0.7 else draw.choice(text.split() or ["name"])
+    value = _value(draw)
+    front, back = draw.choice(PHRASES).replace("{n}", name).split("{v}")
+    begin = at + 1 + len(front)
+    return f"{text[:at]} {front}{value}{back}{text[at:]}", begin, begin + len(value)
+
+
+def _training_windows(text: str, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Windows around base matches, as they stand and with another word in place of the one the
+    pattern goes by; for a text without any, around a planted value, a random place, and a random
+    token of letters and digits, which ordinary texts hold too."""
+    draw = random.Random(seed)
+    base = [(_ASSIGN.match(text, s).start(2) if kind == "assign" else s, s, e, kind) for s, e, kind in base_spans(text)]
+    if base:
+        chosen = base if len(base) <= MOST_PER_DOCUMENT else draw.sample(base, MOST_PER_DOCUMENT)
+        out = _windows(text, [(v, e) for v, _, e, _ in base], [v for v, _, _, _ in chosen])
+        for value, s, e, kind in chosen:
+            if kind == "assign":
+                word = _ASSIGN.match(text, s).group(1)
+                other = draw.choice(NAMES)
+                moved = len(other) - len(word)
+                spans = [(v + moved * (v > s), z + moved * (z > s)) for v, _, z, _ in base]
+                out += _windows(text[:s] + other + text[s + len(word):], spans, [value + moved])
+        return out
+    shown, begin, end = planted(text, draw)
+    out = _windows(shown, [(begin, end)], [begin])
+    places = [m.start() for m in _TOKEN.finditer(text)]
+    if places:
+        odd = [p for p in places if (t := _TOKEN.match(text, p).group()).isalnum() and not t.isalpha()]
+        out += _windows(text, [], [draw.choice(places), *([draw.choice(odd)] if odd else [])])
     return out
 
 
+# The base patterns with their least lengths, for the native test of a text.
+_HAS_BASE = (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}"""
+             r"|AKIA[A-Z0-9]{14}|[0-9a-f]{16}")
+
+
 def train_secrets(documents: DataFrame, id_col: str, text_col: str, most_sampled: int = MOST_SAMPLED) -> SecretModel | None:
-    """Fit on windows of a sample by hash of about ``most_sampled`` documents at most. None without
-    any base match in it. The driver gets a few windows of some dozen tokens per sampled document."""
-    ship_package(documents.sparkSession)
-    chance = min(1.0, most_sampled / max(documents.count(), 1))
-    draw = F.pmod(F.xxhash64(F.lit(10), id_col), F.lit(1 << 30))
+    """Fit on windows of about ``most_sampled`` documents with a base match and of as many others at most,
+    both by a hash of the row. The driver gets a few windows of some dozen tokens per sampled document.
+
+    Null texts are left out, null and repeated ids and repeated texts do not matter. Without base
+    matches, however rare they are, planted values alone teach the field; only without any document with
+    words there is no model (None).
+    """
+    prepare(documents.sparkSession)
+    text = F.col(text_col)
+    row = F.xxhash64(F.lit(10), F.col(id_col), F.monotonically_increasing_id())
+    marked = documents.select(text.alias("text"), text.rlike(_HAS_BASE).alias("weak"), row.alias("row")).where(F.col("text").rlike(r"\S"))
+    counts = {r["weak"]: r["count"] for r in marked.groupBy("weak").count().collect()}  # two rows
+    draw = F.pmod(F.col("row"), F.lit(1 << 30))
+
+    def bound(weak: bool) -> Column:
+        chance = min(1.0, most_sampled / max(counts.get(weak, 0), 1))
+        return (F.col("weak") == weak) & (draw < int(chance * (1 << 30)))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [w for text, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                     for w in _training_windows(text or "", place)]
+            found = [w for text, seed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                     for w in _training_windows(text, seed)]
             yield pa.RecordBatch.from_arrays([
                 pa.array([f.astype("<u2").tobytes() for f, _ in found], pa.binary()),
                 pa.array([t.astype("u1").tobytes() for _, t in found], pa.binary())], ["features", "tags"])
 
-    sampled = documents.where(draw < int(chance * (1 << 30))).select(
-        F.col(text_col), F.pmod(F.xxhash64(F.lit(11), id_col), F.lit(1 << 20)))
-    rows = sorted(map(tuple, sampled.mapInArrow(windows, "features binary, tags binary").collect()))
-    tags = [np.frombuffer(bytes(t), "u1").astype(np.int64) for _, t in rows]
-    if not any((t != OUT).any() for t in tags):
+    sampled = marked.where(bound(True) | bound(False)).select("text", "row")
+    rows = sorted(map(tuple, sampled.mapInArrow(released(windows, _forget_units), "features binary, tags binary").collect()))
+    if not rows:
         return None
+    tags = [np.frombuffer(bytes(t), "u1").astype(np.int64) for _, t in rows]
     width, kinds = max(map(len, tags)), 6
     x, y = np.zeros((len(rows), width, kinds), dtype=np.int64), np.full((len(rows), width), OUT)
     for i, (f, _) in enumerate(rows):
         x[i, : len(tags[i])] = np.frombuffer(bytes(f), "<u2").reshape(-1, kinds)
         y[i, : len(tags[i])] = tags[i]
-    # windows without a secret are many and alike
-    busy = (y != OUT).any(axis=1)
-    kept = busy | (np.cumsum(~busy) <= 4 * busy.sum() + 1000)
-    return fit(x[kept], y[kept], np.array(list(map(len, tags)))[kept])
+    return fit(x, y, np.array(list(map(len, tags))))
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -375,7 +439,7 @@ def find_secrets(documents: DataFrame, id_col: str, text_col: str, model: Secret
     """(id, base, spans): arrays of (kind, start, end) in code points, end exclusive, by start, then
     kind. Whole texts are read; null counts as empty and has none; every row is returned, whatever its
     id; other columns are ignored."""
-    ship_package(documents.sparkSession)
+    prepare(documents.sparkSession)
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
