@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 from tests.conftest import SMALL
 from twinfold.llm import near_vectors as nv
 from twinfold.llm import quality, secrets_crf, site_lines, token_files, vp_trees
+from twinfold.llm import words as words_table
 from twinfold.llm.bpe import BacktrackingBpe, OffsetDecoder, decode_documents, encode_documents
 from twinfold.llm.mixing import mix_sources, plan_mixture
 from twinfold.llm.queries import op7_patched_frames, op9_vantage_point_trees, tokenizer
@@ -419,4 +420,4 @@ def test_words_are_encoded_as_the_library_does(monkeypatch):
         got = words_of.encode_texts(texts)
         for text, ids in zip(texts, got, strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == encode(text, add_special_tokens=False).ids, text
-    assert max(map(len, words_of.words.to_pylist())) <= token_files.LONGEST_CACHED
+    assert max(map(len, words_of.known.words.to_pylist())) <= words_table.LONGEST

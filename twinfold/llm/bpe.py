@@ -10,7 +10,6 @@ time. Decoding gathers bytes through a table of offsets.
 from __future__ import annotations
 
 import json
-import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,15 +19,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .workers import prepare, released, sliced
+from .words import WordTable, runs
+from .workers import give_back, prepare, released, sliced
 
 # The split into words of this family of vocabularies, and its printable letters for bytes.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+"
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-MOST_CACHED = 100_000  # words a task remembers, in each of two generations
+MOST_CACHED = 400_000  # words a worker remembers
 MOST_PAIRS = 200_000
-LONGEST_CACHED = 64  # longer words (in letters) are encoded each time
 SLICE_ROWS, SLICE_BYTES = 500, 2_000_000  # documents whose ids and texts a worker holds at once
 _STRETCH = 4096  # starting places whose matches are held at once
 
@@ -52,26 +51,6 @@ class _Pairs(dict):
         return got
 
 
-class _Words(dict):
-    """Ids of words as bytes. Over ``MOST_CACHED`` words they become the older generation, from
-    which a word that comes again is taken over; so two generations are held at most."""
-
-    def __init__(self, encode_word) -> None:
-        super().__init__()
-        self.encode_word, self.older = encode_word, {}
-
-    def __missing__(self, word: str) -> bytes:
-        got = self.older.get(word)
-        if got is None:
-            got = struct.pack(f"<{len(ids := self.encode_word(word.encode("utf-8", "replace")))}I", *ids)
-        if len(word) <= LONGEST_CACHED:
-            if len(self) >= MOST_CACHED:
-                self.older = dict(self)
-                self.clear()
-            self[word] = got
-        return got
-
-
 class BacktrackingBpe:
     """Vocabulary, automaton and pair table of one tokenizer file (its JSON text): the encoder."""
 
@@ -101,13 +80,7 @@ class BacktrackingBpe:
         self.pairs = _Pairs(self._compatible)
         self.split = regex.compile(WORDS).findall
         self.specials = regex.compile("|".join(f"({regex.escape(s)})" for s in self.special) or "(?!)")
-        self.known = _Words(self.encode_word)
-
-    def forget(self) -> None:
-        """Drop the words and pairs met so far; the tables stay."""
-        self.known.clear()
-        self.known.older = {}
-        self.pairs.clear()
+        self.known = WordTable(MOST_CACHED)
 
     def _compatible(self, left: int, right: int) -> bool:
         """Whether merging by rank leaves ``left`` and ``right`` apart.
@@ -171,18 +144,38 @@ class BacktrackingBpe:
                 before = tokens[-1] if tokens else -1
         return tokens
 
-    def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, self.split(text)))
+    def _learn(self, words: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The ids of new words."""
+        each = [self.encode_word(w.encode("utf-8", "replace")) for w in words]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        return list(range(len(words))), np.fromiter((i for ids in each for i in ids), "<u4", int(sizes.sum())), sizes
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian 32-bit integers; special tokens in them count as such. Words
+        of all texts are made distinct, and the ids of each are dealt to all its places."""
+        parts: list[tuple[int, str | int]] = []  # (text, plain stretch or special id)
+        for at, text in enumerate(texts):
+            start = 0
+            if any(s in text for s in self.special):
+                for m in self.specials.finditer(text):
+                    parts += [(at, text[start:m.start()]), (at, self.special[m.group()])]
+                    start = m.end()
+            parts.append((at, text[start:]))
+        split = [self.split(x) if isinstance(x, str) else [] for _, x in parts]
+        coded = pa.array([w for words in split for w in words], pa.string()).dictionary_encode()
+        ids, begin, size = self.known.look_up(coded.dictionary, self._learn)
+        place = coded.indices.to_numpy()
+        ends = np.append(0, np.cumsum(size[place]))
+        data = ids[runs(begin[place], size[place])].tobytes()
+        cuts = (4 * ends[np.append(0, np.cumsum([len(words) for words in split]))]).tolist()
+        found: list[list[bytes]] = [[] for _ in texts]
+        for (at, x), a, b in zip(parts, cuts[:-1], cuts[1:], strict=True):
+            found[at].append(data[a:b] if isinstance(x, str) else np.array([x], dtype="<u4").tobytes())
+        return [b"".join(pieces) for pieces in found]
 
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian 32-bit integers; special tokens in it count as such."""
-        if not self.special or not any(s in text for s in self.special):
-            return self._plain(text)
-        out, at = [], 0
-        for m in self.specials.finditer(text):
-            out += [self._plain(text[at:m.start()]), np.array([self.special[m.group()]], dtype="<u4").tobytes()]
-            at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
+        """Ids of one text."""
+        return self.encode_texts([text])[0]
 
 
 class OffsetDecoder:
@@ -228,7 +221,9 @@ class _Stretches:
 
 @lru_cache(maxsize=2)
 def _loaded(kind: type, tokenizer_json: str) -> BacktrackingBpe | OffsetDecoder:
-    return kind(tokenizer_json)
+    made = kind(tokenizer_json)
+    give_back()  # what reading the file took
+    return made
 
 
 def _mapped(df: DataFrame, columns: list[str], tokenizer_json: str, schema: str, make) -> DataFrame:
@@ -241,13 +236,11 @@ def _mapped(df: DataFrame, columns: list[str], tokenizer_json: str, schema: str,
                 yield pa.RecordBatch.from_arrays([part.column(0), *make(content.value, part)], names)
 
     names = [field.split(" ")[0] for field in schema.split(", ")]
-    return df.select(*columns).mapInArrow(
-        released(run, lambda: _loaded(BacktrackingBpe, content.value).forget()), schema)
+    return df.select(*columns).mapInArrow(released(run), schema)
 
 
 def _encoded(content: str, texts: pa.Array) -> list[bytes]:
-    encode = _loaded(BacktrackingBpe, content).encode
-    return [encode(t or "") for t in texts.to_pylist()]
+    return _loaded(BacktrackingBpe, content).encode_texts([t or "" for t in texts.to_pylist()])
 
 
 def _decoded(content: str, ids: list[bytes | None]) -> pa.Array:

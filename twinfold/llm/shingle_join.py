@@ -243,13 +243,15 @@ def _differing(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return np.bitwise_count(one ^ two).sum(axis=-1, dtype=np.int64)
 
 
-def _crossing(rows: DataFrame, percent: int) -> DataFrame:
+def _crossing(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
     """(a, b) of the pairs of a cell that are in different components so far and whose sketches
-    differ in no more bits than similar documents may. ``rows`` are (key, cell_a, cell_b, stripe,
-    id, component, n, bits), sorted by the first three."""
+    differ in no more bits than similar documents may. With ``forest`` a pair joins two components
+    for the rest of the cell, so a cell tells fewer pairs than it has rows. ``rows`` are (key, cell_a,
+    cell_b, stripe, id, component, n, bits), sorted by the first three."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in whole_groups(batches, ["key", "cell_a", "cell_b"]):
-            ids, part, n = (table[c].to_numpy() for c in ("id", "component", "n"))
+            ids, n = (table[c].to_numpy() for c in ("id", "n"))
+            part = table["component"].to_numpy().copy()
             stripe, low, high = (table[c].to_numpy() for c in ("stripe", "cell_a", "cell_b"))
             sketch = table["bits"]
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
@@ -266,8 +268,14 @@ def _crossing(rows: DataFrame, percent: int) -> DataFrame:
                     others = others[apart]
                     if len(others):
                         most = (n[others] + n[i]) * (100 - percent) // (100 + percent)
-                        b = ids[others[_differing(grid[others - s], grid[i - s]) <= most]]
-                        if len(b):
+                        near = others[_differing(grid[others - s], grid[i - s]) <= most]
+                        if forest and len(near):
+                            joined, first = np.unique(part[near], return_index=True)
+                            near = near[first]
+                            own = part[s:e]
+                            own[np.isin(own, joined)] = part[i]
+                        if len(near):
+                            b = ids[near]
                             yield _pairs([np.full(len(b), ids[i])], [b], [np.zeros(len(b))])
 
     return rows.mapInArrow(released(run), "a bigint, b bigint, key bigint").select("a", "b")
@@ -365,12 +373,15 @@ def similar_documents(documents: DataFrame, id_col: str, text_col: str, width: i
         components = None
     else:
         components = materialize(connected_components(links, "a", "b"), "components")
-    rest = _unconnected(crowded, components, known)
-    if rest is not None:
-        more = _verified(_distinct(_crossing(rest, percent)), known, percent)
-        every = links.unionByName(more)
+    # first pairs that would connect a bucket if all their sketches told true, then all that are left
+    for forest in (True, False):
+        rest = _unconnected(crowded, components, known)
+        if rest is None:
+            break
+        more = _verified(_distinct(_crossing(rest, percent, forest)), known, percent)
         if not more.isEmpty():
-            components = materialize(connected_components(every, "a", "b"), "components")
+            links = links.unionByName(more)
+            components = materialize(connected_components(links, "a", "b"), "components")
     named_classes = classes.select("digest", "first", "rows")
     if components is not None:
         named_classes = named_classes.join(components.withColumnRenamed("id", "first"), "first", "left")

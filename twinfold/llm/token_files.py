@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .words import WordTable, runs
 from .workers import prepare, released, sliced
 
 BLOCK_IDS = 512
@@ -39,7 +40,6 @@ SEGMENT_IDS = 1_000_000  # a segment ends with the document that reaches it
 SLICE_ROWS, SLICE_BYTES = 4000, 6_000_000  # documents encoded at once
 FILE_BYTES = 256_000_000  # about so much text makes a file, where its number is not given
 MOST_CACHED = 500_000  # words a worker remembers
-LONGEST_CACHED = 64
 END_ID = 1
 
 
@@ -147,7 +147,7 @@ class WordIds:
     pieces of many texts are made distinct, those known are found in a table of words, and only new ones go
     to the library: pieces of plain letters all together, parted again where an id ends a word,
     others one by one. ASCII letters need no composing and are bytes already, so they go to a copy of the
-    tokenizer that only merges. A table of over ``MOST_CACHED`` words is cut to those that came again.
+    tokenizer that only merges.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
@@ -164,11 +164,7 @@ class WordIds:
         suffix = model["end_of_word_suffix"]
         self.ends = np.zeros(1 << 20, dtype=bool)
         self.ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
-        self._keep(pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, "<u4"))
-
-    def _keep(self, words: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
-        self.words, self.sizes, self.ids = words, sizes, ids
-        self.begin = np.cumsum(sizes) - sizes
+        self.known = WordTable(MOST_CACHED)
 
     @staticmethod
     def _ids(encode: Callable, text: str) -> list[int]:
@@ -194,26 +190,6 @@ class WordIds:
         sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
         return order + rest, np.concatenate([*ids, *each, np.zeros(0, "<u4")]), np.concatenate(sizes)
 
-    def _placed(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, begin, size) of distinct pieces."""
-        place = np.array(pc.fill_null(pc.index_in(pieces, self.words), -1))
-        new = np.flatnonzero(place < 0)
-        if not len(new):
-            return self.ids, self.begin[place], self.sizes[place]
-        order, more, fresh = self._learn(pieces.take(pa.array(new)).to_numpy(zero_copy_only=False).tolist())
-        new = new[order]
-        words = pieces.take(pa.array(new))
-        again = np.unique(place[place >= 0])
-        ids, sizes = np.concatenate([self.ids, more]), np.append(self.sizes, fresh)
-        begin = np.cumsum(sizes) - sizes
-        place[new] = len(self.sizes) + np.arange(len(new))
-        short = np.flatnonzero(pc.less_equal(pc.utf8_length(words), LONGEST_CACHED).to_numpy(zero_copy_only=False))
-        kept = again if len(sizes) > MOST_CACHED else np.arange(len(self.sizes))
-        stay = np.append(kept, len(self.sizes) + short)
-        table = pa.concat_arrays([self.words.take(pa.array(kept)), words.take(pa.array(short))])
-        self._keep(table, sizes[stay], ids[_runs(begin[stay], sizes[stay])])
-        return ids, begin[place], sizes[place]
-
     def encode_texts(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Ids of whole texts as little-endian 32-bit integers."""
         texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
@@ -235,21 +211,15 @@ class WordIds:
         # a parted word is its bare part and its marks, another is an empty part and itself
         first = pc.if_else(pa.array(parted), bare, "")
         pieces = pc.dictionary_encode(pa.concat_arrays([first, marks]))
-        ids, begin, size = self._placed(pieces.dictionary)
+        ids, begin, size = self.known.look_up(pieces.dictionary, self._learn)
         which = pieces.indices.to_numpy()
         which = np.stack([which[:len(whole)], which[len(whole):]], axis=1)[coded.indices.to_numpy()].ravel()
         ends = np.append(0, np.cumsum(size[which]))
-        data = ids[_runs(begin[which], size[which])].tobytes()
+        data = ids[runs(begin[which], size[which])].tobytes()
         cuts = (4 * ends[2 * (offsets - offsets[0])]).tolist()
         return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _runs(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """begin[i], begin[i] + 1, ... over ``sizes[i]`` numbers, one after the other."""
-    ends = np.cumsum(sizes)
-    return np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def _after(whole: pa.Array, front: pa.Array) -> pa.Array:
     """What follows ``front`` in each text that begins with it."""
     data = np.frombuffer(whole.buffers()[2] or b"", "u1")
@@ -258,7 +228,7 @@ def _after(whole: pa.Array, front: pa.Array) -> pa.Array:
     rest = np.diff(offsets) - sizes
     cuts = np.append(0, np.cumsum(rest)).astype("<i4")
     return pa.Array.from_buffers(pa.string(), len(whole), [
-        None, pa.py_buffer(cuts), pa.py_buffer(data[_runs(offsets[:-1] + sizes, rest)])])
+        None, pa.py_buffer(cuts), pa.py_buffer(data[runs(offsets[:-1] + sizes, rest)])])
 
 
 @lru_cache(maxsize=2)

@@ -29,7 +29,7 @@ def prepare(spark: SparkSession) -> None:
         pass
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system, which the allocators would keep for later."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -45,7 +45,7 @@ def released(run: Callable[[Iterator[Any]], Iterator[Any]], *forget: Callable[[]
         finally:
             for clear in forget:
                 clear()
-            _give_back()
+            give_back()
 
     return whole
 
