@@ -14,19 +14,21 @@ from twinfold.functions import text as tx
 from twinfold.functions.phonetic import double_metaphone_alt
 from twinfold.operators import blocking, check, clusters, compare, dedupe, merge, model, prior, refine
 from twinfold.operators import profile as prof
+from twinfold.functions import geo
 from twinfold.operators.components import connected_components
 from twinfold.operators.derive import (
-    align_to, coerce_to, enhance, name_columns, normalize_strings, surname_aliases,
+    align_to, coerce_to, enhance, name_columns, normalize_strings, place_columns, surname_aliases,
 )
 from twinfold.operators.numbering import dense_number, number_within
 from twinfold.operators.roles import infer_roles, roles_table
 from twinfold.operators.scratch import materialize, scratch_root
+from twinfold.operators.sketches import column_sketches, merge_sketches, sketch_error, sketched_profile
 from twinfold.sources.artifacts import load_model, save_model
 from twinfold.sources.records import (
     column_types, read_csv, read_parquet, with_unique_id, write_csv, write_parquet,
 )
 
-from .people import people
+from .people import PLACES, people
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -147,6 +149,20 @@ def profile_lineitem(spark, folder):
     return prof.profile_columns(table(spark, folder, "lineitem"))
 
 
+@query
+def sketched_lineitem(spark, folder):
+    """Sketches of two parts of a table, kept apart and merged, next to its exact profile: whether the
+    estimate is within the error told."""
+    rows = table(spark, folder, "lineitem")
+    odd = F.col("l_orderkey") % 2 == 1
+    merged = merge_sketches(column_sketches(rows.where(odd)), column_sketches(rows.where(~odd)))
+    exact = prof.profile_columns(rows).select("column_name", F.col("distinct_values").alias("exact"))
+    apart = F.abs(F.col("distinct_values") - F.col("exact"))
+    return sketched_profile(merged).join(exact, "column_name").select(
+        "column_name", "total_rows", "non_null_rows", F.col("exact").alias("distinct_values"),
+        (apart <= F.col("exact") * sketch_error() + 0.5).alias("within_error"))
+
+
 @query
 def profile_value_distribution(spark, folder):
     return prof.value_distribution(
@@ -447,6 +463,41 @@ def coordinate_pairs(spark, folder):
         "p_partkey", F.inline(sim.coordinate_pairs(left, right)))
 
 
+NEAR_KM = 5.0
+
+
+def placed_customers(spark, folder) -> DataFrame:
+    """Customers around the capital of their nation."""
+    places = spark.createDataFrame(PLACES, "c_nationkey int, lat double, lon double")
+    key = F.col("c_custkey")
+    return table(spark, folder, "customer").join(F.broadcast(places), "c_nationkey").select(
+        key.cast("string").alias("unique_id"),
+        (F.col("lat") + (key * 37 % 1000 - 500) / 1000).alias("lat"), (F.col("lon") + (key * 91 % 1000 - 500) / 1000).alias("lon"))
+
+
+@query
+def near_places(spark, folder):
+    """Pairs of customers within 5 km, through the cells in which near places meet, and their distance."""
+    rows = placed_customers(spark, folder)
+    rows = materialize(rows.withColumns(place_columns(F.col("lat"), F.col("lon"), NEAR_KM)), "places")
+    cells = [blocking.BlockingRule(f"near_{i}", (f"geo_cell_{i}",)) for i in range(4)]
+    pairs = blocking.block_pairs(rows, cells, ["lat", "lon"])
+    apart = geo.great_circle_km(*[F.col(c) for c in ("lat_l", "lon_l", "lat_r", "lon_r")])
+    return pairs.withColumn("km", apart).where(F.col("km") <= NEAR_KM).select(
+        "unique_id_l", "unique_id_r", F.round("km", 6).alias("km"))
+
+
+@query
+def compare_distance(spark, folder):
+    """Levels of distance between customers of one block."""
+    rows = placed_customers(spark, folder)
+    rows = materialize(rows.withColumns(place_columns(F.col("lat"), F.col("lon"), NEAR_KM)), "places")
+    pairs = blocking.block_pairs(rows, [blocking.BlockingRule("near", ("geo_cell_0",))], ["geo_point"])
+    comparison = compare.distance_comparison("geo_point", (2.0, 5.0, 10.0))
+    return compare.compare_pairs(pairs, [comparison]).where("gamma_geo_point > 0").select(
+        "unique_id_l", "unique_id_r", F.col("gamma_geo_point").alias("level"))
+
+
 # ------------------------------------------------------------------ model
 
 
@@ -621,6 +672,12 @@ def merge_similar_documents(spark, folder):
     return merge.merge_similar(table(spark, folder, "documents"), "doc_id", "text")
 
 
+@query
+def verified_documents(spark, folder):
+    """Links between documents whose word sets are alike, each checked exactly."""
+    return merge.verified_edges(table(spark, folder, "documents"), "doc_id", "text")
+
+
 @query
 def group_labels(spark, folder):
     """Every document as its own cluster; alike ones become one numbered group."""

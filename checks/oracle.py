@@ -6,7 +6,7 @@ from twinfold.operators import merge
 from twinfold.operators.compare import EMAIL_LEVEL, NAME_LEVELS
 
 from .catalog import FIXED_MODEL
-from .people import PEOPLE_SQL
+from .people import PEOPLE_SQL, PLACES
 
 ORACLE: dict[str, str] = {}
 
@@ -177,6 +177,9 @@ def _profile(columns: list[str], table: str) -> str:
 ORACLE["profile_nonnull_cardinality"] = f"{PEOPLE} {_profile(PEOPLE_COLUMNS, 'people')}"
 ORACLE["profile_lineitem"] = _profile(LINEITEM_COLUMNS, "lineitem")
 
+ORACLE["sketched_lineitem"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS total_rows, count({c}) AS non_null_rows, "
+    f"count(DISTINCT {c}) AS distinct_values, TRUE AS within_error FROM lineitem" for c in LINEITEM_COLUMNS)
 _COUNTS = " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS value_count "
     f"FROM orders GROUP BY 1, 2" for c in ("o_orderpriority", "o_orderstatus", "o_custkey"))
@@ -410,6 +413,25 @@ SELECT p_partkey, CAST(s * p_size AS DOUBLE) AS lat_l, p_retailprice AS lon_l,
   CAST(p_size + 1 AS DOUBLE) AS lat_r, p_retailprice AS lon_r
 FROM part, (VALUES (1), (-1)) AS t(s)"""
 
+_NEAR_KM, _EARTH_KM, _DEGREE_KM = 5.0, 6371.0088, 111.195
+_PLACED = f"""places(n, lat, lon) AS (VALUES {", ".join(f"({n}, CAST({a} AS DOUBLE), CAST({o} AS DOUBLE))" for n, a, o in PLACES)}),
+placed AS (SELECT CAST(c_custkey AS VARCHAR) AS unique_id, lat + (c_custkey * 37 % 1000 - 500) / 1000.0::DOUBLE AS lat,
+  lon + (c_custkey * 91 % 1000 - 500) / 1000.0::DOUBLE AS lon FROM customer JOIN places ON n = c_nationkey)"""
+_KM = (f"2 * {_EARTH_KM} * asin(least(1.0, sqrt(pow(sin(radians(r.lat - l.lat) / 2), 2) + cos(radians(l.lat)) * "
+       f"cos(radians(r.lat)) * pow(sin(radians(r.lon - l.lon) / 2), 2))))")
+ORACLE["near_places"] = f"""WITH {_PLACED}, pairs AS (
+  SELECT l.unique_id AS unique_id_l, r.unique_id AS unique_id_r, {_KM} AS km
+  FROM placed l JOIN placed r ON l.unique_id < r.unique_id AND abs(l.lat - r.lat) < 1)
+SELECT unique_id_l, unique_id_r, round(km, 6) AS km FROM pairs WHERE km <= {_NEAR_KM}"""
+_HIGH = repr(2 * _NEAR_KM / _DEGREE_KM)
+ORACLE["compare_distance"] = f"""WITH {_PLACED}, rows AS (SELECT *, floor(lat / {_HIGH}) AS row FROM placed),
+counted AS (SELECT *, floor(360 / 1.05 * cos(radians(greatest(abs(row * {_HIGH}), abs((row + 1) * {_HIGH})))) / {_HIGH}) AS n FROM rows),
+celled AS (SELECT *, floor((lon + 180.0) / 360.0 * n) AS col FROM counted),
+pairs AS (SELECT l.unique_id AS unique_id_l, r.unique_id AS unique_id_r, {_KM} AS km, l.lat = r.lat AND l.lon = r.lon AS same
+  FROM celled l JOIN celled r ON l.unique_id < r.unique_id AND l.row = r.row AND l.col = r.col)
+SELECT unique_id_l, unique_id_r, CASE WHEN same THEN 4 WHEN km <= 2 THEN 3 WHEN km <= 5 THEN 2 ELSE 1 END AS level
+FROM pairs WHERE km <= 10"""
+
 # ------------------------------------------------------------------ model
 
 ORACLE["estimate_prior"] = f"""{PAIRS}, n AS (SELECT count(*) AS n FROM enhanced)
@@ -555,6 +577,17 @@ shared AS (SELECT id, min(id) OVER (PARTITION BY band) AS low FROM bands),
 alike AS (SELECT id AS src, first_id AS dst FROM marked WHERE id <> first_id
   UNION SELECT id, low FROM shared WHERE id <> low)"""
 ORACLE["minhash_candidates"] = f"{SIMILAR} SELECT src, dst FROM alike"
+_SHARED_WORDS = ("len(list_intersect(a.words, b.words)) / CAST(len(list_distinct(list_concat(a.words, b.words))) AS DOUBLE)")
+ORACLE["verified_documents"] = _recursive(f"""{SIMILAR}, distinct_sets AS (SELECT id, words FROM marked WHERE id = first_id),
+met(band, id, lead, turn) AS (
+  SELECT band, id, min(id) OVER (PARTITION BY band), 0 FROM bands
+  UNION ALL
+  SELECT band, id, min(id) OVER (PARTITION BY band), turn + 1 FROM (
+    SELECT m.band, m.id, m.turn FROM met m JOIN distinct_sets a ON a.id = m.id JOIN distinct_sets b ON b.id = m.lead
+    WHERE m.id <> m.lead AND {_SHARED_WORDS} < 0.8))
+SELECT id AS src, first_id AS dst FROM marked WHERE id <> first_id
+UNION SELECT m.id, m.lead FROM met m JOIN distinct_sets a ON a.id = m.id JOIN distinct_sets b ON b.id = m.lead
+WHERE m.id <> m.lead AND {_SHARED_WORDS} >= 0.8""")
 MERGED = _recursive(f"""{SIMILAR}, {_components(
     'SELECT doc_id AS id FROM documents', 'SELECT src, dst FROM alike')}""")
 ORACLE["merge_similar_documents"] = f"{MERGED} SELECT id AS doc_id, component AS root FROM comp"

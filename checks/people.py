@@ -24,6 +24,15 @@ _LAST = [
     ("Xavier", "Xavier"), ("O Neill", "O Neill"), ("Caesar", "Caesar"), ("Rossi", "Rossi"),
 ]
 
+# Nation, latitude and longitude of its capital.
+PLACES = [
+    (0, 36.75, 3.06), (1, -34.60, -58.38), (2, -15.79, -47.88), (3, 45.42, -75.70), (4, 30.04, 31.24),
+    (5, 9.03, 38.74), (6, 48.86, 2.35), (7, 52.52, 13.40), (8, 28.61, 77.21), (9, -6.21, 106.85),
+    (10, 35.69, 51.39), (11, 33.31, 44.36), (12, 35.68, 139.69), (13, 31.95, 35.93), (14, -1.29, 36.82),
+    (15, 34.02, -6.84), (16, -25.97, 32.57), (17, -12.05, -77.04), (18, 39.90, 116.41), (19, 44.43, 26.10),
+    (20, 24.71, 46.68), (21, 21.03, 105.85), (22, 55.76, 37.62), (23, 51.51, -0.13), (24, 38.91, -77.04),
+]
+
 
 def _choose(number: str, values: list[str]) -> str:
     cases = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))

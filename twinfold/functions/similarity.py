@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 WINKLER_FLOOR, WINKLER_PREFIX, WINKLER_WEIGHT = 0.7, 4, 0.1
 # Texts up to this long are compared a whole batch at a time, longer ones one by one.
 _BATCH_LETTERS, _BATCH_ROWS = 64, 4096
+_TABLE_ROWS = 1024  # pairs whose whole tables are held at once
 
 
 def jaro(a: str, b: str) -> float:
@@ -129,6 +130,54 @@ def damerau(a: str, b: str) -> int:
     return grid[len(a), len(b)]
 
 
+def damerau_batch(left: list[str], right: list[str]) -> np.ndarray:
+    """``damerau`` of many non-empty pairs: each cell of the table is one step for all of them."""
+    a, b = _letters(left), _letters(right)
+    rows, columns, count = len(a), len(b), len(left)
+    size_a = np.fromiter(map(len, left), np.int64, count)
+    size_b = np.fromiter(map(len, right), np.int64, count)
+    far = (size_a + size_b).astype(np.int16)
+    # one row and column more than usual: a swap looks back beyond the start
+    grid = np.zeros((rows + 2, columns + 2, count), dtype=np.int16)
+    grid[0], grid[:, 0] = far, far
+    for i in range(rows + 1):
+        grid[i + 1, 1] = i
+    for j in range(columns + 1):
+        grid[1, j + 1] = j
+    last_row = np.zeros((columns, count), dtype=np.int16)  # where the letter of each column was met in the left text
+    flat, width = grid.reshape(-1), (columns + 2) * count
+    lane = np.arange(count)
+    for i in range(1, rows + 1):
+        last_column = np.zeros(count, dtype=np.int16)
+        equal = a[i - 1] == b
+        for j in range(1, columns + 1):
+            row = last_row[j - 1]
+            before = flat[row.astype(np.int64) * width + last_column.astype(np.int64) * count + lane]
+            swap = before + (i - row - 1) + 1 + (j - last_column - 1)
+            best = np.minimum(grid[i, j + 1], grid[i + 1, j]) + 1
+            np.minimum(best, grid[i, j] + ~equal[j - 1], out=best)
+            grid[i + 1, j + 1] = np.minimum(best, swap)
+            last_column[equal[j - 1]] = j
+        last_row[equal] = i
+    return grid[size_a + 1, size_b + 1, lane].astype(np.int64)
+
+
+def common_subsequence_batch(left: list[str], right: list[str]) -> np.ndarray:
+    """``common_subsequence`` of many pairs of at most 64 letters: a machine word per pair holds its row,
+    and a step takes one letter of all right texts (Hyyro, 2004)."""
+    a, b = _letters(left), _letters(right)
+    count = len(left)
+    bit = np.uint64(1) << np.arange(len(a), dtype=np.uint64)
+    size_a = np.fromiter(map(len, left), np.uint64, count)
+    full = np.where(size_a == 64, ~np.uint64(0), (np.uint64(1) << (size_a & np.uint64(63))) - np.uint64(1))
+    row = full.copy()
+    for letter in b:
+        there = (a == letter) & (letter != 0)
+        hits = row & (there * bit[:, None]).sum(axis=0, dtype=np.uint64)
+        row = ((row + hits) | (row - hits)) & full
+    return (size_a - np.bitwise_count(row)).astype(np.int64)
+
+
 def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, one machine-word row at a time."""
     masks: dict[str, int] = {}
@@ -147,8 +196,8 @@ def indel_ratio(a: str, b: str) -> float:
     return 1.0 if not total else 2 * common_subsequence(a, b) / total
 
 
-def token_set_ratio_text(a: str, b: str) -> float:
-    """0..100 similarity of two word sets, whatever the order and the extra words."""
+def _token_texts(a: str, b: str) -> list[tuple[str, str]] | float:
+    """The pairs of texts whose best ratio is that of the word sets, or the ratio where it is known."""
     left, right = set(a.split()), set(b.split())
     if not left or not right:
         return 0.0
@@ -158,17 +207,32 @@ def token_set_ratio_text(a: str, b: str) -> float:
         return 100.0
     with_left = " ".join([shared] * bool(shared) + only_left)
     with_right = " ".join([shared] * bool(shared) + only_right)
-    best = indel_ratio(with_left, with_right)
-    if shared:
-        best = max(best, indel_ratio(shared, with_left), indel_ratio(shared, with_right))
-    return 100.0 * best
+    return [(with_left, with_right), *([(shared, with_left), (shared, with_right)] if shared else [])]
 
 
-def _pairwise(function, left: pd.Series, right: pd.Series, dtype: str) -> pd.Series:
-    return pd.Series(
-        [None if a is None or b is None else function(a, b) for a, b in zip(left, right)],
-        dtype=dtype,
-    )
+def token_set_ratio_text(a: str, b: str) -> float:
+    """0..100 similarity of two word sets, whatever the order and the extra words."""
+    texts = _token_texts(a, b)
+    return texts if isinstance(texts, float) else 100.0 * max(indel_ratio(x, y) for x, y in texts)
+
+
+def token_set_batch(left: list[str], right: list[str]) -> np.ndarray:
+    """``token_set_ratio_text`` of many pairs; texts of at most 64 letters go through one bit-parallel table."""
+    known = [_token_texts(a, b) for a, b in zip(left, right)]
+    wanted = {pair for texts in known if not isinstance(texts, float) for pair in texts}
+    short = [(x, y) for x, y in wanted if x and y and max(len(x), len(y)) <= _BATCH_LETTERS]
+    ratio = {pair: indel_ratio(*pair) for pair in wanted.difference(short)}
+    for start in range(0, len(short), _BATCH_ROWS):
+        some = short[start:start + _BATCH_ROWS]
+        lefts, rights = zip(*some)
+        shared = common_subsequence_batch(lefts, rights)
+        ratio.update((pair, 2 * n / (len(pair[0]) + len(pair[1]))) for pair, n in zip(some, shared.tolist()))
+    return np.array([texts if isinstance(texts, float) else 100.0 * max(map(ratio.__getitem__, texts)) for texts in known])
+
+
+def _distinct_pairs(left: pd.Series, right: pd.Series) -> dict[tuple[str, str], float]:
+    """The pairs of a batch without a missing side, each once."""
+    return dict.fromkeys(pair for pair in zip(left, right) if pair[0] is not None and pair[1] is not None)
 
 
 def _similarities(left: pd.Series, right: pd.Series, prefix_bonus: bool) -> pd.Series:
@@ -204,12 +268,23 @@ def jaro_winkler_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.IntegerType())
 def lev_damerau_distance(left: pd.Series, right: pd.Series) -> pd.Series:
-    return _pairwise(damerau, left, right, "Int32")
+    known = _distinct_pairs(left, right)
+    short = [(x, y) for x, y in known if x and y and max(len(x), len(y)) <= _BATCH_LETTERS]
+    for start in range(0, len(short), _TABLE_ROWS):
+        some = short[start:start + _TABLE_ROWS]
+        lefts, rights = zip(*some)
+        known.update(zip(some, damerau_batch(lefts, rights).tolist()))
+    known.update((pair, damerau(*pair)) for pair, n in known.items() if n is None)
+    return pd.Series([known.get(pair) for pair in zip(left, right)], dtype="Int32")
 
 
 @F.pandas_udf(T.DoubleType())
 def token_set_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    return _pairwise(token_set_ratio_text, left, right, "float64")
+    known = _distinct_pairs(left, right)
+    if known:
+        lefts, rights = zip(*known)
+        known = dict(zip(known, token_set_batch(lefts, rights).tolist()))
+    return pd.Series([known.get(pair) for pair in zip(left, right)], dtype="float64")
 
 
 def characters(text: Column) -> Column:

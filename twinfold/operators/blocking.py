@@ -93,6 +93,7 @@ WIDE_RULES = (
     ("zip_lastname_meta", ("zip_norm", "last_name_metaphone")),
     ("city_firstname", ("city_norm", "first_name_norm")),
     ("first_name_first_char", ("first_name_first_char",)),
+    *((f"near_{i}", (f"geo_cell_{i}",)) for i in range(4)),
 )
 
 

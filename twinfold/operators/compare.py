@@ -12,6 +12,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import point_distance_km
 from ..functions.similarity import jaro_winkler_similarity
 from .profile import non_null_counts
 from .skew import skew_join
@@ -23,6 +24,7 @@ NAME_LEVELS = (0.92, 0.88, 0.7)
 EMAIL_LEVEL = 0.88
 POSTCODE_PREFIXES = (4, 2)
 BIRTH_DAYS = (30, 365, 3652)
+DISTANCES_KM = (0.1, 1.0, 10.0)
 
 
 @dataclass(frozen=True)
@@ -79,6 +81,11 @@ def birth_date_comparison(column: str, days: Iterable[int] = BIRTH_DAYS) -> Comp
     return Comparison(column, "birth_date", tuple(sorted(days)))
 
 
+def distance_comparison(column: str, kilometres: Iterable[float] = DISTANCES_KM) -> Comparison:
+    """Places as texts ``lat,lon``: equal, then within so many kilometres."""
+    return Comparison(column, "distance", tuple(sorted(kilometres)))
+
+
 def _unequal(left: Column, right: Column) -> Column:
     """Left side, or null when both are equal: those need no similarity."""
     return F.when(left != right, left)
@@ -134,6 +141,11 @@ def _birth_date_levels(c: Comparison, left: Column, right: Column) -> list[Colum
     return [one_edit_or_swap(left, right), *[apart <= int(d) for d in c.thresholds]]
 
 
+def _distance_levels(c: Comparison, left: Column, right: Column) -> list[Column]:
+    apart = point_distance_km(left, right)
+    return [apart <= float(km) for km in c.thresholds]
+
+
 _KINDS: dict[str, Callable[[Comparison, Column, Column], list[Column]]] = {
     "exact": _exact_levels,
     "jaro_winkler": _winkler_levels,
@@ -141,6 +153,7 @@ _KINDS: dict[str, Callable[[Comparison, Column, Column], list[Column]]] = {
     "email": _email_levels,
     "postcode": _postcode_levels,
     "birth_date": _birth_date_levels,
+    "distance": _distance_levels,
 }
 
 
@@ -205,6 +218,7 @@ def propose_comparisons(columns: Iterable[str], roles: dict, shares: dict[str, f
         "full_name": lambda: [jaro_winkler_at(roles["full_name"], (0.8, 0.95))],
         "text_freeform": lambda: [jaro_winkler_at(roles["text_freeform"], (0.8, 0.95))],
         "url": lambda: [exact("url_domain", True)] if wide else [],
+        "geo_lat": lambda: [distance_comparison("geo_point")],
     }
     wanted = [c for role, make in by_role.items() if role in roles for c in make()]
     gates = shares if wide else None

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import geo
 from ..functions import text as tx
 from ..functions.phonetic import double_metaphone
 from .profile import non_null_shares
@@ -13,6 +14,8 @@ from .roles import Roles
 
 # Fixed value: a column is derived when more than this share of its source is filled.
 DERIVE_ABOVE = 0.2
+# Places within this distance are sure to meet in a block.
+NEAR_KM = 1.0
 # Words read as booleans in incoming records.
 TRUE_WORDS = ("true", "1", "t", "yes", "y")
 FALSE_WORDS = ("false", "0", "f", "no", "n")
@@ -83,6 +86,13 @@ def _role_columns(role: str, column: str, dtype: T.DataType, rules: str) -> dict
     }.get(role, dict)()
 
 
+def place_columns(lat: Column, lon: Column, near_km: float = NEAR_KM) -> dict[str, Column]:
+    """The place as text, and the cells in which places within ``near_km`` meet."""
+    point = geo.geo_point(lat, lon)
+    cells = geo.geo_cells(geo.point_part(point, 0), geo.point_part(point, 1), near_km)
+    return {"geo_point": point, **{f"geo_cell_{i}": cell for i, cell in enumerate(cells)}}
+
+
 def enhance(df: DataFrame, roles: dict, rules: str = "wide", gate: bool = True) \
         -> tuple[DataFrame, Roles]:
     """``df`` with the derived columns of its roles, and the roles with the name parts
@@ -100,6 +110,8 @@ def enhance(df: DataFrame, roles: dict, rules: str = "wide", gate: bool = True)
     for role, column in found.items():
         if column in used and shares[column] > DERIVE_ABOVE:
             derived |= _role_columns(role, column, df.schema[column].dataType, rules)
+    if rules != "basic" and all(r in found and shares.get(found[r], 0.0) > DERIVE_ABOVE for r in ("geo_lat", "geo_lon")):
+        derived |= place_columns(F.col(found["geo_lat"]), F.col(found["geo_lon"]))
     if derived:
         df = df.withColumns(derived)
     codes = {f"{r}_metaphone": double_metaphone(F.col(f"{r}_norm"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 from functools import reduce
-from statistics import median
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -217,9 +216,10 @@ def train_u(df: DataFrame, comparisons: list[Comparison], rows: int, max_pairs:
             unequal = sum(pairs[level] for level in range(c.top))
             rest = 1 - u[c.column][-1]
             for level in range(c.top):
-                share = pairs[level] / unequal if unequal else float(level == 0)
+                # one pair more on each level stands for what so many pairs cannot rule out
+                share = (pairs[level] + 1) / (unequal + c.top)
                 u[c.column][level] = rest * share
-                error[c.column][level] = rest * math.sqrt(share * (1 - share) / unequal) if unequal else 1.0
+                error[c.column][level] = rest * math.sqrt(share * (1 - share) / (unequal + c.top))
     return {c: [max(x, _FLOOR) for x in levels] for c, levels in u.items()}, error
 
 
@@ -487,6 +487,21 @@ def mixture_levels(df: DataFrame, rule: SampledRule, patterns: DataFrame, rule_n
     return inside.unionByName(outside.withColumn("pairs", F.col("pairs") * F.lit(weight)))
 
 
+def _matches_of_rules(runs: Training, rules: list[SampledRule], matches: float) -> list[float]:
+    """How many matches each rule brings by its own run. A run that finds over twice as many as there are
+    took something else for matches, such as equal names: it counts as one."""
+    found = [share * pairs / (rule.share / rule.pieces) for share, pairs, rule in zip(runs.prior, runs.pairs, rules)]
+    return [n if n <= 2 * matches else 1.0 for n in found]
+
+
+def _pooled(levels: list[list[float]], weights: list[float]) -> list[float]:
+    """m over the matches of several rules together, a rule weighing as much as it brings matches: one rule's
+    matches agree more than others on what goes along with its key. One match more on each level stands
+    for what so many matches cannot rule out."""
+    total = [sum(w * m[i] for w, m in zip(weights, levels)) + 1 for i in range(len(levels[0]))]
+    return [n / sum(total) for n in total]
+
+
 def _train_held(df: DataFrame, untrained: list[Comparison], comparisons: list[Comparison], runs: Training,
                 some: list[SampledRule], patterns: DataFrame, u: dict[str, list[float]], prior: float, rows: int,
                 settings: Settings, max_pairs: int, key: str, paired_records: int) -> dict[str, list[float]]:
@@ -529,13 +544,12 @@ def train(df: DataFrame, settings: Settings, rows: int, key: str = "unique_id",
     runs = expectation_maximisation(
         patterns, comparisons, some, u, prior, settings.convergence, settings.max_rounds)
     m, missing = {}, []
+    weights = _matches_of_rules(runs, some, prior * rows * (rows - 1) / 2)
     for c in comparisons:
-        found = [run[c.column] for run, rule in zip(runs.m, some) if c.column in run and not _held(c, rule)]
-        found = found or [run[c.column] for run in runs.m if c.column in run]
-        if found:
-            # the median: one rule whose pairs are mostly chance must not sway the others
-            middle = [max(median(level), _FLOOR) for level in zip(*found)]
-            m[c.column] = [x / sum(middle) for x in middle]
+        open_ = [i for i, rule in enumerate(some) if c.column in runs.m[i] and not _held(c, rule)]
+        open_ = open_ or [i for i in range(len(some)) if c.column in runs.m[i]]
+        if open_:
+            m[c.column] = _pooled([runs.m[i][c.column] for i in open_], [weights[i] for i in open_])
         else:
             missing.append(c)
     if missing:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .profile import profile_columns
+from .sketches import column_sketches, sketch_error, sketched_profile
 
 # Column names that stand for a role, best first.
 BASIC_ALIASES = {
@@ -153,9 +154,15 @@ def _by_distribution(df: DataFrame, profile: dict, rules: str, roles: Roles) ->
                 roles.assign("text_freeform", column, "distribution")
 
 
+def _near_a_limit(ratio: float) -> bool:
+    """Whether the error of a sketch may put a ratio on the other side of a limit."""
+    return any(abs(ratio - limit) <= limit * 2 * sketch_error() for limit in (ENUM_BELOW, TEXT_ABOVE, ID_CARDINALITY))
+
+
 def infer_roles(df: DataFrame, rules: str = "wide") -> Roles:
     """Roles of the columns of ``df``, from one pass over the whole table: distinct values over
-    rows of a sample are not those of the table."""
+    rows of a sample are not those of the table. Distinct values are estimated by sketches, and
+    counted for columns so near to a limit that the estimate does not decide."""
     if rules not in RULE_SETS:
         raise ValueError(f"rules must be one of {RULE_SETS}")
     roles = Roles()
@@ -173,8 +180,11 @@ def infer_roles(df: DataFrame, rules: str = "wide") -> Roles:
         ratio = "cardinality_ratio" if rules == "wide" else "cardinality_ratio_nonnull"
         profile = {
             r["column_name"]: (r["non_null_share"], r[ratio])
-            for r in profile_columns(df, left).collect()
+            for r in sketched_profile(column_sketches(df, left)).collect()
         }
+        unsure = [c for c, (_, estimate) in profile.items() if _near_a_limit(estimate)]
+        if unsure:
+            profile |= {r["column_name"]: (r["non_null_share"], r[ratio]) for r in profile_columns(df, unsure).collect()}
         _by_distribution(df, profile, rules, roles)
     return roles
 
