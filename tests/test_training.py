@@ -264,8 +264,8 @@ def test_near_places_share_a_cell(spark, near):
         lat = draw.choice([draw.uniform(-90, 90), draw.uniform(86, 90), draw.uniform(-90, -86)])
         lon = draw.choice([draw.uniform(-180, 180), draw.uniform(179, 180), -180 + draw.uniform(0, 1)])
         step = near / geo.DEGREE_KM
-        other = min(max(lat + draw.uniform(-step, step), -90), 90)
-        wide = min(step / max(math.cos(math.radians(other)), 1e-9), 180)
+        other = min(max(lat + draw.uniform(-step, step), -90.0), 90.0)
+        wide = min(step / max(math.cos(math.radians(other)), 1e-9), 180.0)
         turned = (lon + draw.uniform(-wide, wide) + 180) % 360 - 180
         if haversine((lat, lon), (other, turned)) <= near:
             rows.append((i, lat, lon, other, turned))

@@ -186,8 +186,11 @@ def equality_u(df: DataFrame, comparisons: list[Comparison]) -> DataFrame:
     """(comparison, filled, equal_pairs, u): how often two different filled records are equal, exact,
     from the frequencies of all values: the pairs of equal values over all pairs. One job for
     all comparisons; no pair is formed and nothing sampled."""
-    cells = [F.struct(F.lit(c.column).alias("comparison"), F.col(c.column).cast("string").alias("value"))
-             for c in comparisons]
+    return _equality(df, [c.column for c in comparisons])
+
+
+def _equality(df: DataFrame, columns: list[str]) -> DataFrame:
+    cells = [F.struct(F.lit(c).alias("comparison"), F.col(c).cast("string").alias("value")) for c in columns]
     values = df.select(F.inline(F.array(*cells))).where("value IS NOT NULL").groupBy("comparison", "value").agg(
         F.count("*").alias("n"))
     n = F.col("n").cast("decimal(19,0)")
@@ -266,6 +269,18 @@ def training_rules(costs: list[RuleCost], comparisons: list[Comparison],
     return [c for c in costs if c.rule in chosen]
 
 
+def beyond_chance(df: DataFrame, costs: list[RuleCost], rows: int) -> list[RuleCost]:
+    """The rules that bring over twice the pairs that chance agreement on each of their columns, taken as
+    independent, would. One job over the columns of rules with several; rules of one column stay."""
+    columns = sorted({c for cost in costs if len(cost.rule.columns) > 1 for c in cost.rule.columns})
+    if not columns:
+        return costs
+    u = {r["comparison"]: r["u"] for r in _equality(df, columns).collect()}  # a row per column
+    possible = rows * (rows - 1) / 2
+    return [c for c in costs if len(c.rule.columns) < 2
+            or c.comparisons > 2 * possible * math.prod(u.get(x, 0.0) for x in c.rule.columns)]
+
+
 def _held(comparison: Comparison, rule: BlockingRule) -> bool:
     return column_source(comparison.column) in {column_source(c) for c in rule.columns}
 
@@ -496,9 +511,9 @@ def _matches_of_rules(runs: Training, rules: list[SampledRule], matches: float)
 
 def _pooled(levels: list[list[float]], weights: list[float]) -> list[float]:
     """m over the matches of several rules together, a rule weighing as much as it brings matches: one rule's
-    matches agree more than others on what goes along with its key. One match more on each level stands
-    for what so many matches cannot rule out."""
-    total = [sum(w * m[i] for w, m in zip(weights, levels)) + 1 for i in range(len(levels[0]))]
+    matches agree more than others on what goes along with its key. A tenth of a match more on each level
+    stands for what so many matches cannot rule out."""
+    total = [sum(w * m[i] for w, m in zip(weights, levels)) + 0.1 for i in range(len(levels[0]))]
     return [n / sum(total) for n in total]
 
 
@@ -538,7 +553,7 @@ def train(df: DataFrame, settings: Settings, rows: int, key: str = "unique_id",
     costs = cost_rules(df, rules)
     prior = recaptured_prior(df, costs, rows)
     u, u_error = train_u(df, comparisons, rows, max_pairs, key, paired_records)
-    used = training_rules(costs, comparisons) or costs
+    used = training_rules(beyond_chance(df, costs, rows), comparisons) or training_rules(costs, comparisons) or costs
     blocks, some = training_blocks(df, [c.rule for c in used], training_pairs, key, used)
     patterns = materialize(training_patterns(blocks, some, comparisons, key), "patterns")
     runs = expectation_maximisation(
