@@ -26,9 +26,9 @@ from .workers import give_back, prepare, released, sliced
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+"
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-MOST_CACHED = 400_000  # words a worker remembers
-MOST_PAIRS = 200_000
-SLICE_ROWS, SLICE_BYTES = 500, 2_000_000  # documents whose ids and texts a worker holds at once
+MOST_CACHED = 250_000  # words a task remembers
+MOST_PAIRS = 150_000
+SLICE_ROWS, SLICE_BYTES = 500, 1_000_000  # documents whose ids and texts a worker holds at once
 _STRETCH = 4096  # starting places whose matches are held at once
 
 
@@ -236,7 +236,8 @@ def _mapped(df: DataFrame, columns: list[str], tokenizer_json: str, schema: str,
                 yield pa.RecordBatch.from_arrays([part.column(0), *make(content.value, part)], names)
 
     names = [field.split(" ")[0] for field in schema.split(", ")]
-    return df.select(*columns).mapInArrow(released(run), schema)
+    # the tables go with the task: a worker that waits for other stages should be small
+    return df.select(*columns).mapInArrow(released(run, lambda: _loaded.cache_clear()), schema)
 
 
 def _encoded(content: str, texts: pa.Array) -> list[bytes]:

@@ -4,6 +4,7 @@ one leaves in memory stays beside all that follows."""
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -31,6 +32,7 @@ def prepare(spark: SparkSession) -> None:
 
 def give_back() -> None:
     """Return freed memory to the system, which the allocators would keep for later."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
