@@ -298,10 +298,10 @@ def test_training_does_not_hang_on_the_number_of_rows(spark):
         assert all(r["pairs"] > 0 and r["converged"] for r in got.runs)
     assert found[8, 20_000].prior == found[8, 10**9].prior
     assert found[8, 20_000].runs[1]["share"] < 0.05 and 10_000 < found[8, 20_000].runs[1]["pairs"] < 40_000
-    assert all(0 < e < 0.01 for e in found[1, 10**9].u_error["city"])
+    assert set(found[1, 10**9].u_error["city"]) == {0.0}  # equality is counted, not sampled
     alone = model.train(table(1).drop("city"), model.Settings(comparisons[:1], rules[:1]), 800, max_pairs=1000)
-    assert alone.untrained == ["mail"] and alone.trained == []
-    assert model.Model.from_dict(alone.to_dict()).untrained == ["mail"]
+    assert alone.trained == ["mail"] and alone.untrained == []  # the only rule holds it: trained on all pairs
+    assert model.Model.from_dict(alone.to_dict()).trained == ["mail"]
 
 
 def test_the_comparison_limit_grows_with_the_table():
