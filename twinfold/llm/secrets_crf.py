@@ -15,6 +15,7 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +39,7 @@ _NAMING = {"password", "passwd", "pwd", "passphrase", "secret", "token", "key",
            "credential", "credentials", "private", "access"}
 _SIGNS = "=:\"'-_/+.,@"
 _CHARSETS = ["lower", "capital", "upper", "digits", "hex", "lower-digits", "upper-digits", "mixed-digits", "mixed", "other"]
-_LENGTHS = np.array([1, 2, 4, 8, 12, 16, 20, 32])
+_LENGTHS = [1, 2, 4, 8, 12, 16, 20, 32]
 _N_OWN = len(_CHARSETS) * len(_LENGTHS) + len(_SIGNS) + 1 + 1  # the last is the border of a text
 _BORDER = _N_OWN - 1
 _ROUGH = ["border", "naming", "assigns", "quote", "sign", "word", "number", "odd"]
@@ -74,8 +75,12 @@ def _shape(token: str) -> tuple[int, int]:
         sign = _SIGNS.find(token)
         own = len(_CHARSETS) * len(_LENGTHS) + (sign if sign >= 0 else len(_SIGNS))
         return own, _ROUGH.index("assigns" if token in "=:" else "quote" if token in "\"'" else "sign")
-    digits = any(c.isdigit() for c in token)
-    lower, upper = any(c.islower() for c in token), any(c.isupper() for c in token)
+    if token.isascii():
+        digits = not token.isalpha()
+        lower, upper = token != token.upper(), token != token.lower()
+    else:
+        digits = any(c.isdigit() for c in token)
+        lower, upper = any(c.islower() for c in token), any(c.isupper() for c in token)
     if digits and not lower and not upper:
         charset = "digits"
     elif digits and lower and upper:
@@ -88,7 +93,7 @@ def _shape(token: str) -> tuple[int, int]:
         charset = "capital" if token[1:].islower() else "mixed"
     else:
         charset = "lower" if lower else "upper" if upper else "other"
-    length = int(np.searchsorted(_LENGTHS, len(token), side="right")) - 1
+    length = bisect_right(_LENGTHS, len(token)) - 1
     own = _CHARSETS.index(charset) * len(_LENGTHS) + length
     if token.lower() in _NAMING:
         return own, _ROUGH.index("naming")
@@ -96,6 +101,21 @@ def _shape(token: str) -> tuple[int, int]:
     return own, _ROUGH.index(rough)
 
 
+class _Shapes(dict):
+    """Own and rough category of a token, a byte each."""
+
+    def __missing__(self, token: str) -> bytes:
+        if len(self) >= MOST_CACHED:
+            self.clear()
+        got = bytes(_shape(token))
+        if len(token) <= 64:
+            self[token] = got
+        return got
+
+
+_shapes = _Shapes()
+
+
 class _Units(dict):
     """Of what stands between white space: own, rough category and whether a pattern may match, a
     byte each, for every token."""
@@ -103,8 +123,8 @@ class _Units(dict):
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= MOST_CACHED:
             self.clear()
-        may = 1 if _MAY_MATCH(unit) else 0
-        got = b"".join(bytes((*_shape(t), may)) for t in _TOKEN.findall(unit))
+        may = b"\1" if _MAY_MATCH(unit) else b"\0"
+        got = b"".join([_shapes[t] + may for t in _TOKEN.findall(unit)])
         if len(unit) <= 64:
             self[unit] = got
         return got
@@ -115,6 +135,7 @@ _units = _Units()
 
 def _forget_units() -> None:
     _units.clear()
+    _shapes.clear()
 
 
 _GAP = bytes((_BORDER, 0, 0)) * _REACH
@@ -183,16 +204,27 @@ def _allowed(transition: np.ndarray) -> np.ndarray:
 
 def viterbi(scores: np.ndarray, transition: np.ndarray) -> np.ndarray:
     """The best tags of a sequence; of equal paths that with the later tags in the order begin, inside, outside."""
-    path = np.zeros((len(scores), 3), dtype=np.int64)
-    best = transition[3] + scores[0]
-    for t in range(1, len(scores)):
-        step = best[:, None] + transition[:3]
-        path[t] = 2 - np.argmax(step[::-1], axis=0)
-        best = step.max(axis=0) + scores[t]
-    tags = np.zeros(len(scores), dtype=np.int64)
-    tags[-1] = 2 - int(np.argmax(best[::-1]))
-    for t in range(len(scores) - 1, 0, -1):
-        tags[t - 1] = path[t, tags[t]]
+    return viterbi_of_each(scores, np.array([len(scores)]), transition)
+
+
+def viterbi_of_each(scores: np.ndarray, sizes: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """``viterbi`` of sequences that stand one behind the other: a step takes one place of all that are as long."""
+    order = np.argsort(-sizes, kind="stable")
+    first, length = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    best = transition[3] + scores[first]
+    longer = np.searchsorted(-length, -np.arange(1, length[0] + 1))  # so many reach the place
+    paths = []
+    for t, n in enumerate(longer[:-1].tolist(), start=1):
+        step = best[:n, :, None] + transition[:3]
+        paths.append(2 - np.argmax(step[:, ::-1], axis=1))
+        best[:n] = step.max(axis=1) + scores[first[:n] + t]
+    tag = 2 - np.argmax(best[:, ::-1], axis=1)
+    tags = np.empty(len(scores), dtype=np.int64)
+    tags[first + length - 1] = tag
+    for t in range(len(paths), 0, -1):
+        n = longer[t - 1]
+        tag[:n] = paths[t - 1][np.arange(n), tag[:n]]
+        tags[first[:n] + t - 1] = tag[:n]
     return tags
 
 
@@ -220,14 +252,13 @@ def decode(scores: np.ndarray, model: SecretModel) -> np.ndarray:
     open_ = np.flatnonzero(~sure)
     if not len(open_):
         return tags
-    cut = np.flatnonzero(np.diff(open_) > 1)
-    for s, e in zip(open_[np.append(0, cut + 1)], open_[np.append(cut, len(open_) - 1)], strict=True):
-        # between two tokens that are outside for sure
-        inner = scores[s:e + 1].copy()
-        inner[-1] += trans[:3, OUT]
-        start = trans.copy()
-        start[3] = trans[OUT]
-        tags[s:e + 1] = viterbi(inner, start)
+    # stretches between two tokens that are outside for sure
+    ends = np.append(np.flatnonzero(np.diff(open_) > 1), len(open_) - 1)
+    inner = scores[open_]
+    inner[ends] += trans[:3, OUT]
+    start = trans.copy()
+    start[3] = trans[OUT]
+    tags[open_] = viterbi_of_each(inner, np.diff(ends, prepend=-1), start)
     return tags
 
 
