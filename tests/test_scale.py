@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from twinfold.operators import blocking, check, compare, model
+from twinfold.operators import blocking, check, compare, model, prior, skew
 
 NAME, CITY, MAIL = blocking.BlockingRule("city", ("city",)), compare.exact("city"), compare.email_comparison("mail")
 FIELD = model.Model(
@@ -75,3 +75,19 @@ def test_levels_of_dates_and_distances_are_unchanged(spark):
     assert pairs.where(compare.gamma(lev, F.col("a"), F.col("b")) != before.otherwise(0)).isEmpty()
     swapped = {tuple(r) for r in pairs.where(compare.one_edit_or_swap(F.col("a"), F.col("b")) & (F.col("a") != F.col("b"))).collect()}
     assert ("ab", "ba") in swapped and ("2020-01-05", "2020-01-50") in swapped and ("2020-01-05", "2020-05-01") not in swapped
+
+
+def test_keys_of_a_single_file_are_counted_in_small_tasks(spark, monkeypatch):
+    rows = _rows(spark, 1000).coalesce(1)
+    rules = [NAME, blocking.BlockingRule("phone", ("phone",))]
+    sources = [*rules, blocking.BlockingRule("mail", ("mail",))]
+    sets = [(0,), (1, 2), (0, 1, 2)]
+    results = lambda: (blocking.cost_rules(rows, rules), blocking.matched_pairs(rows, rules),
+                       prior.agreeing_pairs(rows, sources, sets), sorted(map(tuple, model.equality_u(rows, FIELD.comparisons).collect())),
+                       sorted(map(tuple, blocking.block_pairs(rows, rules).select("unique_id_l", "unique_id_r", "rule_no").collect())))
+    whole = results()
+    monkeypatch.setattr(skew, "TASK_KEYS", 100)
+    assert results() == whole
+    assert blocking._side(rows, rules, ["unique_id"], "l").rdd.getNumPartitions() == 20
+    plan = blocking.block_sizes(rows, rules)._jdf.queryExecution().executedPlan().toString()
+    assert "20), REPARTITION_BY_NUM" in plan
