@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from twinfold.operators import blocking, check, compare, model, prior, skew
+from twinfold.operators import blocking, check, compare, model, prior, refine, skew
 
 NAME, CITY, MAIL = blocking.BlockingRule("city", ("city",)), compare.exact("city"), compare.email_comparison("mail")
 FIELD = model.Model(
@@ -91,3 +91,14 @@ def test_keys_of_a_single_file_are_counted_in_small_tasks(spark, monkeypatch):
     assert blocking._side(rows, rules, ["unique_id"], "l").rdd.getNumPartitions() == 20
     plan = blocking.block_sizes(rows, rules)._jdf.queryExecution().executedPlan().toString()
     assert "20), REPARTITION_BY_NUM" in plan
+
+
+def test_tables_that_grow_with_the_records_are_not_broadcast_to_refine_them(spark):
+    rows = _rows(spark, 300)
+    rules = [NAME, blocking.BlockingRule("phone", ("phone",)), blocking.BlockingRule("mail", ("mail",))]
+    pairs = refine.refined_pairs(rows, rules, block_rows=20)
+    assert pairs.count() > 0
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    sent = [line for line in joins if "strategy=broadcast" in line]  # what a range partition starts with
+    assert len(sent) == 2 and sum("strategy=merge" in line for line in joins) == len(joins) - len(sent)
