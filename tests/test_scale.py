@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from twinfold.operators import blocking, check, compare, model, prior, refine, skew
+from twinfold.operators import blocking, check, compare, merge, model, prior, refine, skew
 
 NAME, CITY, MAIL = blocking.BlockingRule("city", ("city",)), compare.exact("city"), compare.email_comparison("mail")
 FIELD = model.Model(
@@ -102,3 +103,15 @@ def test_tables_that_grow_with_the_records_are_not_broadcast_to_refine_them(spar
     joins = [line for line in plan.splitlines() if "Join " in line]
     sent = [line for line in joins if "strategy=broadcast" in line]  # what a range partition starts with
     assert len(sent) == 2 and sum("strategy=merge" in line for line in joins) == len(joins) - len(sent)
+
+
+def test_band_keys_are_those_of_the_text_made_from_numbers_of_words(spark):
+    factors, offsets = (np.array(c, dtype=np.uint64) for c in merge.permutation_constants())
+    blanks = "".join(chr(i) for i in range(0x3100) if chr(i).isspace())
+    texts = ["", " ", "one", "a b a c", "été \U0001f600 x", "p\x00q ​z", *[f"l{b}r s" for b in blanks],
+             " ".join(f"w{i}" for i in range(9000))]
+    rows = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, words string")
+    found = rows.select("i", "words", merge.band_keys("words").alias("keys"), merge.word_numbers(F.col("words")).alias("numbers")).collect()
+    for row in found:
+        assert row["keys"] == (None if row["words"] is None else merge.band_keys_of(row["words"], factors, offsets))
+        assert row["words"] is None or sorted(row["numbers"]) == sorted(merge._word_number(w) for w in set(row["words"].split()))
