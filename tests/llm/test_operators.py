@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -21,6 +22,7 @@ from twinfold.llm.mixing import mix_sources, plan_mixture
 from twinfold.llm.queries import op7_patched_frames, op9_vantage_point_trees, tokenizer
 from twinfold.llm.sharding import assign_shards, write_shards
 from twinfold.llm.shingle_join import similar_documents, sketch_keys
+from twinfold.operators.scratch import scratch_root
 
 LONG = "long word list " * 20_000
 ROWS = [
@@ -421,3 +423,15 @@ def test_words_are_encoded_as_the_library_does(monkeypatch):
         for text, ids in zip(texts, got, strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == encode(text, add_special_tokens=False).ids, text
     assert max(map(len, words_of.known.words.to_pylist())) <= words_table.LONGEST
+
+
+def test_tables_of_a_join_go_when_they_are_no_longer_read(spark):
+    root = Path(scratch_root(spark))
+    labels = ("sketches", "copies", "pairs", "wanted", "sets", "likely", "unconnected", "buckets")
+    there = lambda: {p.name for p in root.iterdir() if p.name.rsplit("-", 5)[0] in labels}
+    texts = [" ".join(f"w{j}" for j in range(60) if j != i % 50) for i in range(40)] + ["other words " * 9, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    before = there()
+    found = similar_documents(docs, "doc_id", "text", 4, 0.5)
+    assert found.where("component_id = 0").count() == 40
+    assert there() == before

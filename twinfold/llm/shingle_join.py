@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.operators.components import connected_components
-from twinfold.operators.scratch import materialize
+from twinfold.operators.scratch import forget, materialize
 from twinfold.operators.skew import skew_join
 
 from .groups import gridded, whole_groups
@@ -300,7 +300,9 @@ def _known(pairs: DataFrame, documents: DataFrame, width: int) -> DataFrame:
     wanted = materialize(wanted, "wanted")
     known = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
     texts = documents.join(known, "id", "left_semi")
-    return materialize(texts.mapInArrow(released(sets, _forget_words), "id bigint, n bigint, bits binary, shingles binary"), "sets")
+    found = materialize(texts.mapInArrow(released(sets, _forget_words), "id bigint, n bigint, bits binary, shingles binary"), "sets")
+    forget(wanted)
+    return found
 
 
 def _verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -332,7 +334,9 @@ def _verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
         return rows.select("a", "b", *(f"{c}_{end}" for c in columns for end in ("a", "b")))
 
     close = materialize(with_both(pairs, "n", "bits").mapInArrow(released(likely), "a bigint, b bigint").distinct(), "likely")
-    return materialize(with_both(close, "shingles").mapInArrow(released(compare), "a bigint, b bigint"), "links")
+    links = materialize(with_both(close, "shingles").mapInArrow(released(compare), "a bigint, b bigint"), "links")
+    forget(close)
+    return links
 
 
 def similar_documents(documents: DataFrame, id_col: str, text_col: str, width: int = 5,
@@ -351,8 +355,10 @@ def similar_documents(documents: DataFrame, id_col: str, text_col: str, width: i
     spark = documents.sparkSession
     prepare(spark)
     named = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    sets = materialize(_sets(named, width, similarity, _common(named, width)), "sketches")
-    filled = sets.where("digest is not null and id is not null")
+    sketches = materialize(_sets(named, width, similarity, _common(named, width)), "sketches")
+    # the keys take most of the disk and go as soon as they are dealt to buckets
+    sets = materialize(sketches.select("id", "n", "digest"), "digests")
+    filled = sketches.where("digest is not null and id is not null")
     classes = materialize(filled.groupBy("digest").agg(
         F.min("id").alias("first"), F.count("*").alias("rows")), "classes")
     # only the first of a class goes on; copies are told apart without moving the keys of all documents
@@ -363,11 +369,14 @@ def similar_documents(documents: DataFrame, id_col: str, text_col: str, width: i
     keys = filled.join(known, ["id", "digest"], "left_anti").select(F.explode("keys").alias("key"), "id")
     buckets = keys.repartition("key").sortWithinPartitions("key", "id")
     found = materialize(_bucket_pairs(buckets), "buckets")
+    forget(sketches)
+    forget(copies)
     texts = named.where("id is not null")
     percent = round(similarity * 100)
     pairs = _distinct(found.select("a", "b"))
     known = _known(pairs, texts, width)
     links = _verified(pairs, known, percent)
+    forget(pairs)
     crowded = found.where("key != 0").select("key", F.col("b").alias("id"))
     if links.isEmpty():
         components = None
@@ -378,10 +387,17 @@ def similar_documents(documents: DataFrame, id_col: str, text_col: str, width: i
         rest = _unconnected(crowded, components, known)
         if rest is None:
             break
-        more = _verified(_distinct(_crossing(rest, percent, forest)), known, percent)
+        cells = gridded(rest, "key", "id", CELL_ROWS)
+        cells = cells.repartition("key", "cell_a", "cell_b").sortWithinPartitions("key", "cell_a", "cell_b", "id")
+        pairs = _distinct(_crossing(cells, percent, forest))
+        forget(rest)
+        more = _verified(pairs, known, percent)
+        forget(pairs)
         if not more.isEmpty():
             links = links.unionByName(more)
             components = materialize(connected_components(links, "a", "b"), "components")
+    forget(known)
+    forget(found)
     named_classes = classes.select("digest", "first", "rows")
     if components is not None:
         named_classes = named_classes.join(components.withColumnRenamed("id", "first"), "first", "left")
@@ -395,7 +411,7 @@ def similar_documents(documents: DataFrame, id_col: str, text_col: str, width: i
 
 
 def _unconnected(crowded: DataFrame, components: DataFrame | None, known: DataFrame) -> DataFrame | None:
-    """The members of crowded buckets that are not all in one component, dealt to cells."""
+    """The members of crowded buckets that are not all in one component, written."""
     if components is None:
         labelled = crowded.withColumn("component", F.col("id"))
     else:
@@ -403,8 +419,9 @@ def _unconnected(crowded: DataFrame, components: DataFrame | None, known: DataFr
     labelled = materialize(labelled, "crowded")
     split = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
     split = materialize(split.select("key"), "split")
-    if split.isEmpty():
-        return None
-    rows = labelled.join(split, "key", "left_semi").join(known.select("id", "n", "bits"), "id")
-    cells = gridded(materialize(rows, "unconnected"), "key", "id", CELL_ROWS)
-    return cells.repartition("key", "cell_a", "cell_b").sortWithinPartitions("key", "cell_a", "cell_b", "id")
+    rows = None
+    if not split.isEmpty():
+        rows = materialize(labelled.join(split, "key", "left_semi").join(known.select("id", "n", "bits"), "id"), "unconnected")
+    forget(labelled)
+    forget(split)
+    return rows
