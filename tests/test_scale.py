@@ -115,3 +115,40 @@ def test_band_keys_are_those_of_the_text_made_from_numbers_of_words(spark):
     for row in found:
         assert row["keys"] == (None if row["words"] is None else merge.band_keys_of(row["words"], factors, offsets))
         assert row["words"] is None or sorted(row["numbers"]) == sorted(merge._word_number(w) for w in set(row["words"].split()))
+
+
+def test_levels_of_a_date_come_from_one_distance(spark):
+    texts = ["2020-01-05", "2020-01-50", "2020-1-005", "2020-02-04", "2020-02-05", "2021-01-04", "2021-01-05", "2030-01-04",
+             "2030-01-05", "1975-11-28", "", "ab", "ba", None]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    for days in ((30, 365, 3652), (0,), (7, 7, 3650), (400_000,), ()):
+        date = compare.birth_date_comparison("d", days)
+        before = F.when(a.isNull() | b.isNull(), -1).when(a == b, date.top)
+        for below, agrees in enumerate(compare._birth_date_levels(date, a, b), start=1):
+            before = before.when(agrees, date.top - below)
+        assert pairs.where(~compare.gamma(date, a, b).eqNullSafe(before.otherwise(0))).isEmpty()
+    plan = pairs.select(compare.gamma(compare.birth_date_comparison("d"), a, b).alias("level"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("datediff(") == 1 and plan.count("levenshtein(") == 1
+
+
+def test_pairs_are_left_out_by_what_costs_little_before_dates_are_read(spark):
+    dates = compare.birth_date_comparison("born")
+    field = model.Model(
+        prior=0.01, comparisons=[dates, *FIELD.comparisons], rules=[NAME],
+        m=FIELD.m | {"born": [0.05, 0.05, 0.05, 0.05, 0.1, 0.7]}, u=FIELD.u | {"born": [0.6, 0.3, 0.08, 0.015, 0.004, 0.001]})
+    rows = _rows(spark).withColumn("born", F.date_add(F.lit("1980-01-01").cast("date"), F.col("unique_id").cast("int") * 97 % 60).cast("string"))
+    pairs = blocking.block_pairs(rows, [NAME], ["city", "phone", "mail", "born"])
+    every = model.predict(rows, field).where("match_probability >= 0.9")
+    assert sorted(map(tuple, model.predict(rows, field, 0.9).collect())) == sorted(map(tuple, every.collect()))
+    rough = model.highest_weight(field, rough=(*compare.DEAR_KINDS, *compare.LATER_KINDS))
+    fine, weight = model.highest_weight(field), model.match_weight(field)
+    assert compare.compare_pairs(pairs, field.comparisons).where((rough < fine) | (fine < weight)).isEmpty()
+    plan = model.worth_comparing(pairs, field, 0.9)._jdf.queryExecution().analyzed().toString()
+    later, sooner = plan.splitlines()[:2]
+    assert "Filter" in sooner and "levenshtein(phone" in sooner and "datediff" not in sooner and "datediff" in later
+    # unequal users leave an email no level but those of its likeness
+    apart = pairs.where(F.substring_index("mail_l", "@", 1) != F.substring_index("mail_r", "@", 1))
+    mails = model.Model(0.01, [MAIL], {"mail": FIELD.m["mail"]}, {"mail": FIELD.u["mail"]}, rules=[NAME])
+    most = apart.agg(F.max(model.highest_weight(mails))).first()[0]
+    assert most < mails.prior_weight + mails.weights(MAIL)[-2] - 1
