@@ -41,6 +41,23 @@ def test_batch_equals_single():
         assert (sim.winkler_batch(left, right, bonus) == expected).all()
 
 
+def test_letters_of_any_kind_are_compared_as_in_single_texts():
+    random.seed(11)
+    texts = ["".join(random.choice("ab\x00\xfe\xff中😀") for _ in range(random.choice([0, 1, 2, 5, 9, 64, 70]))) for _ in range(120)]
+    left, right = map(list, zip(*[(a, b) for a in texts for b in texts]))
+    for bonus, one in ((True, sim.jaro_winkler), (False, sim.jaro)):
+        assert sim.winkler_batch(left, right, bonus).tolist() == [one(a, b) for a, b in zip(left, right)]
+
+
+def test_shared_letters_leave_out_no_pair_that_reaches_a_threshold():
+    at = np.arange(len(PAIRS))
+    left, right = map(list, zip(*[*PAIRS[:-3], ("", ""), ("", "a"), ("x" * 70, "x" * 69)]))
+    known = np.array([sim.jaro_winkler(a, b) for a, b in zip(left, right)])
+    for least in (0.5, 0.7, 0.88):
+        told = sim.reaches(left, right, at, at, least)
+        assert told[known >= least].all() and not told.all()
+
+
 def test_similarities_equal_duckdb():
     plain = [(a.replace("ü", "u"), b.replace("ü", "u")) for a, b in PAIRS]
     for a, b in plain:

@@ -152,3 +152,31 @@ def test_pairs_are_left_out_by_what_costs_little_before_dates_are_read(spark):
     mails = model.Model(0.01, [MAIL], {"mail": FIELD.m["mail"]}, {"mail": FIELD.u["mail"]}, rules=[NAME])
     most = apart.agg(F.max(model.highest_weight(mails))).first()[0]
     assert most < mails.prior_weight + mails.weights(MAIL)[-2] - 1
+
+
+def test_email_level_takes_one_pair_of_texts_to_python(spark):
+    """A pair of emails goes to Python once, for whole texts and users alike, and not at all where either is equal."""
+    texts = [None, "", "@", "anna", "anna@x.org", "anna@y.org", "hanna@x.org", "@x.org", "martha.1@x.org", "marhta.1@mail.y.com", "b@x.org",
+             "m" * 70 + "@x.org", "m" * 70 + "@y.org"]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    for email in (compare.email_comparison("e"), compare.Comparison("e", "email", (0.9, 0.7))):
+        before = F.when(a.isNull() | b.isNull(), -1).when(a == b, email.top)
+        for below, agrees in enumerate(compare._email_levels(email, a, b), start=1):
+            before = before.when(agrees, email.top - below)
+        assert pairs.where(~compare.gamma(email, a, b).eqNullSafe(before.otherwise(0))).isEmpty()
+        plan = pairs.select(compare.gamma(email, a, b).alias("level"))._jdf.queryExecution().optimizedPlan().toString()
+        evaluated = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+        assert len(evaluated) == 1 and evaluated[0].count("passed(") == 1
+
+
+def test_levels_of_names_come_from_python_as_levels(spark):
+    texts = [None, "", "garcia", "gracia", "garza", "smith", "smyth", "müller", "muller", "x" * 70, "x" * 69 + "y"]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    for name in (compare.name_comparison("n"), compare.jaro_winkler_at("n", (0.9,))):
+        before = F.when(a.isNull() | b.isNull(), -1).when(a == b, name.top)
+        for below, agrees in enumerate(compare._winkler_levels(name, a, b), start=1):
+            before = before.when(agrees, name.top - below)
+        assert pairs.where(~compare.gamma(name, a, b).eqNullSafe(before.otherwise(0))).isEmpty()
+        assert "passed(" in pairs.select(compare.gamma(name, a, b).alias("level"))._jdf.queryExecution().optimizedPlan().toString()
