@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -58,6 +59,33 @@ def test_shared_letters_leave_out_no_pair_that_reaches_a_threshold():
         assert told[known >= least].all() and not told.all()
 
 
+def test_character_sets_and_word_counts_of_distinct_pairs(spark):
+    texts = [None, "", " ", "a", "ab ba", "Ab  aB ab", "a b c", "a\tb\x0bc a", "x" * 70 + " a", "".join(map(chr, range(200, 400)))]
+    rows = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    got = rows.select("a", "b", sim.jaccard_similarity(a, b).alias("j"), sim.cosine_distance(a, b).alias("c"),
+                      sim.lev_damerau_distance(a, b).alias("d"), sim.jaro_similarity(a, b).alias("s")).collect()
+    for r in got:
+        if r["a"] is None or r["b"] is None:
+            assert (r["j"], r["c"], r["d"], r["s"]) == (None,) * 4
+            continue
+        union = set(r["a"]) | set(r["b"])
+        assert r["j"] == (len(set(r["a"]) & set(r["b"])) / len(union) if union else 0.0)
+        x, y = Counter(r["a"].lower().split()), Counter(r["b"].lower().split())
+        far = 1 - sum(n * y[w] for w, n in x.items()) / math.sqrt(sum(n * n for n in x.values())) \
+            / math.sqrt(sum(n * n for n in y.values())) if x and y else 1.0
+        assert math.isclose(r["c"], max(far, 0.0), abs_tol=1e-12)
+        assert r["d"] == sim.damerau(r["a"], r["b"]) and r["s"] == sim.jaro(r["a"], r["b"])
+
+
+def test_similarities_of_pairs_are_worked_out_in_one_step_of_python(spark):
+    rows = spark.createDataFrame([("a b", "b a")], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    plan = lambda *columns: rows.select(*columns)._jdf.queryExecution().optimizedPlan().toString()
+    told = plan(sim.jaro_similarity(a, b), sim.lev_damerau_distance(a, b), sim.jaccard_similarity(a, b), sim.cosine_distance(a, b))
+    assert told.count("ArrowEvalPython") == 1 and "lambdafunction" not in told
+
+
 def test_similarities_equal_duckdb():
     plain = [(a.replace("ü", "u"), b.replace("ü", "u")) for a, b in PAIRS]
     for a, b in plain:
