@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from twinfold.functions import geo
 from twinfold.functions import similarity as sim
 from twinfold.functions import text as tx
 from twinfold.functions.phonetic import double_metaphone, metaphone_codes
@@ -86,6 +87,17 @@ def test_similarities_of_pairs_are_worked_out_in_one_step_of_python(spark):
     assert told.count("ArrowEvalPython") == 1 and "lambdafunction" not in told
 
 
+def test_parts_of_a_place_need_no_array_of_them(spark):
+    points = [None, "", "1.5", "1.5,2.5", "-3,", "1,1", ",4", "1,2,3"]
+    rows = spark.createDataFrame([(p,) for p in points], "p string")
+    numbers = [geo.point_part(F.col("p"), part) for part in (0, 1)]
+    texts = rows.select(*[F.get(F.split("p", ","), F.lit(part)).try_cast("double") for part in (0, 1)], "p")
+    good = texts.where("p LIKE '%_,_%' OR p IS NULL").collect()
+    assert [(x, y) for x, y, _ in good] == [tuple(r) for r in rows.where("p LIKE '%_,_%' OR p IS NULL").select(*numbers).collect()]
+    assert rows.where("p = '1.5'").select(*numbers).first()[:] == (1.5, None)
+    assert "split(" not in rows.select(*numbers)._jdf.queryExecution().analyzed().toString()
+
+
 def test_similarities_equal_duckdb():
     plain = [(a.replace("ü", "u"), b.replace("ü", "u")) for a, b in PAIRS]
     for a, b in plain:
