@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinfold.functions import similarity as sim
-from twinfold.operators import blocking, cells, check, compare, model
+from twinfold.operators import blocking, cells, check, compare, model, refine
 
 TOWN, MAIL, NAME = (blocking.BlockingRule(c, (c,)) for c in ("town", "mail", "name"))
 RULES = [MAIL, NAME, TOWN]
@@ -131,3 +131,20 @@ def test_batches_of_distances_and_word_sets_are_those_of_single_texts():
     left, right = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
     want = [sim.token_set_ratio_text(texts[a], texts[b]) for a, b in zip(left, right)]
     assert sim.token_set_of(texts, texts, left, right).tolist() == want
+
+
+@pytest.mark.parametrize("side", [None, "late"])
+def test_refined_pairs_are_compared_where_they_meet(spark, monkeypatch, side):
+    """No pair is shuffled with what is compared: the records of a large block are, with the first of the next stretch."""
+    monkeypatch.setattr(cells, "ORDERED_ROWS", 7)
+    rows = _rows(spark).where("unique_id IS NOT NULL").dropDuplicates(["unique_id"]).withColumn("late", F.col("unique_id") % 3 == 0)
+    columns = [*(c.column for c in COMPARISONS), "tf_town"]
+    found = refine.refine_blocks(rows, RULES, block_rows=20)
+    assert found.crowded.count() > 100
+    want = compare.compare_pairs(refine.refined_pairs(rows, RULES, columns, side=side, refinement=found), COMPARISONS)
+    got = refine.compared_refined(rows, RULES, COMPARISONS, columns, side=side, refinement=found)
+    assert _sorted(got) == _sorted(want) and got.count() > 500
+    some = refine.compared_refined(rows, RULES, COMPARISONS, ["tf_town"], side=side, refinement=found, bound=model.lower_bound(MODEL, 0.5))
+    likely = model.with_score(some, MODEL).where("match_probability >= 0.5").select("unique_id_l", "unique_id_r")
+    every = model.with_score(want, MODEL).where("match_probability >= 0.5").select("unique_id_l", "unique_id_r")
+    assert _sorted(likely) == _sorted(every) and likely.count() > 0
